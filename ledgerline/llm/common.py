@@ -104,6 +104,7 @@ class Powers:
         return out
 
     def slices(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        self._reach(len(sums))
         return mix((sums[stop] - sums[start]) * self.down[start])
 
 
@@ -122,3 +123,25 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sums = BYTE_POWERS.sums(raw.astype(np.uint64) + np.uint64(1))
     hashes = BYTE_POWERS.slices(sums, starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, offsets)
+
+
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 500
+
+
+def skewed_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``table``, which has each ``key`` once, with hot keys kept from gathering in one task.
+
+    The entries of hot keys (under HOT_SHARE of them, so a bounded table) are
+    broadcast; all other rows meet theirs by a shuffle on the key.
+    """
+    counts = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_rows"))
+    total = counts.agg(F.sum("hot_rows")).first()[0] or 0
+    hot = [r[0] for r in counts.where((F.col("hot_rows") > total / HOT_SHARE) & F.col("hot_key").isNotNull()).select("hot_key").collect()]
+    if not hot:
+        return rows.join(table, key, "left").select(*rows.columns, *(c for c in table.columns if c != key))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    cold = rows.where(~is_hot).join(table.where(~F.col(key).isin(hot)), key, "left")
+    warm = rows.where(is_hot).join(F.broadcast(table.where(F.col(key).isin(hot))), key, "left")
+    names = [*rows.columns, *(c for c in table.columns if c != key)]
+    return cold.select(*names).unionByName(warm.select(*names))

@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def blocks(radius: int, free: int = (1 << BITS) - 1) -> list[int]:
     """``radius + 1`` masks that share out the free bits."""
     bits = [i for i in range(BITS) if free >> i & 1]
-    return [sum(1 << i for i in part) for part in np.array_split(bits, radius + 1)]
+    return [sum(1 << int(i) for i in part) for part in np.array_split(bits, radius + 1)]
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

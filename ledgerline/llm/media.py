@@ -64,7 +64,7 @@ def laced_block(frames: list[bytes], track: int, time: int, lacing: int, key: bo
     sizes = [len(f) for f in frames]
     if lacing == 1:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    if lacing == 3:
+    if lacing == 3 and len(frames) > 1:
         head += vint(sizes[0])
         for before, n in zip(sizes[:-1], sizes[1:-1], strict=False):
             step, width = n - before, 1
@@ -196,10 +196,11 @@ def _block(data: bytes, at: int, end: int, base: int, out: Parsed, key: bool | N
 
 
 def _cluster(data: bytes, at: int, end: int, unknown: bool, out: Parsed) -> int:
-    base = 0
+    base, before = 0, at
     for kind, a, b, _ in elements(data, at, end):
         if unknown and kind in _TOP:  # the next element of the segment ends a cluster of unknown size
-            return a - len(vint(b - a)) - (kind.bit_length() + 7) // 8
+            return before
+        before = b
         if kind == TIMESTAMP:
             base = _uint(data, a, b)
         elif kind == SIMPLE_BLOCK:

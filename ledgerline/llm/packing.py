@@ -29,7 +29,7 @@ CAPACITY = 2048
 END_ID = 0
 BLOCK = 4096
 #: One in so many of a block's bins, the emptiest, is packed again with those of other blocks.
-POOLED = 10
+POOLED = 4
 ISLANDS, EPOCHS, CROSSOVERS, POPULATION = 3, 2, 5, 4
 
 

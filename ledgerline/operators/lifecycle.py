@@ -51,8 +51,8 @@ def changed(rows: DataFrame, ledger: DataFrame, key: list[str], digest: str) ->
 
 def next_version(snapshots: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
     """``current`` with version: the latest one if its digest is unchanged, else one more; 1 for a new key."""
-    last = latest(snapshots, [key], [F.desc("version")]).select(F.col(key).alias("k"), F.col(digest).alias("last_digest"), F.col("version").alias("last_version"))
-    joined = current.join(last, F.col(key) == F.col("k"), "left")
+    last = latest(snapshots, [key], [F.desc("version")]).select(key, F.col(digest).alias("last_digest"), F.col("version").alias("last_version"))
+    joined = current.join(last, key, "left")
     version = F.when(F.col("last_version").isNull(), 1).when(F.col("last_digest") == F.col(digest), F.col("last_version")).otherwise(F.col("last_version") + 1)
     return joined.select(*current.columns, version.alias("version"))
 

@@ -32,7 +32,8 @@ def score_postings(postings: DataFrame, profile: list[str], title: Column, descr
     scored = postings.withColumn("job_tokens", token_set(F.concat_ws(" ", title, description))).withColumn("matched_terms", F.array_sort(F.array_intersect("job_tokens", own)))
     bonus = 0.1 * F.size(F.array_intersect(token_set(title), own))
     share = F.try_divide(F.size("matched_terms"), F.size("job_tokens"))
-    return scored.withColumn("score", F.coalesce(F.least(F.lit(1.0), F.round(share + bonus, 4)), F.lit(0.0))).drop("job_tokens")
+    # least() passes over nulls, so a posting without tokens is settled first
+    return scored.withColumn("score", F.least(F.lit(1.0), F.coalesce(F.round(share + bonus, 4), F.lit(0.0)))).drop("job_tokens")
 
 
 def shortlist(scored: DataFrame, id_col: str, size: int = SHORTLIST) -> DataFrame:

@@ -1,0 +1,156 @@
+"""Column functions against hand-written tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.functions import text as X
+from ledgerline.operators import segments, statements
+
+
+def of(spark, f, *values):
+    frame = spark.createDataFrame([values], ", ".join(f"c{i} string" for i in range(len(values))))
+    return frame.select(f(*(F.col(f"c{i}") for i in range(len(values)))).alias("x")).first()["x"]
+
+
+def test_tokens_keep_order_and_repeats(spark):
+    assert of(spark, X.tokens, "The C++ role: node.js, node.js and 3d-x a1") == ["c++", "node.js", "node.js", "3d-x"]
+    assert of(spark, X.token_set, "") == []
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("HTTPS://Ex.COM/A?utm_source=x&b=1&ref=2&c=#top", "https://ex.com/A?b=1&c="),
+        ("http://a.b?ref=1", "http://a.b"),
+        ("/relative", None),
+        ("ftp://a.b/c", None),
+        (None, None),
+    ],
+)
+def test_canonical_url(spark, url, want):
+    assert of(spark, X.canonical_url, url) == want
+
+
+@pytest.mark.parametrize(
+    ("statement", "role", "kind"),
+    [
+        ("Reduced export time by 40% with Python", "outcome", "quantified"),
+        ("Operations no longer reconcile by hand", "outcome", "qualitative_evidenced"),
+        ("Built a loader for the daily files", "work", "missing"),
+        ("Built 5 dashboards", "work", "missing"),
+        ("Reports were slow and took days", "problem", "missing"),
+        ("The weather was fine", "ignored", "missing"),
+    ],
+)
+def test_roles(spark, statement, role, kind):
+    assert of(spark, lambda s: X.role(s, F.lit(None).cast("string")), statement) == role
+    assert of(spark, X.result_kind, statement) == kind
+
+
+def test_labels_decide_first(spark):
+    assert of(spark, lambda s: X.role(s, F.lit("result")), "Built a thing") == "ignored"
+    assert of(spark, lambda s: X.role(s, F.lit("action")), "Reports were slow") == "work"
+
+
+def test_tools_stand_alone(spark):
+    assert of(spark, X.tools, "Wrote Go and SQL, not MySQL-like, via GitHub Actions") == ["SQL", "GitHub Actions", "Go"]
+
+
+def test_numbers_in_other_notation(spark):
+    assert of(spark, X.unsupported_numbers, "195,000 rows", "about 195K+ rows") == []
+    assert of(spark, X.unsupported_numbers, "196,000 rows and seven more", "195K rows") == ["196000", "seven"]
+    assert of(spark, X.unsupported_numbers, "$4.01M", "$4,010,000") == []
+
+
+def test_references(spark):
+    assert of(spark, X.split_ref, "doc#chars=3-17") == ("doc", 3, 17)
+    assert of(spark, X.split_ref, "doc#chars=a-b") == ("doc#chars=a-b", None, None)
+    assert of(spark, lambda t: X.shortened(t, 7), "a word too many") == "a word…"
+
+
+def test_bullets(spark):
+    assert of(spark, X.bullet, "Built it.", "saved time") == "Built it — saved time."
+    assert of(spark, X.bullet, "Built it", None) == "Built it."
+
+
+def test_verbatim(spark):
+    assert of(spark, X.verbatim_in, "a  b", "x a\nb y") is True
+    assert of(spark, X.verbatim_in, "A b", "x a b") is False
+    assert of(spark, X.verbatim_in, " ", "x") is False
+
+
+# --- statements and claims ---------------------------------------------------------
+
+CHUNK_1 = "# Header\n- Reports were slow and took the whole team many days. Built a loader in Python for all daily files.\nAdded checks with SQL to the nightly load\nReduced load time by 40%"
+CHUNK_2 = "Problem: Invoices were copied by hand into a spreadsheet each week\nAction: Automated the invoices with Airflow and Python for finance\nResult: Eliminated manual copying of invoices"
+CHUNK_3 = "Cut the number of failures from 10 to 2"
+
+
+def test_statements_are_split(spark):
+    frame = spark.createDataFrame([(1, CHUNK_1)], "chunk int, text string")
+    rows = statements.split_statements(frame, "chunk", "text").orderBy("position").collect()
+    assert [r["statement"] for r in rows][:2] == ["Reports were slow and took the whole team many days.", "Built a loader in Python for all daily files."]
+    assert [r["position"] for r in rows] == [0, 1, 2, 3]
+
+
+def test_claims_pair_forward_only(spark):
+    frame = spark.createDataFrame([("g", 1, CHUNK_1), ("g", 2, CHUNK_2), ("g", 3, CHUNK_3)], "g string, chunk int, text string")
+    rows = statements.claim_violations(statements.extract_claims(frame, "g", "chunk", "text")).orderBy("chunk", "position").collect()
+    assert [(r["action"][:5], r["outcome"] and r["outcome"][:7]) for r in rows] == [("Built", "Reduced"), ("Added", "Cut the"), ("Autom", "Elimina")]
+    assert [bool(r["problem"]) for r in rows] == [True, True, True]
+    assert rows[2]["cost_dimension"] == "time" and rows[2]["inefficiency"] == "manual" and rows[2]["resolves"] == "manual"
+    assert rows[2]["violations"] == []
+
+
+def test_violations(spark):
+    columns = "action string, problem string, tools array<string>, cost_dimension string, inefficiency string, outcome string, result_kind string, resolves string"
+    frame = spark.createDataFrame([("", "", [], None, None, None, "missing", None), ("Moved data to", "It was slow", ["Go"], None, "slow", "done", "quantified", "money")], columns)
+    got = [r["violations"] for r in statements.claim_violations(frame).collect()]
+    assert got[0] == ["problem_missing", "action_missing"]
+    assert got[1] == ["problem_not_specific", "action_tool_not_in_text", "action_fragment", "result_problem_coupling"]
+
+
+# --- segments ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("Snow-\n flake melts", "Snowflake melts"),
+        ("one\n \ntwo", "one two"),
+        ("A first sentence ends.\n\nA second one starts here", "A first sentence ends.\n\nA second one starts here"),
+        ("wrapped line of\nprose text", "wrapped line of prose text"),
+        ("- a bullet\n# head\nLabel: x\ntail of it", "- a bullet\n# head\nLabel: x tail of it"),
+        ("WORK EXPERIENCE\nDid things\nMay 2022 - Present\nmore", "WORK EXPERIENCE Did things\nMay 2022 - Present more"),
+        ("a\r\nb", "a b"),
+        ("", ""),
+    ],
+)
+def test_reflow(raw, want):
+    assert segments.reflow(raw) == want
+
+
+def test_chunks_are_slices(spark):
+    text = "\n\nfirst\nblock\n\n" + "word " * 500 + "\n\n\n" + "x" * 3000 + "\n\nlast"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    rows = segments.chunked(docs, "id").orderBy("start").collect()
+    assert all(text[r["start"] : r["end"]] == r["body"] and len(r["body"]) <= 1200 for r in rows)
+    assert segments.coverage_violations(docs, segments.chunked(docs, "id"), "id").count() == 0
+
+
+def test_coverage_finds_each_fault(spark):
+    docs = spark.createDataFrame([(1, "abc def")], "id int, text string")
+    spans = lambda *s: spark.createDataFrame([(1, *x) for x in s], "id int, start int, end int, body string")
+    reasons = lambda *s: [r["reason"] for r in segments.coverage_violations(docs, spans(*s), "id").orderBy("start").collect()]
+    assert reasons((0, 3, "abc"), (4, 7, "def")) == []
+    assert reasons((0, 3, "abc"), (2, 7, "c def")) == ["overlap"]
+    assert reasons((0, 3, "abx"), (4, 7, "def")) == ["not_the_slice"]
+    assert reasons((0, 2, "ab"), (4, 7, "def")) == ["gap"]
+    assert reasons((0, 3, "abc")) == ["gap"]
+    assert "out_of_bounds" in reasons((0, 3, "abc"), (4, 9, "def"))
+
+
+def test_batches_stay_in_budget(spark):
+    rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 5, 20, 1, 1, 1])], "g string, o int, n int")
+    got = segments.packed_batches(rows, "g", "o", "n", most_chunks=2, most_chars=10).orderBy("o").collect()
+    assert [r["batch"] for r in got] == [0, 0, 1, 2, 2, 3]

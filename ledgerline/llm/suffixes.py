@@ -129,8 +129,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     suffixes = materialize(rows.mapInArrow(_suffix_rows(words, prefix), schema))
 
     place = F.struct("doc", "text_key", "at")
-    classes = materialize(suffixes.groupBy("key", "span").agg(F.min(place).alias("head"), F.max(place).alias("tail")))
-    more = classes.where("head <> tail").select("key", "span", "head")
+    classes = materialize(suffixes.groupBy("key", "span").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")))
+    more = classes.where("members > 1").select("key", "span", "head")
     whole = suffixes.join(more, ["key", "span"]).where(place != F.col("head"))
     whole = whole.select("doc", "text_key", "first", (F.col("last") + words).alias("past"), F.col("head.doc").alias("first_doc"))
 
@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     found = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc_w"]) & (rows["text_key"] == wanted["key_w"])).select("doc", "text_key", "body", "wanted")
     schema = T.StructType([*head, T.StructField("key", T.LongType()), T.StructField("window", T.LongType())])
     windows = materialize(found.mapInArrow(_window_rows(words, prefix), schema))
-    heads = windows.groupBy("key", "window").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail")
+    heads = windows.groupBy("key", "window").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
     edges = windows.join(heads.select("key", "window", "head"), ["key", "window"]).where(place != F.col("head"))
     edges = edges.select("doc", "text_key", F.col("at").alias("first"), (F.col("at") + words).alias("past"), F.col("head.doc").alias("first_doc"))
     return whole.unionByName(edges)

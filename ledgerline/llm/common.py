@@ -1,42 +1,20 @@
-"""What the training-data operators share: tables that cut lineage, row keys and Arrow text helpers."""
+"""What the training-data operators share: names, skewed joins and Arrow text helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.tables import materialize, shared_folder, table  # noqa: F401
+
 WORD_SPACE = np.zeros(256, dtype=bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that one vectorised step takes at a time (a single longer text is taken whole).
 CHUNK_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and any executor may go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def fresh(df: DataFrame, base: str, *more: str) -> str:
     """A column name that starts with ``base`` and that neither ``df`` nor ``more`` has."""
     taken = {c.lower() for c in (*df.columns, *more)}

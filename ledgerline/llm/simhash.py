@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import fresh, materialize
-from ledgerline.llm.components import connected_components
+from ledgerline.operators.graph import connected_components
 
 BITS = 64
 SEED = 42
@@ -249,11 +249,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id (of repeated ids the first by all columns). Columns stay as they are.
+    """``docs`` with one row of each component: that with the smallest id (of rows that repeat it, that of the smallest hash). Columns stay as they are.
 
-    Rows without an id are kept as they are. Extra columns of any name pass through.
+    Rows without an id are kept as they are. Extra columns of any name pass through; columns of map type don't.
     """
-    kept = simhash_components(docs, id_col, text_col, radius).where(f"`{id_col}` = component_id").select(F.col(id_col).alias(fresh(docs, "kept"))).distinct()
-    name = kept.columns[0]
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == kept[name], "left_semi").dropDuplicates([id_col])
+    key, mark = fresh(docs, "kept"), fresh(docs, "row_hash")
+    kept = simhash_components(docs, id_col, text_col, radius).where(f"`{id_col}` = component_id").select(F.col(id_col).alias(key)).distinct()
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    least = hashed.groupBy(F.col(id_col).alias(key)).agg(F.min(mark).alias(mark)).join(kept, key, "left_semi")
+    least = least.withColumnRenamed(mark, key + "_hash")
+    # equal rows are one before they are joined, however many there are
+    one = hashed.dropDuplicates([id_col, mark])
+    one = one.join(least, (one[id_col] == least[key]) & (one[mark] == least[key + "_hash"]), "left_semi").drop(mark)
     return one.unionByName(docs.where(F.col(id_col).isNull()))

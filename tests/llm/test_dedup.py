@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import xxhash
 from ledgerline.llm import linededup, simhash, suffixes
+from ledgerline.operators.graph import connected_components
 
 
 def rows_of(docs):
@@ -56,8 +57,6 @@ def test_links_under_any_group_size(spark):
     frame = spark.createDataFrame([(int(np.uint64(c).view(np.int64)), i) for i, c in enumerate(codes)], "fp long, rep long")
     want = brute_components(list(enumerate(codes)))
     for size in (3, 1000):
-        from ledgerline.llm.components import connected_components
-
         parts = {r["node"]: r["component"] for r in connected_components(simhash.links(frame, 2, size)).collect()}
         assert {i: parts.get(i, i) for i in range(len(codes))} == {i: w[1] for i, w in want.items()}
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators import audits, lifecycle, ranking, states
+from ledgerline.operators import audits, lifecycle, ranking, states, stories
 from ledgerline.plans import sqltext as S
 from ledgerline.sources import scan
 from ledgerline.tables import table
@@ -416,6 +416,68 @@ SELECT * FROM (VALUES ('drafted', 'applied,ignored'), ('applied', 'interviewing,
 """
 
 
+def demoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per order that name a part which an earlier line has named."""
+    lines = table(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    marked = stories.demoted(lines, ["l_orderkey"], "l_partkey", order)
+    return marked.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if("duplicate").alias("duplicates"))
+
+
+DEMOTED_LINES = "SELECT l_orderkey, count(*) AS lines, count(*) - count(DISTINCT l_partkey) AS duplicates FROM lineitem GROUP BY l_orderkey"
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, suppliers, orders = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
+    cited = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return cited.select(F.col("l_orderkey").alias("story"), F.col("c_nationkey").alias("own"), F.col("s_nationkey").alias("space"), F.col("l_partkey").alias("id"))
+
+
+def home_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's home nation: the customer's if a supplier is there, else that of most parts, ties by the greatest key."""
+    return stories.home_space(_cited(spark, sf_dir))
+
+
+_CITED = "cited AS (SELECT l_orderkey AS story, c_nationkey AS own, s_nationkey AS space, l_partkey AS id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
+_HOMES = f"{_CITED}, homes AS (SELECT story, space AS home FROM cited GROUP BY story, space, own QUALIFY row_number() OVER (PARTITION BY story ORDER BY space = own DESC, count(DISTINCT id) DESC, space DESC) = 1)"
+HOME_NATIONS = f"WITH {_HOMES} SELECT story, home FROM homes"
+
+
+def foreign_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that orders cite outside their home nation, counted."""
+    return stories.cross_space(_cited(spark, sf_dir)).groupBy("story").agg(F.count(F.lit(1)).alias("parts"))
+
+
+FOREIGN_PARTS = f"WITH {_HOMES} SELECT story, count(DISTINCT id) AS parts FROM cited JOIN homes USING (story) WHERE space <> home GROUP BY story"
+
+
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's kinds of events in the order in which they first came."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
+    listed = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("x"))
+    return listed.select("user_id", F.array_join("x.event_type", ",").alias("kinds"))
+
+
+FIRST_SEEN = "SELECT user_id, string_agg(event_type, ',' ORDER BY at) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY 1, 2) GROUP BY user_id"
+
+
+def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of every kind by a price table of patterns: the first pattern by name that the kind contains."""
+    prices = spark.createDataFrame([("click", 0.5), ("i", 0.25), ("view", 0.1)], "pattern string, price double")
+    kinds = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.col("value").cast("decimal(20,6)")), 2).cast("double").alias("units"))
+    matched = kinds.join(F.broadcast(prices), F.contains("event_type", F.col("pattern")), "left")
+    best = matched.groupBy("event_type", "calls", "units").agg(F.min_by("price", "pattern").alias("price"))
+    return best.select("event_type", "calls", "units", F.coalesce(F.col("price"), F.lit(0.0)).alias("price"), F.round(F.col("calls") * F.coalesce("price", F.lit(0.0)), 2).alias("cost"))
+
+
+COSTS = """
+WITH prices(pattern, price) AS (VALUES ('click', 0.5::DOUBLE), ('i', 0.25), ('view', 0.1)),
+kinds AS (SELECT event_type, count(*) AS calls, CAST(round(sum(CAST(value AS DECIMAL(20, 6))), 2) AS DOUBLE) AS units FROM events GROUP BY 1),
+best AS (SELECT event_type, calls, units, coalesce(arg_min(price, pattern), 0.0) AS price FROM kinds LEFT JOIN prices ON contains(event_type, pattern) GROUP BY ALL)
+SELECT event_type, calls, units, price, round(calls * price, 2) AS cost FROM best
+"""
+
+
 QUERIES = {
     "recent_events": (recent_events, RECENT_EVENTS), "exclusion_reasons": (exclusion_reasons, EXCLUSION_REASONS), "order_links": (order_links, ORDER_LINKS), "nested_links": (nested_links, NESTED_LINKS),
     "provenance": (provenance, PROVENANCE), "orphans": (orphans, ORPHANS), "decided_on_stale": (decided_on_stale, DECIDED_ON_STALE), "first_of_text": (first_of_text, FIRST_OF_TEXT),
@@ -425,4 +487,5 @@ QUERIES = {
     "unreviewed_replaced": (unreviewed_replaced, UNREVIEWED_REPLACED), "changed_orders": (changed_orders, CHANGED_ORDERS), "supersession": (supersession, SUPERSESSION),
     "captured_versions": (captured_versions, CAPTURED_VERSIONS), "illegal_steps": (illegal_steps, ILLEGAL_STEPS), "daily_log": (daily_log, DAILY_LOG), "event_flags": (event_flags, EVENT_FLAGS),
     "audit_scorecard": (audit_scorecard, AUDIT_SCORECARD), "tailored": (tailored, TAILORED), "allowed_steps": (allowed_steps, ALLOWED_STEPS),
+    "demoted_lines": (demoted_lines, DEMOTED_LINES), "home_nations": (home_nations, HOME_NATIONS), "foreign_parts": (foreign_parts, FOREIGN_PARTS), "first_seen": (first_seen, FIRST_SEEN), "costs": (costs, COSTS),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import lexicon as L
 from ledgerline.functions import text as X
-from ledgerline.operators import entities, graph, ranking, segments, statements
+from ledgerline.operators import entities, graph, ranking, segments, statements, structure
 from ledgerline.plans import sqltext as S
 from ledgerline.sources import scan
 from ledgerline.tables import table
@@ -309,6 +309,26 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.packed_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
 
 
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of every document by kind."""
+    return structure.elements(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("elements"), F.sum(F.length("body")).alias("chars"))
+
+
+def element_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of documents that no element has: none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segments.coverage_violations(docs, structure.elements(docs, "doc_id").select("doc_id", "start", "end", "body"), "doc_id")
+
+
+def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest per language over its documents in order, by way of a digest for each."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("d"))
+    return docs.groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+
+
+CORPUS_DIGEST = "SELECT lang, doc_id // 1000 AS block, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2"
+
+
 QUERIES = {
     "top_postings": (top_postings, TOP_POSTINGS), "posting_scores": (posting_scores, POSTING_SCORES), "token_counts": (token_counts, TOKEN_COUNTS), "top_terms": (top_terms, TOP_TERMS),
     "dispositions": (dispositions, DISPOSITIONS), "canonical_urls": (canonical_urls, CANONICAL_URLS), "html_texts": (html_texts, HTML_TEXTS), "fingerprints": (fingerprints, FINGERPRINTS),
@@ -316,5 +336,5 @@ QUERIES = {
     "problem_context": (problem_context, PROBLEM_CONTEXT), "invitations": (invitations, INVITATIONS), "number_gate": (number_gate, NUMBER_GATE), "shared_lines": (shared_lines, SHARED_LINES),
     "assigned_items": (assigned_items, ASSIGNED_ITEMS), "item_mentions": (item_mentions, ITEM_MENTIONS), "similar_items": (similar_items, SIMILAR_ITEMS), "item_groups": (item_groups, ITEM_GROUPS),
     "paragraph_spans": (paragraph_spans, PARAGRAPH_SPANS), "chunk_spans": (chunk_spans, None), "chunk_coverage": (chunk_coverage, CHUNK_COVERAGE), "reflowed_texts": (reflowed_texts, None),
-    "claim_flags": (claim_flags, None), "batches": (batches, None),
+    "claim_flags": (claim_flags, None), "batches": (batches, None), "page_elements": (page_elements, None), "element_coverage": (element_coverage, CHUNK_COVERAGE), "corpus_digest": (corpus_digest, CORPUS_DIGEST),
 }

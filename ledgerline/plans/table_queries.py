@@ -458,7 +458,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("user_id", F.array_join("x.event_type", ",").alias("kinds"))
 
 
-FIRST_SEEN = "SELECT user_id, string_agg(event_type, ',' ORDER BY at) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY 1, 2) GROUP BY user_id"
+FIRST_SEEN = "SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) GROUP BY user_id"
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,18 +95,17 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
         return (F.col("good") + strength * F.col("prior")) / (F.col("n") + strength)
 
     level = by_suffix.withColumn("prior", F.lit(top))
-    suffixes = level.select("suffix", shrunk(level, _strength(level)).alias("suffix_share"))
-    level = skewed_lookup(by_domain, suffixes, "suffix").withColumn("prior", F.col("suffix_share"))
+    suffixes = materialize(level.select("suffix", shrunk(level, _strength(level)).alias("suffix_share")))
+    level = materialize(skewed_lookup(by_domain, suffixes, "suffix").withColumn("prior", F.col("suffix_share")))
     domains = materialize(level.select("domain", shrunk(level, _strength(level)).alias("domain_share")))
     strength = _strength(skewed_lookup(by_host.select("domain", "good", "n"), domains, "domain").withColumn("prior", F.col("domain_share")))
 
-    wanted = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    wanted = skewed_lookup(skewed_lookup(wanted, domains, "domain"), suffixes, "suffix")
-    wanted = wanted.join(counted, "host", "left")  # both sides have a host once
-    prior = F.coalesce("domain_share", "suffix_share", F.lit(top))
-    a = F.coalesce("good", F.lit(0.0)) + strength * prior
+    wanted = materialize(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+    own = materialize(wanted.select("domain", "suffix").distinct().join(domains, "domain", "left"))  # both have a domain once
+    priors = materialize(skewed_lookup(own, suffixes, "suffix").select("domain", F.coalesce("domain_share", "suffix_share", F.lit(top)).alias("prior")))
+    wanted = materialize(skewed_lookup(wanted.select("host", "domain"), priors, "domain")).join(counted, "host", "left")  # both have a host once
     size = F.coalesce("n", F.lit(0.0)) + strength
-    share = a / size
+    share = (F.coalesce("good", F.lit(0.0)) + strength * F.col("prior")) / size
     return wanted.select("host", share.alias("share"), (share + WIDTH * F.sqrt(share * (1 - share) / (size + 1))).alias("upper"))
 
 
@@ -121,17 +120,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, url_col:
     and path and is judged as a host of that name. All rows stay, repeated ones
     too; an empty table gives an empty one.
     """
-    host, path, rule, verdict, upper = (fresh(pages, c) for c in ("host", "path", "rule", "verdict", "upper"))
+    host, path, rule, verdict = (fresh(pages, c) for c in ("host", "path", "rule", "verdict"))
     rows = pages.withColumns({host: host_of(F.col(url_col)), path: path_of(F.col(url_col))})
-    places = rows.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct()
-    ruled = match_rules(places, rules)
-    known = host_reputation(outcomes, places.select("host").distinct()).select(F.col("host").alias(host), F.col("upper").alias(upper))
-    key, own = fresh(rows, "place"), F.concat(F.col(host), F.col(path))
-    fits = ruled.select(F.concat("host", "path").alias(key), F.col("rule").alias(rule), F.col("verdict").alias(verdict))
-    rows = skewed_lookup(rows.withColumn(key, own), fits, key)
-    rows = skewed_lookup(rows, known, host)
-    judged = F.coalesce(F.col(verdict), F.when(F.col(upper) < good_share, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select(*(F.col(f"`{c}`") for c in pages.columns), F.col(host), F.col(path), F.col(rule), judged.alias(verdict))
+    places = materialize(rows.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct())
+    known = materialize(host_reputation(outcomes, places.select("host").distinct()).select("host", "upper"))
+    judged = materialize(skewed_lookup(places, known, "host")).join(match_rules(places, rules), ["host", "path"], "left")
+    key = fresh(rows, "place")
+    judged = judged.select(
+        F.concat("host", "path").alias(key), F.col("rule").alias(rule),
+        F.coalesce("verdict", F.when(F.col("upper") < good_share, F.lit("block")).otherwise(F.lit("allow"))).alias(verdict),
+    )
+    rows = skewed_lookup(rows.withColumn(key, F.concat(F.col(host), F.col(path))), materialize(judged), key)
+    return rows.select(*(F.col(f"`{c}`") for c in pages.columns), F.col(host), F.col(path), F.col(rule), F.col(verdict))
 
 
 #: The query's rules and reputation in DuckDB.

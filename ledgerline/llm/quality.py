@@ -206,7 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     by = F.xxhash64(F.col("label_id").cast("string"))
     chosen = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("label_id")))
-    chosen = chosen.groupBy("label_id").agg((F.avg("label") >= 0.5).cast("int").alias("label")).orderBy(by, "label_id").limit(sample_rows)
+    chosen = chosen.groupBy("label_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    n = chosen.count()
+    if n > 8 * sample_rows:  # the smallest hashes are among the lowest share of all hashes, so few rows need be ordered
+        chosen = chosen.where(by < F.lit(int(-(1 << 63) + 4 * sample_rows / n * (1 << 64))))
+    chosen = chosen.orderBy(by, "label_id").limit(sample_rows)
 
     @F.arrow_udf("array<double>")
     def measured(text: pa.Array) -> pa.Array:

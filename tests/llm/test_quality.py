@@ -28,6 +28,15 @@ def test_held_out_labels_do_not_matter(spark, sf_dir):
     assert all(np.array_equal(x, y) for x, y in zip(a.tables + a.pair_tables, b.tables + b.pair_tables, strict=True))
 
 
+def test_the_sample_is_that_of_the_smallest_hashes(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id") % 7).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("quality"))
+    few = quality.train(docs, labels, sample_rows=50)
+    chosen = labels.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(50)
+    want = quality.train(docs, chosen, sample_rows=1000)
+    assert few.base == want.base and all(np.array_equal(a, b) for a, b in zip(few.tables, want.tables, strict=True))
+
+
 def test_score_is_a_sum_of_table_entries():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))

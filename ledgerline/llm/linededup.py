@@ -3,10 +3,10 @@
 Two lines within one edit (insert, delete or replace a character) have a
 deletion variant in common: each line emits itself and itself without its i-th
 character, as hashed keys, and equal keys meet. To keep that affordable for
-long lines the edit is placed first: with one edit, either the first or the
-second half of the shorter line's characters stays whole, so a line emits
-variants of the other half only, and only when another distinct line of nearly
-the same length shares the whole half. Pairs that meet are verified with the
+long lines the edit is placed first: with one edit, all but one half of the shorter line's
+characters stay whole (long lines have more parts than two), so a line emits
+variants of one part only, and only when another distinct line of nearly the
+same length shares all the rest. Pairs that meet are verified with the
 edit distance of their full texts, and a line goes when an earlier one is
 within the bound. Equal lines meet by hash before all this.
 """
@@ -23,21 +23,32 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 
 
-def _half(n: Column) -> Column:
-    return F.floor(n / 2).cast("int")
+#: Lines of over WHOLE characters have a part for every PART characters, MOST_PARTS at most; shorter ones have two.
+WHOLE, PART, MOST_PARTS = 1000, 500, 512
+
+
+def _parts(size: Column) -> Column:
+    return F.when(size <= WHOLE, 2).otherwise(F.least(F.lit(MOST_PARTS), F.ceil(size / PART))).cast("int")
+
+
+def _edge(i: Column, size: Column) -> Column:
+    """Where the i-th part of ``size`` characters begins."""
+    return F.floor(i * size / _parts(size)).cast("int")
+
+
+def _outside(line: Column, i: Column, size: Column) -> Column:
+    """A key of all but the i-th part of a line, for pairs whose shorter line has ``size`` characters."""
+    return F.xxhash64(i, size, F.substring(line, F.lit(1), _edge(i, size)), F.right(line, size - _edge(i + 1, size)))
 
 
 def _rest_keys(line: Column, n: Column) -> Column:
-    """Keys of the whole halves, for pairs whose shorter line has n or n - 1 characters."""
+    """Keys of what lies outside each part, for pairs whose shorter line has n characters, then for those where it has n - 1."""
 
-    def of(size: Column) -> list[Column]:
-        half = _half(size)
-        return [
-            F.xxhash64(F.lit(0), size, F.substring(line, F.lit(1), half)),
-            F.xxhash64(F.lit(1), size, F.right(line, size - half)),
-        ]
+    def of(size: Column) -> Column:
+        two = F.array(_outside(line, F.lit(0), size), _outside(line, F.lit(1), size))
+        return F.when(size <= WHOLE, two).otherwise(F.transform(F.sequence(F.lit(0), _parts(size) - 1), lambda i: _outside(line, i, size)))
 
-    return F.array(*of(n), *of(n - 1))
+    return F.concat(of(n), of(n - 1))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -50,6 +61,17 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def _within_one(a: Column, b: Column) -> Column:
+    """Whether at most one edit parts two lines. Spark's distance takes the square of a length, so long lines are compared beyond their common start."""
+    least = F.least(F.length(a), F.length(b))
+    steps = F.lit([1 << k for k in range(29, -1, -1)])
+    grown = lambda at, step: F.when((at + step <= least) & (F.left(a, at + step) == F.left(b, at + step)), at + step).otherwise(at)
+    same = F.aggregate(F.filter(steps, lambda s: s <= least), F.lit(0), grown)
+    tail = lambda line, longest: F.substring(line, same + 1 + longest.cast("int"), F.length(line))
+    linear = (F.abs(F.length(a) - F.length(b)) <= 1) & (tail(a, F.length(a) >= F.length(b)) == tail(b, F.length(b) >= F.length(a)))
+    return F.when(least <= WHOLE, F.levenshtein(a, b, MAX_EDITS) >= 0).otherwise(linear)
+
+
 def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc, text_key, line_no) of first occurrences that are within one edit of an earlier, different line."""
     keyed = firsts.where("half_keys is not null").select("at", F.posexplode("half_keys").alias("kind", "half_key"))
@@ -62,9 +84,11 @@ def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     found = materialize(found.select(F.struct("doc", "text_key", "w.line_no").alias("at"), "w.kind", "w.half_key", F.col("all_lines")[F.col("w.line_no")].alias("line")).distinct())
 
     size = F.length("line")
-    longer = F.col("kind") >= 2  # it meets lines that have one character less
+    longer = F.col("kind") >= _parts(size)  # it meets lines that have one character less
     least = F.when(longer, size - 1).otherwise(size)
-    rest = F.when(F.col("kind") % 2 == 0, F.substring("line", _half(least) + 1, size)).otherwise(F.left("line", size - (least - _half(least))))
+    part = F.when(longer, F.col("kind") - _parts(size)).otherwise(F.col("kind"))
+    before = _edge(part, least)
+    rest = F.substring("line", before + 1, size - before - (least - _edge(part + 1, least)))
     parts = found.select("at", "half_key", longer.alias("longer"), rest.alias("rest"))
     variant = parts.select("at", "half_key", "longer", "rest", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("gone")).where("gone > 0 or not longer")
     variant = variant.select(
@@ -86,7 +110,7 @@ def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = pairs.where("earlier < at").distinct()
     text = found.select("at", "line").distinct()
     pairs = pairs.join(text, "at").join(text.select(F.col("at").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
-    return pairs.where(F.levenshtein("line", "earlier_line", MAX_EDITS) >= 0).select("at.doc", "at.text_key", "at.line_no").distinct()
+    return pairs.where(_within_one(F.col("line"), F.col("earlier_line"))).select("at.doc", "at.text_key", "at.line_no").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:

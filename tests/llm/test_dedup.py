@@ -120,6 +120,17 @@ def test_lines_against_brute_force(spark):
     assert got == sorted(brute_lines(frame))
 
 
+def test_long_lines_are_cut_into_parts(spark):
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefgh ", k=1501))
+    docs = [(0, base), (1, base[:1000] + "X" + base[1001:]), (2, base[1:]), (3, base[:-1]), (4, base[:700] + base[701:]), (5, base[:700] + "ZZ" + base[700:]), (6, base + "!"), (7, base[:499] + base[500:])]
+    huge = "".join(rng.choices("abcdefgh ", k=300_000))
+    docs += [(8, huge), (9, huge[:123_456] + "?" + huge[123_456:]), (10, huge[:-2])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["lines_dropped"] for r in linededup.line_dedup(frame).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 0, 9: 1, 10: 0}
+
+
 def test_lines_awkward_rows(spark, tricky, nothing):
     out = linededup.line_dedup(tricky)
     assert out.columns == [*tricky.columns, "lines_total_", "lines_dropped"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import fresh, materialize
+from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, utf8, words_of
 from ledgerline.operators.graph import connected_components
 
 BITS = 64
@@ -253,8 +253,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows without an id are kept as they are. Extra columns of any name pass through; columns of map type don't.
     """
+    kept = simhash_components(docs, id_col, text_col, radius).where(f"`{id_col}` = component_id").select(id_col).distinct()
+    return _one_row_each(docs, id_col, kept)
+
+
+def _one_row_each(docs: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in the only column of ``kept``, one of each id (that of the smallest hash), and all without an id."""
     key, mark = fresh(docs, "kept"), fresh(docs, "row_hash")
-    kept = simhash_components(docs, id_col, text_col, radius).where(f"`{id_col}` = component_id").select(F.col(id_col).alias(key)).distinct()
+    kept = kept.toDF(key)
     hashed = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     least = hashed.groupBy(F.col(id_col).alias(key)).agg(F.min(mark).alias(mark)).join(kept, key, "left_semi")
     least = least.withColumnRenamed(mark, key + "_hash")
@@ -262,3 +268,144 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = hashed.dropDuplicates([id_col, mark])
     one = one.join(least, (one[id_col] == least[key]) & (one[mark] == least[key + "_hash"]), "left_semi").drop(mark)
     return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+# --- near copies by the similarity of shingle sets ---------------------------------
+
+#: Texts are near copies when the sets of their 5-word shingles have this Jaccard similarity or more.
+WORDS, SIMILARITY = 5, 0.8
+#: Texts of similarity 0.8 share none of BANDS keys of ROWS least hashes each with probability (1 - 0.8**5)**40, about 1e-7.
+BANDS, ROWS = 40, 5
+#: Fingerprints at similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3.
+WIDE_RADIUS = 24
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (1, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted, distinct hashes of each text's shingles (fewer words: one shingle of all; none: an empty set)."""
+    raw, offsets = utf8(column)
+    for a, b in chunks(offsets):
+        low = offsets[a]
+        _, _, hashes, first = words_of(_LOWER[raw[low : offsets[b]]], offsets[a : b + 1] - low)
+        sums = WORD_POWERS.sums(hashes)
+        for f, past in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            width = min(words, past - f)
+            start = np.arange(f, past - width + 1) if width else np.zeros(0, np.int64)
+            yield np.unique(WORD_POWERS.slices(sums, start, start + width))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key per band, of the least hashes of a set under ROWS orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[first : first + 4096, None] * _TURNS).min(axis=0), out=least)
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, codes, sizes, keys = [], [], [], []
+        for h in shingle_sets(batch.column(2)):
+            node.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED))
+            codes.append(_majority(h) if len(h) else 0)
+            sizes.append(len(h))
+            keys.append(band_keys(h) if len(h) else [])
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, codes)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_key", "node", "fp", "size", "keys"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of different labels under one key; rows come sorted by key.
+
+    Pairs within the largest label are never looked at, so that a large group which is connected already costs no square.
+    """
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, label, size = (t[c].to_numpy() for c in ("node", "label", "size"))
+        codes = t["fp"].to_numpy().view(np.uint64)
+        names, back, counts = np.unique(label, return_inverse=True, return_counts=True)
+        large = back == counts.argmax()
+        rest, most = np.flatnonzero(~large), np.flatnonzero(large)
+        rest = rest[np.argsort(gray_rank(codes[rest]), kind="stable")]
+        found = ((rest[i], rest[j]) for i, j in near_pairs(codes[rest], np.zeros(len(rest), np.int64), WIDE_RADIUS))
+        across = ((np.full(len(hit), i), hit) for i in rest.tolist() if len(hit := most[np.bitwise_count(codes[most] ^ codes[i]) <= WIDE_RADIUS]))
+        for group in (found, across):
+            for i, j in group:
+                fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
+                i, j = i[fits], j[fits]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(batch.schema.get_field_index("key")).to_numpy()
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() if len(key) else []
+        for a, b in zip(edges, [*edges[1:], len(key)], strict=True):
+            part = batch.slice(a, b - a)
+            if held and held[-1]["key"][0] != part["key"][0]:
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            held.append(part)
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def _alike(pairs: DataFrame, where: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity, computed from the whole texts, is SIMILARITY or more."""
+
+    @F.arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(shingle_sets(left), shingle_sets(right), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both * 5 >= (len(x) + len(y) - both) * 4)  # SIMILARITY in whole numbers
+        return pa.array(out, pa.bool_())
+
+    wanted = where.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "at.doc", "at.text_key")
+    body = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("body"))
+    texts = materialize(body.join(wanted, ["doc", "text_key"]).groupBy("node").agg(F.min("body").alias("body")))
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    return materialize(met.where(alike("x", "y")).select("a", "b"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest id. Columns stay as they are.
+
+    Two texts are near copies when the sets of their 5-word shingles (ASCII
+    letters in lower case) have a Jaccard similarity of 0.8 or more; groups are
+    the components of these links. Equal sets are one before anything is
+    compared. Sets that share a key of least hashes meet; those whose SimHash
+    fingerprints are within WIDE_RADIUS bits, found in Gray order, are candidates, and
+    each candidate pair is verified with the whole texts. At first every set is
+    compared with one of its key; then only pairs which that left apart are.
+    Texts without words are one group; rows of one id are one row, and rows
+    without an id are kept as they are, as in ``simhash_dedup``.
+    """
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("text_key", "node", "fp", "size")] + [T.StructField("keys", T.ArrayType(T.LongType()))])
+    text = F.col(text_col).cast("string")
+    rows = materialize(docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(text), text).mapInArrow(_set_rows, schema))
+    sets = materialize(rows.groupBy("node").agg(F.min(F.struct("doc", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    member = F.struct("node", "fp", "size")
+    every = sets.select("node", "fp", "size", F.explode("keys").alias("key"))
+    groups = every.groupBy("key").agg(F.min(member).alias("least"), F.max("node").alias("last")).where("least.node <> last").select("key", "least")
+    keyed = materialize(every.join(groups, "key"))
+    fits = (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE_RADIUS) & (F.least("size", "least.size") >= SIMILARITY * F.greatest("size", "least.size"))
+    tried = materialize(keyed.where((F.col("node") != F.col("least.node")) & fits).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
+    found = _alike(tried, sets, docs, id_col, text_col)
+    ids = rows.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc", "a")
+    found = materialize(found.unionByName(rows.join(ids, "doc").select("a", F.col("node").alias("b")).where("a <> b").distinct()))
+
+    parts = materialize(connected_components(found))
+    labelled = keyed.select("key", "node", "fp", "size").join(parts, "node", "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("label"))
+    labelled = materialize(labelled)
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = labelled.join(open_keys, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label")
+    pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    more = materialize(left.mapInArrow(_apart, pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    parts = connected_components(found.unionByName(_alike(more, sets, docs, id_col, text_col)))
+    classes = sets.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("at.doc").alias("doc"))
+    return _one_row_each(docs, id_col, classes.select("doc"))

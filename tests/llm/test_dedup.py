@@ -74,6 +74,58 @@ def test_simhash_awkward_rows(spark, tricky, nothing):
     assert simhash.simhash_components(nothing).count() == 0 and simhash.simhash_dedup(nothing).count() == 0
 
 
+def brute_near_kept(docs):
+    """Ids that stay when all pairs of 5-word shingle sets are compared; ids are distinct."""
+    sets = {}
+    for doc, text in docs:
+        words = (text or "").encode().lower().split()
+        sets[doc] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    left = {d: d for d in sets}
+
+    def root(d):
+        while left[d] != d:
+            d = left[d]
+        return d
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and len(x & y) * 5 >= len(x | y) * 4:
+                p, q = sorted((root(a), root(b)))
+                left[q] = p
+    return {d for d in order if root(d) == d}
+
+
+def test_near_copies_of_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute_near_kept([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == want
+
+
+def test_near_copies_around_the_bound(spark):
+    rng = random.Random(5)
+    docs = []
+    for k in range(12):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        for _ in range(10):
+            docs.append((len(docs), " ".join(words)))
+            words = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.near_dedup(frame).collect()}
+    assert got == brute_near_kept(docs) and 12 <= len(got) < len(docs)
+    assert simhash.simhash_dedup(frame).count() > len(got)
+
+
+def test_near_copies_awkward_rows(spark, tricky, nothing):
+    kept = simhash.near_dedup(tricky)
+    assert kept.columns == tricky.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8, 9, 10]
+    assert simhash.near_dedup(nothing).count() == 0
+
+
 # --- lines ---------------------------------------------------------------------
 
 

@@ -43,13 +43,18 @@ def _windows(raw: np.ndarray, width: int) -> np.ndarray:
     return out[: max(0, len(raw) - width + 1)]
 
 
+def _whole(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One anchor for all bytes of a text."""
+    return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(raw.tobytes(), digest_size=8).digest(), "<u8").astype(np.uint64)
+
+
 def closed_syncmers(raw: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the closed syncmers of one text's bytes; a text of under k bytes is one anchor as a whole, an empty one none."""
+    """Places and hashes of the closed syncmers of one text's bytes; a text without any (of under k bytes, or of few k-mers) is one anchor as a whole, an empty one none."""
     n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < k:
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.zeros(1, np.int64), np.frombuffer(hashlib.blake2b(raw.tobytes(), digest_size=8).digest(), "<u8").astype(np.uint64)
+        return _whole(raw)
     inner = _windows(raw, s)
     width = k - s + 1
     least, reach = inner, 1
@@ -60,6 +65,8 @@ def closed_syncmers(raw: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
     m = n - k + 1
     at = np.flatnonzero((inner[:m] == least) | (inner[k - s : k - s + m] == least))
+    if not len(at):
+        return _whole(raw)
     return at, mix(inner[at] * _B + inner[at + k - s] + np.uint64(k))
 
 

@@ -63,3 +63,12 @@ def test_awkward_rows(spark, tricky, nothing):
     assert syncmers.compare_with_next(nulls).count() == 2
     assert syncmers.fingerprint_documents(tricky).columns == [*tricky.columns, "fingerprint_"]
     assert {r["doc"] for r in syncmers.anchors(tricky).collect()} == {r["doc_id"] for r in tricky.collect() if r["text"]}
+
+
+def test_short_texts_have_an_anchor():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in range(24, 35) for _ in range(20)]
+    prints = [syncmers.fingerprint(t) for t in texts]
+    assert len(set(prints)) == len(set(texts)) and syncmers.fingerprint(b"") not in prints
+    assert all(syncmers.likeness(p, syncmers.fingerprint(b"")) == 0.0 for p in prints)
+    assert max(syncmers.likeness(a, b) for a, b in zip(prints, prints[1:], strict=False)) < 1.0

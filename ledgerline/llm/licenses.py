@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import fresh, skewed_lookup
-from ledgerline.llm.license_texts import SPELLINGS, TEXTS
+from ledgerline.llm.license_texts import SPELLINGS, TEXTS, full_texts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that starts with a copyright sign or word and then names a year, a sign or a place for one; Java's and DuckDB's patterns agree on it.
@@ -41,8 +41,8 @@ def digest(text: Column) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text) with and without each title."""
-    return [(name, f"{title}\n{text}" if title else text) for name, titles, text in TEXTS for title in ["", *titles]]
+    """(licence, text) with and without each title, then entire licences."""
+    return [(name, f"{title}\n{text}" if title else text) for name, titles, text in TEXTS for title in ["", *titles]] + full_texts()
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:

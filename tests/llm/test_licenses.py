@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from ledgerline.llm import licenses
 from ledgerline.llm.license_texts import TEXTS
 
@@ -44,3 +46,12 @@ def test_many_known_digests_are_shuffled(spark, tricky, monkeypatch):
     monkeypatch.setattr(licenses, "BROADCAST_KNOWN", 3)
     docs = spark.createDataFrame([(1, MIT), (2, "x"), (3, None)], "doc_id int, text string")
     assert {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()} == {1: "MIT", 2: None, 3: None}
+
+
+def test_entire_licences(spark):
+    folder = Path(licenses.__file__).parent / "license_files"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    whole = [(folder / f).read_text("utf-8") for f in names]
+    terms = [t.partition("END OF TERMS AND CONDITIONS")[0] for t in whole[:3]]
+    rows = scanned(spark, [*whole, *terms, whole[2].upper().replace(" ", "  "), whole[0][:5000]])
+    assert [rows[i]["license"] for i in range(len(rows))] == [*names.values(), *list(names.values())[:3], "GPL-3.0", None]

@@ -19,7 +19,7 @@ def illegal_steps(log: DataFrame, legal: DataFrame, key: list[str], order: list[
     """The steps of a log, in order per key, that no edge of ``legal`` allows; a state's first appearance is no step and staying is none."""
     steps = log.withColumn("from_state", F.lag(state_col).over(W.partitionBy(*key).orderBy(*order))).withColumn("to_state", F.col(state_col))
     steps = steps.where("from_state is not null and from_state <> to_state")
-    return steps.join(F.broadcast(legal.select("from_state", "to_state").distinct().limit(10_000)), ["from_state", "to_state"], "left_anti")
+    return steps.join(legal.select("from_state", "to_state").distinct(), ["from_state", "to_state"], "left_anti")
 
 
 def allowed(legal: DataFrame) -> DataFrame:

@@ -183,3 +183,9 @@ def test_stream_of_states(spark, tmp_path):
     query = feeds.illegal_steps(stream, "id", "state", "application").writeStream.format("memory").queryName("illegal").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.sql("SELECT * FROM illegal")) == [(1, "drafted", "offer")]
+
+
+def test_no_legal_step_is_dropped(spark):
+    legal = spark.range(12_000).selectExpr("string(id) AS from_state", "string(id + 1) AS to_state")
+    log = spark.range(12_001).selectExpr("1 AS id", "id AS at", "string(id) AS state")
+    assert states.illegal_steps(log, legal, ["id"], ["at"], "state").count() == 0

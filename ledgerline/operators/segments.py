@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,9 @@ _DATES = re.compile(rf"^\s*{_MONTH}(?:\s*(?:[-‐-―]|to)\s*(?:{_MONTH}|Present
 _TITLE = re.compile(r"^\s*\S.{0,58}?, [A-Z]{2,8}\s*$")
 _BROKEN_WORD = re.compile(r"(\w)-[ \t]*\n[ \t]*(?=[a-z])")
 _ENDS = (".", "!", "?", ":", ";")
+BLANKS = " \t\n\x0b\f\r"
+#: Where long texts may be cut, and what is left out after a cut.
+LINE_BREAK, SPACE, _NEXT = re.compile("\n"), re.compile(" "), re.compile("[\n ]*")
 
 
 def stands_alone(line: str) -> bool:
@@ -78,17 +82,36 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFram
     return cut.select(id_col, "paragraph", "start", (F.col("start") + F.length("body")).alias("end"), "body")
 
 
-def _cuts(text: str, limit: int) -> list[tuple[int, int]]:
+def spans_within(text: str, limit: int, *marks: re.Pattern[str]) -> list[tuple[int, int]]:
+    """Spans of at most ``limit`` characters that cover a text but for white space between them.
+
+    A span ends at the last place inside the limit where the first pattern
+    matches (in front of the match's last character), else the second, and so on, else at the limit.
+    """
+    places = [[(m.end() - 1, m.start()) for m in mark.finditer(text)] for mark in marks] if len(text) > limit else []
     spans, at = [], 0
-    while len(text) - at > limit:
-        line = text.rfind("\n", at + 1, at + limit)
-        cut = line if line > 0 else text.rfind(" ", at + 1, at + limit)
-        cut = cut if cut > 0 else at + limit
-        spans.append((at, cut))
-        at = cut
-        while at < len(text) and text[at] in "\n ":
-            at += 1
-    return [*spans, (at, len(text))] if at < len(text) else spans
+    while at < len(text):
+        end = len(text)
+        if end - at > limit:
+            last = (held[i - 1] for held in places if (i := bisect_left(held, (at + limit,))))
+            end = next((place for place, begun in last if begun >= at and place > at), at + limit)
+        spans.append((at, end))
+        at = _NEXT.match(text, end).end()
+    return spans
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("body", T.StringType())]))
+ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("body", pa.string())]))
+
+
+def cut_with(limit: int, *marks: re.Pattern[str]):
+    """An Arrow function from texts to their spans within ``limit``, each with its slice of the text."""
+
+    @F.arrow_udf(SPANS)
+    def cut(text: pa.Array) -> pa.Array:
+        return pa.array([[{"a": a, "b": b, "body": t[a:b]} for a, b in spans_within(t, limit, *marks)] for t in text.to_pylist()], ARROW_SPANS)
+
+    return cut
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str = "text", limit: int = MAX_CHARS) -> DataFrame:
@@ -97,35 +120,41 @@ def chunked(docs: DataFrame, id_col: str, text_col: str = "text", limit: int = M
     Short paragraphs never leave the JVM; each cut depends on the one before, so long ones go through an Arrow function.
     """
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))
-    def cut(text: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.array([[{"a": a, "b": b} for a, b in _cuts(t, limit)] for t in text.to_pylist()], kind)
-
     whole = paragraphs(docs, id_col, text_col)
-    long = whole.where(F.length("body") > limit).select(id_col, "start", "body", F.explode(cut("body")).alias("c"))
-    long = long.select(id_col, (F.col("start") + F.col("c.a")).alias("start"), (F.col("start") + F.col("c.b")).alias("end"), F.expr("substring(body, c.a + 1, c.b - c.a)").alias("body"))
+    long = whole.where(F.length("body") > limit).select(id_col, "start", F.explode(cut_with(limit, LINE_BREAK, SPACE)("body")).alias("c"))
+    long = long.select(id_col, (F.col("start") + F.col("c.a")).alias("start"), (F.col("start") + F.col("c.b")).alias("end"), "c.body")
     return whole.where(F.length("body") <= limit).select(id_col, "start", "end", "body").unionByName(long)
 
 
 def coverage_violations(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, start, reason) for spans out of bounds, overlapping or not equal to their slice, and for gaps that aren't white space."""
-    text = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("whole"))
-    rows = spans.join(text, F.col(id_col) == F.col("k"))
-    before = W.partitionBy(id_col).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-    gap = F.expr("substring(whole, reached + 1, start - reached)")
-    bounds = (F.col("start") < 0) | (F.col("end") > F.length("whole")) | (F.col("start") >= F.col("end"))
-    reason = (
-        F.when(bounds, "out_of_bounds")
-        .when(F.col("start") < F.col("reached"), "overlap")
-        .when(F.expr("substring(whole, start + 1, end - start)") != F.col("body"), "not_the_slice")
-        .when(~gap.rlike(r"^\s*$"), "gap")
-    )
-    found = rows.select(id_col, "start", reason.alias("reason"))
-    ends = spans.groupBy(F.col(id_col).alias("d")).agg(F.max("end").alias("reached"))
-    rest = text.join(ends, F.col("k") == F.col("d"), "left").where(~F.expr("substring(whole, coalesce(reached, 0) + 1, length(whole))").rlike(r"^\s*$"))
-    return found.where("reason is not null").unionByName(rest.select(F.col("k").alias(id_col), F.coalesce("reached", F.lit(0)).alias("start"), F.lit("gap").alias("reason")))
+    """(id, start, reason) for spans out of bounds, overlapping or not equal to their slice, and for gaps that aren't white space.
+
+    The spans of a document meet its text once, as a list, so the work grows with
+    the text and not with text times spans. A null text counts as empty.
+    """
+    found = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("reason", T.StringType())]))
+
+    @F.arrow_udf(found)
+    def faults(text: pa.Array, held: pa.Array) -> pa.Array:
+        rows = []
+        for whole, listed in zip(text.to_pylist(), held.to_pylist(), strict=True):
+            whole, reached, out = whole or "", 0, []
+            for s in listed or []:
+                a, b = s["start"], s["end"]
+                checks = {
+                    "out_of_bounds": a < 0 or b > len(whole) or a >= b, "overlap": a < reached,
+                    "not_the_slice": whole[max(a, 0) : b] != s["body"], "gap": bool(whole[reached:max(a, 0)].strip(BLANKS)),
+                }
+                out += [{"start": a, "reason": reason} for reason, broken in checks.items() if broken][:1]
+                reached = max(reached, b)
+            if whole[reached:].strip(BLANKS):
+                out.append({"start": reached, "reason": "gap"})
+            rows.append(out)
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("reason", pa.string())])))
+
+    lists = spans.groupBy(F.col(id_col).alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "body"))).alias("held"))
+    rows = docs.select(id_col, F.col(text_col).alias("whole")).join(lists, F.col(id_col) == F.col("k"), "left")
+    return rows.select(id_col, F.explode(faults("whole", "held")).alias("fault")).select(id_col, "fault.start", "fault.reason")
 
 
 def packed_batches(chunks: DataFrame, group_col: str, order_col: str, chars_col: str, most_chunks: int = 30, most_chars: int = 14_000) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.graph import subtrees
-from ledgerline.operators.segments import _DATES, _ENDS, _TITLE, MAX_CHARS, stands_alone
+from ledgerline.operators.segments import _DATES, _ENDS, _TITLE, LINE_BREAK, MAX_CHARS, SPACE, cut_with, stands_alone
 
 VERSION = 1
 # fixed values: how lines of each kind begin
@@ -22,9 +24,9 @@ _SENTENCE_END = re.compile(r"[.!?][)\"”']*\s")
 
 ELEMENT = T.StructType([
     T.StructField("seq", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    T.StructField("level", T.IntegerType()), T.StructField("parent", T.IntegerType()),
+    T.StructField("level", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("body", T.StringType()),
 ])
-_ARROW = pa.list_(pa.struct([("seq", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("level", pa.int32()), ("parent", pa.int32())]))
+_ARROW = pa.list_(pa.struct([("seq", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("level", pa.int32()), ("parent", pa.int32()), ("body", pa.string())]))
 
 
 def _capitals(line: str) -> bool:
@@ -46,64 +48,92 @@ def _kind(line: str) -> str:
     return "entry" if _TITLE.match(line) or _DATES.match(line) else "text"
 
 
-def elements_of(raw: str) -> list[dict[str, object]]:
-    """Elements in document order; lines are grouped as reflowing joins them."""
-    lines = raw.split("\n")
+#: The kind of line that goes on with an element of each kind; a blank line ends all but a paragraph.
+GOES_ON = {"quote": "quote", "item": "text", "paragraph": "text", "code": "code"}
+
+
+class Line(NamedTuple):
+    """A line that carries something; ``block`` numbers the fenced block it lies in."""
+
+    no: int
+    kind: str
+    gap: bool
+    alone: bool
+    words: int
+    ends: bool
+    block: int
+
+
+class Run(NamedTuple):
+    """An element as far as it has been read: its number and what decides whether the next line belongs to it."""
+
+    seq: int
+    kind: str
+    words: int
+    ends: bool
+    fixed: bool
+    block: int
+
+
+def _read(lines: list[str]) -> list[Line]:
+    """Every line but the blank ones outside of fenced blocks; from an opening fence to the closing one, or the end, all is code."""
     kinds = [_kind(x) for x in lines]
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    out: list[dict[str, object]] = []
-    open_headings: list[tuple[int, int]] = []
-
-    def run_of(first: int) -> int:
-        """The last line of the paragraph that starts at ``first``: blank lines between scraps of text don't end it."""
-        said, fixed, last, at = " ".join(lines[first].split()), stands_alone(lines[first]), first, first + 1
-        while at < len(lines):
-            if kinds[at] == "blank":
-                at += 1
-                continue
-            words, alone = " ".join(lines[at].split()), stands_alone(lines[at])
-            if kinds[at] != "text":
-                break
-            if at > last + 1:
-                short = min(len(said.split()), len(words.split())) <= 2
-                if alone or fixed or said.endswith(_ENDS) or not short:
-                    break
-            if alone and at == last + 1:
-                said, fixed = words, True
-            else:
-                said = f"{said} {words}"
-            last, at = at, at + 1
-        return last
-
-    at = 0
-    while at < len(lines):
-        kind, last, level = kinds[at], at, None
-        if kind == "blank":
-            at += 1
+    fences = list(accumulate(k == "code" for k in kinds))
+    found, before = [], -1
+    for no, (text, kind, n) in enumerate(zip(lines, kinds, fences, strict=True)):
+        fenced = kind == "code" or n % 2 == 1
+        if kind == "blank" and not fenced:
             continue
+        flat = text.split()
+        found.append(Line(no, "code" if fenced else kind, no > before + 1, stands_alone(text), len(flat), text.rstrip().endswith(_ENDS), (n + 1) // 2 if fenced else 0))
+        before = no
+    return found
+
+
+def _belongs(run: Run, line: Line) -> bool:
+    if GOES_ON.get(run.kind) != line.kind or run.block != line.block:
+        return False
+    if not line.gap:
+        return True
+    # a blank line is only a scrap of layout where a word or two are parted from open text
+    return run.kind == "paragraph" and not (line.alone or run.fixed or run.ends) and min(run.words, line.words) <= 2
+
+
+def _after(run: Run, line: Line) -> Run:
+    """The run once ``line`` has been read."""
+    if not _belongs(run, line):
+        kind = "paragraph" if line.kind in ("text", "entry") else line.kind
+        return Run(run.seq + 1, kind, line.words, line.ends, line.alone, line.block)
+    if line.alone and not line.gap:
+        return run._replace(words=line.words, ends=line.ends, fixed=True)
+    return run._replace(words=run.words + line.words, ends=line.ends)
+
+
+def _level(kind: str, line: str) -> int | None:
+    if kind == "heading":
+        return len(mark.group(1)) if (mark := _HEADING.match(line)) else 1
+    return 1 + len(_ITEM.match(line).group(1)) // 2 if kind == "item" else None
+
+
+def elements_of(raw: str) -> list[dict[str, object]]:
+    """Elements in document order.
+
+    Lines are classified, a fold numbers the runs they form, and each run is an
+    element. Its parent is the latest heading before it, for a heading the latest of a lower level.
+    """
+    lines = raw.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
+    read = _read(lines)
+    runs = list(accumulate(read, _after, initial=Run(-1, "", 0, False, False, 0)))[1:]
+    out, latest = [], {}
+    for seq, members in groupby(zip(runs, read, strict=True), key=lambda pair: pair[0].seq):
+        members = list(members)
+        kind, first, last = members[0][0].kind, members[0][1].no, members[-1][1].no
+        level = _level(kind, lines[first])
+        above = [s for depth, s in latest.items() if kind != "heading" or depth < level]
+        out.append({"seq": seq, "kind": kind, "start": starts[first], "end": starts[last + 1] - 1, "level": level, "parent": max(above, default=None), "body": "\n".join(lines[first : last + 1])})
         if kind == "heading":
-            mark = _HEADING.match(lines[at])
-            level = len(mark.group(1)) if mark else 1
-            while open_headings and open_headings[-1][0] >= level:
-                open_headings.pop()
-        elif kind == "code":
-            last = next((i for i in range(at + 1, len(lines)) if kinds[i] == "code"), len(lines) - 1)
-        elif kind == "quote":
-            while last + 1 < len(lines) and kinds[last + 1] == "quote":
-                last += 1
-        elif kind == "item":
-            level = 1 + len(_ITEM.match(lines[at]).group(1)) // 2
-            while last + 1 < len(lines) and kinds[last + 1] == "text":
-                last += 1
-        else:
-            kind, last = "paragraph", run_of(at)
-        parent = open_headings[-1][1] if open_headings else None
-        out.append({"seq": len(out), "kind": kind, "start": starts[at], "end": starts[last + 1] - 1, "level": level, "parent": parent})
-        if kind == "heading":
-            open_headings.append((level, out[-1]["seq"]))
-        at = last + 1
+            latest[level] = seq
     return out
 
 
@@ -114,33 +144,15 @@ def elements(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     def scan(text: pa.Array) -> pa.Array:
         return pa.array([elements_of(t or "") for t in text.to_pylist()], _ARROW)
 
-    rows = docs.select(id_col, F.col(text_col).alias("raw"), F.explode(scan(F.col(text_col))).alias("e"))
-    return rows.select(id_col, "e.*", F.expr("substring(raw, e.start + 1, e.end - e.start)").alias("body"))
-
-
-def _pieces(text: str, limit: int) -> list[tuple[int, int]]:
-    spans, at = [], 0
-    while len(text) - at > limit:
-        window = text[at : at + limit]
-        ends = [m.end() - 1 for m in _SENTENCE_END.finditer(window)]
-        cut = max(ends[-1:] or [0]) or max(window.rfind("\n"), 0) or max(window.rfind(" "), 0) or limit
-        spans.append((at, at + cut))
-        at += cut
-        while at < len(text) and text[at] in "\n ":
-            at += 1
-    return [*spans, (at, len(text))] if at < len(text) else spans
+    return docs.select(id_col, F.explode(scan(F.col(text_col))).alias("e")).select(id_col, "e.*")
 
 
 def element_chunks(found: DataFrame, id_col: str, limit: int = MAX_CHARS) -> DataFrame:
     """(id, seq, start, end, body): a chunk per element, long ones cut after sentences, else at a newline, a space, or hard; elements without a letter or digit give none."""
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])))
-    def cut(text: pa.Array) -> pa.Array:
-        return pa.array([[{"a": a, "b": b} for a, b in _pieces(t, limit)] for t in text.to_pylist()], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-
     rows = found.where(F.col("body").rlike("[A-Za-z0-9]"))
-    long = rows.where(F.length("body") > limit).select(id_col, "seq", "start", "body", F.explode(cut("body")).alias("c"))
-    long = long.select(id_col, "seq", (F.col("start") + F.col("c.a")).alias("start"), (F.col("start") + F.col("c.b")).alias("end"), F.expr("substring(body, c.a + 1, c.b - c.a)").alias("body"))
+    long = rows.where(F.length("body") > limit).select(id_col, "seq", "start", F.explode(cut_with(limit, _SENTENCE_END, LINE_BREAK, SPACE)("body")).alias("c"))
+    long = long.select(id_col, "seq", (F.col("start") + F.col("c.a")).alias("start"), (F.col("start") + F.col("c.b")).alias("end"), "c.body")
     return rows.where(F.length("body") <= limit).select(id_col, "seq", "start", "end", "body").unionByName(long)
 
 

@@ -8,7 +8,8 @@ characters stay whole (long lines have more parts than two), so a line emits
 variants of one part only, and only when another distinct line of nearly the
 same length shares all the rest. Pairs that meet are verified with the
 edit distance of their full texts, and a line goes when an earlier one is
-within the bound. Equal lines meet by hash before all this.
+within the bound. Equal lines meet by hash before all this. Lines of any length
+take part, and the work grows with the lines of a document, not with their square.
 """
 
 from __future__ import annotations
@@ -16,13 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fresh, materialize, same
+from ledgerline.llm.common import fresh, materialize, split_join
 
 MAX_EDITS = 1
-#: Shorter lines count as repeated only when they are equal: one edit in 20 characters is a similarity of 0.95.
-MIN_CHARS = 20
-
-
 #: Lines of over WHOLE characters have a part for every PART characters, MOST_PARTS at most; shorter ones have two.
 WHOLE, PART, MOST_PARTS = 1000, 500, 512
 
@@ -57,7 +54,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     each = each.select("*", F.length("line").alias("size"))
     return each.select(
         "doc", "text_key", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.when(F.col("size") >= MIN_CHARS, _rest_keys(F.col("line"), F.col("size"))).alias("half_keys"),
+        _rest_keys(F.col("line"), F.col("size")).alias("half_keys"),
     )
 
 
@@ -74,14 +71,19 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """(doc, text_key, line_no) of first occurrences that are within one edit of an earlier, different line."""
-    keyed = firsts.where("half_keys is not null").select("at", F.posexplode("half_keys").alias("kind", "half_key"))
-    shared = keyed.groupBy("half_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half_key")
-    wanted = keyed.join(shared, "half_key", "left_semi")
+    keyed = firsts.select("at", F.posexplode("half_keys").alias("kind", "half_key"))
+    shared = materialize(keyed.groupBy("half_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    wanted = split_join(keyed, shared, ["half_key"], "n")
     wanted = wanted.groupBy("at.doc", "at.text_key").agg(F.collect_list(F.struct("at.line_no", "kind", "half_key")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc": "doc_w", "text_key": "key_w"})
     found = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc_w"]) & (rows["text_key"] == wanted["key_w"]))
-    found = found.select("doc", "text_key", F.split("body", "\n").alias("all_lines"), F.explode("wanted").alias("w"))
-    found = materialize(found.select(F.struct("doc", "text_key", "w.line_no").alias("at"), "w.kind", "w.half_key", F.col("all_lines")[F.col("w.line_no")].alias("line")).distinct())
+    # the lines are split once per document and looked up before they are told apart
+    found = found.withColumn("all_lines", F.split("body", "\n")).where("size(all_lines) > 0")
+    picked = F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["kind"].alias("kind"), w["half_key"].alias("half_key"), F.get("all_lines", w["line_no"]).alias("line")))
+    found = materialize(found.select("doc", "text_key", F.inline(picked)).select(F.struct("doc", "text_key", "line_no").alias("at"), "kind", "half_key", "line"))
+    # a number per line, in the order of lines: least and greatest of numbers need no sorting
+    found = found.repartitionByRange("at").groupBy("at").agg(F.first("line").alias("line"), F.collect_set(F.struct("kind", "half_key")).alias("keys"))
+    found = materialize(found.sortWithinPartitions("at").select(F.monotonically_increasing_id().alias("n"), "at", "line", "keys"))
 
     size = F.length("line")
     longer = F.col("kind") >= _parts(size)  # it meets lines that have one character less
@@ -89,10 +91,10 @@ def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     part = F.when(longer, F.col("kind") - _parts(size)).otherwise(F.col("kind"))
     before = _edge(part, least)
     rest = F.substring("line", before + 1, size - before - (least - _edge(part + 1, least)))
-    parts = found.select("at", "half_key", longer.alias("longer"), rest.alias("rest"))
-    variant = parts.select("at", "half_key", "longer", "rest", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("gone")).where("gone > 0 or not longer")
+    parts = found.select("n", "line", F.inline("keys")).select("n", "half_key", longer.alias("longer"), rest.alias("rest"))
+    variant = parts.select("n", "half_key", "longer", "rest", F.explode(F.sequence(F.lit(0), F.length("rest"))).alias("gone")).where("gone > 0 or not longer")
     variant = variant.select(
-        "at", "longer",
+        "n", "longer",
         # a character less than the shorter line: the same place must be gone in both; else the shorter line itself
         F.xxhash64(
             "half_key",
@@ -101,15 +103,14 @@ def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
         ).alias("v"),
     )
     groups = variant.groupBy("v").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"),
-        F.min(F.when(~F.col("longer"), F.col("at"))).alias("short"), F.min(F.when(F.col("longer"), F.col("at"))).alias("long"),
+        F.min("n").alias("first"), F.max("n").alias("last"),
+        F.min(F.when(~F.col("longer"), F.col("n"))).alias("short"), F.min(F.when(F.col("longer"), F.col("n"))).alias("long"),
     ).where("first <> last")
     pairs = variant.join(groups, "v").select(
-        "at", F.when(F.col("longer"), F.col("short")).when(F.col("long").isNotNull(), F.col("long")).otherwise(F.col("first")).alias("earlier")
+        "n", F.when(F.col("longer"), F.col("short")).when(F.col("long").isNotNull(), F.col("long")).otherwise(F.col("first")).alias("earlier")
     )
-    pairs = pairs.where("earlier < at").distinct()
-    text = found.select("at", "line").distinct()
-    pairs = pairs.join(text, "at").join(text.select(F.col("at").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
+    pairs = pairs.where("earlier < n").distinct()
+    pairs = pairs.join(found.select("n", "at", "line"), "n").join(found.select(F.col("n").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
     return pairs.where(_within_one(F.col("line"), F.col("earlier_line"))).select("at.doc", "at.text_key", "at.line_no").distinct()
 
 
@@ -117,8 +118,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with every line dropped from ``text_col`` that equals, or is within one edit of, an earlier line.
 
     Lines are parted by ``\\n`` and ordered by (id, hash of the whole text, line
-    number), null ids first. Blank lines stay. Lines under 20 characters go only
-    when equal. Whether the earlier line itself goes plays no part. Two columns
+    number), null ids first. Blank lines stay. Whether the earlier line itself goes plays no part. Two columns
     are added (with underscores appended should ``docs`` have such names):
     ``lines_total`` and ``lines_dropped``, both counts over all lines. All rows
     stay, those emptied too; a null text stays null with 0 lines. Rows that
@@ -128,23 +128,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total, dropped = fresh(docs, "lines_total"), fresh(docs, "lines_dropped")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("body")).where("body is not null")
     lines = materialize(_lines(rows))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "text_key", "line_no")).alias("at"), F.max(F.struct("doc", "text_key", "line_no")).alias("last"), F.first("half_keys").alias("half_keys"))
+    place = F.struct("doc", "text_key", "line_no")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.count(F.lit(1)).alias("held"), F.first("half_keys").alias("half_keys"))
     firsts = materialize(firsts)
-    again = firsts.where("at <> last").select("h1", "h2", "at")
-    drops = lines.join(again, ["h1", "h2"]).where(F.struct("doc", "text_key", "line_no") != F.col("at")).select("doc", "text_key", "line_no")
+    again = firsts.where("at <> last").select("h1", "h2", "at", "held")
+    drops = split_join(lines.select("doc", "text_key", "line_no", "h1", "h2"), again, ["h1", "h2"], "held").where(place != F.col("at")).select("doc", "text_key", "line_no")
     if near:
         drops = drops.unionByName(_near_drops(rows, firsts))
     drops = drops.groupBy("doc", "text_key").agg(F.collect_set("line_no").alias("gone"))
     gone, doc, key = fresh(docs, "gone_lines"), fresh(docs, "gone_doc"), fresh(docs, "gone_key")
     drops = drops.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("gone").alias(gone))
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops[doc]) & (F.xxhash64(docs[text_col]) == drops[key]), "left")
-    parts = F.split(F.col(text_col), "\n")
-    count = F.coalesce(F.size(F.col(gone)), F.lit(0))
-    kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(parts, i)), "\n")
-    )
+    # a column of its own: inside the lambda the text would be split anew for every line
+    parts = fresh(docs, "line_parts")
+    joined = joined.withColumn(parts, F.split(F.col(text_col), "\n"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
     out = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias(total), count.alias(dropped))
+    return joined.select(
+        *out, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias(total), F.coalesce(F.size(F.col(gone)), F.lit(0)).alias(dropped)
+    )
 
 
 #: The same rule in DuckDB: pairs are found by lengths and equal halves, and one edit is tested by leaving out characters.
@@ -152,7 +155,7 @@ ORACLE_SQL = """
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 lines AS (SELECT doc_id, line_no, line, length(line) AS size FROM raw WHERE trim(line, ' ') <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS nth FROM lines),
-firsts AS (SELECT doc_id, line_no, line, size FROM ranked WHERE nth = 1 AND size >= 20),
+firsts AS (SELECT doc_id, line_no, line, size FROM ranked WHERE nth = 1),
 halves AS (
   SELECT doc_id, line_no, line, size, c.size_class, c.part FROM firsts,
   LATERAL (SELECT unnest([size, size, size - 1, size - 1]) AS size_class, unnest(['p' || left(line, size // 2), 's' || right(line, size - size // 2), 'p' || left(line, (size - 1) // 2), 's' || right(line, size - 1 - (size - 1) // 2)]) AS part) c

@@ -150,7 +150,7 @@ def brute_lines(docs):
             if not line.strip(" "):
                 kept.append(line)
                 continue
-            again = any(line == s or (len(line) >= 20 and len(s) >= 20 and one_edit(line, s)) for s in seen)
+            again = any(line == s or one_edit(line, s) for s in seen)
             seen.append(line)
             if not again:
                 kept.append(line)
@@ -172,6 +172,23 @@ def test_lines_against_brute_force(spark):
     assert got == sorted(brute_lines(frame))
 
 
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, "\n".join("".join(rng.choices("abcé😀 ", k=rng.choice([0, 1, 2, 3, 5, 9, 18, 19, 20, 21]))) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in linededup.line_dedup(frame).select("doc_id", "text", "lines_total", "lines_dropped").collect())
+    assert got == sorted(brute_lines(frame))
+
+
+def test_a_document_of_many_lines(spark):
+    """The work is linear in the lines of one document: the square of these would take hours."""
+    lines = [f"{i % 100_000:09d} {(i % 100_000) * 7919 % 1_000_003:07d}" for i in range(200_000)]
+    frame = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = linededup.line_dedup(frame, near=False).first()
+    assert got["lines_total"] == 200_000 and got["lines_dropped"] == 100_000
+    assert got["text"].split("\n") == lines[:100_000]
+
+
 def test_long_lines_are_cut_into_parts(spark):
     rng = random.Random(11)
     base = "".join(rng.choices("abcdefgh ", k=1501))

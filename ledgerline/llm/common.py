@@ -139,3 +139,13 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -
         return rows.join(table, keys)
     cold = rows.where(~both.isin(hot)).join(table.where(~both.isin(hot)), keys)
     return cold.unionByName(rows.where(both.isin(hot)).join(F.broadcast(table.where(both.isin(hot))), keys))
+
+
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """All keys that over one in HOT_SHARE rows have, from partial sketches of frequent items; a key just below may be among them.
+
+    The sketch holds 10,000 items, so a key of one in 500 rows is never missed,
+    and at most 1,000 keys come back. They say where to split work, not what to leave out.
+    """
+    found, total = rows.agg(F.expr(f"approx_top_k(`{key}`, 1000, 10000)"), F.count(F.lit(1))).first()
+    return [r["item"] for r in found or [] if r["count"] > total / HOT_SHARE]

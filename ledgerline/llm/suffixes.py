@@ -3,18 +3,22 @@
 A suffix starts at a minimiser: among the 8-word prefixes inside each window
 of 50 words, the one with the smallest hash (the leftmost of equals). The words
 alone choose it, so a passage of 50 words carries the same suffixes wherever it
-stands, while about one position in 22 is kept. Sorting the suffixes by their
-prefix brings equal ones next to each other:
-
-1. Suffixes that agree in everything the windows around them cover are one
-   class. Its earliest member stays; for the others all windows are repeats.
-2. Where neighbours share the prefix only, the match is extended to the left
-   and right: the windows around the suffix are compared one by one, so that a
-   match ends at the exact word at which the texts part.
-
-Both steps compare hashes of 64 bits beside the 64-bit prefix hash. Sorting and
-comparing are Spark aggregates with partial minima, so that a passage which a
-third of all documents share is one row per task before the shuffle.
+stands, while about one position in 22 is kept.
+
+1. Suffixes are sorted by prefix, then by all the words that the windows around
+   them cover, then by place, so that equal ones are neighbours. The first of a
+   run stays; for the others all these windows are repeats.
+2. Where neighbours share the prefix but part somewhere around it, the match is
+   extended to the left and right: the windows of the suffix, which reach up to
+   42 words to its left and 50 to its right, are sorted under the prefix in the
+   same way and compared with their neighbours, so that a match ends at the
+   exact word at which the texts part.
+
+Words, prefixes and windows are compared by hashes of 64 bits, windows within
+one prefix only. Both sorts are window functions over the prefix. Prefixes that
+over one in 500 suffixes share (found by a sketch, so under 1,000) would fill a
+task: their equal suffixes are first counted into one row each per task, and the
+few that are hot themselves are looked up from a broadcast table.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, mix, utf8, words_of
+from ledgerline.llm.common import BYTE_POWERS, CHUNK_BYTES, WORD_POWERS, WORD_SPACE, chunks, fresh, heavy_keys, materialize, mix, split_join, utf8, words_of
 
 MIN_WORDS = 50
 PREFIX = 8
+#: So many windows of one text are looked at together; a place among them fits into the low bits of a hash.
+STEP = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -45,7 +52,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def sparse_suffixes(hashes: np.ndarray, first_word: np.ndarray, words: int = MIN_WORDS, prefix: int = PREFIX) -> dict[str, np.ndarray]:
-    """The suffixes of consecutive texts, given the hashes of their words.
+    """The suffixes of consecutive texts, given the hashes of under 2**24 words.
 
     Each has its text, its place ``at``, the first and last start of the windows
     that chose it (places in the text) and hashes of its prefix and of all words
@@ -59,7 +66,6 @@ def sparse_suffixes(hashes: np.ndarray, first_word: np.ndarray, words: int = MIN
     sums = WORD_POWERS.sums(hashes)
     start = np.arange(n - prefix + 1)
     prefixes = WORD_POWERS.slices(sums, start, start + prefix)
-    assert n <= int(_PLACE), "a text of over 16 million words"
     least = _sliding_least((prefixes & ~_PLACE) | start.astype(np.uint64), words - prefix + 1)
     at = (least & _PLACE).astype(np.int64)
     window = np.flatnonzero(text[: n - words + 1] == text[words - 1 :])
@@ -73,12 +79,44 @@ def sparse_suffixes(hashes: np.ndarray, first_word: np.ndarray, words: int = MIN
     return {"text": text[at], "at": at - base, "first": first - base, "last": last - base, "key": prefixes[at].view(np.int64), "span": span.view(np.int64), "base": base, "sums": sums}
 
 
-def _each_chunk(column: pa.Array, words: int, prefix: int):
+def long_hashes(raw: np.ndarray, most: int = CHUNK_BYTES) -> np.ndarray:
+    """The hashes of one text's words, from about ``most`` bytes at a time; a longer word is summed up in parts."""
+    out, at = [], 0
+    while at < len(raw):
+        past = min(at + most, len(raw))
+        spaces = np.flatnonzero(WORD_SPACE[raw[at:past]])
+        if past < len(raw) and len(spaces):
+            past = at + int(spaces[-1]) + 1
+        elif past < len(raw):  # one word fills all of it
+            total = 0
+            while at < len(raw) and len(part := raw[at : at + most]):
+                ends = np.flatnonzero(WORD_SPACE[part])
+                part = part[: ends[0]] if len(ends) else part
+                total += int(BYTE_POWERS.sums(part.astype(np.uint64) + np.uint64(1))[-1]) * pow(BYTE_POWERS.base, at - (past - most), 1 << 64)
+                at += len(part)
+                if len(ends):
+                    break
+            out.append(mix(np.array([total & (1 << 64) - 1], np.uint64)))
+            continue
+        out.append(words_of(raw[at:past], np.array([0, past - at]))[2])
+        at = past
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _each_chunk(column: pa.Array, words: int, prefix: int, step: int = STEP):
+    """(first row, suffixes) of a batch's texts; a long text comes in several turns, each with all windows that start in it."""
     raw, offsets = utf8(column)
     for a, b in chunks(offsets):
         low = offsets[a]
-        _, _, hashes, first_word = words_of(raw[low : offsets[b]], offsets[a : b + 1] - low)
-        yield a, sparse_suffixes(hashes, first_word, words, prefix)
+        if b > a + 1 or offsets[b] - low <= CHUNK_BYTES:
+            _, _, hashes, first_word = words_of(raw[low : offsets[b]], offsets[a : b + 1] - low)
+            yield a, sparse_suffixes(hashes, first_word, words, prefix)
+            continue
+        hashes = long_hashes(raw[low : offsets[b]])
+        for c in range(0, len(hashes), step):
+            part = hashes[c : c + step + words - 1]
+            s = sparse_suffixes(part, np.array([0, len(part)]), words, prefix)
+            yield a, s | {k: s[k] + c for k in ("at", "first", "last")} | {"base": s["base"] - c}
 
 
 def _suffix_rows(words: int, prefix: int):
@@ -117,6 +155,35 @@ def _window_rows(words: int, prefix: int):
     return run
 
 
+def _sorted_runs(rows: DataFrame, content: str, parting: bool) -> DataFrame:
+    """The rows (key, ``content``, doc, text_key, at, ...) that matter after their sort by key, content and place.
+
+    ``again`` marks those that are not the first of their run of equal content,
+    ``head`` is that first one's place. If ``parting``, ``parted`` marks the heads
+    of runs that have another run under the same key (of these only key and head are sure to be set).
+    """
+    place, names = F.struct("doc", "text_key", "at"), rows.columns
+    heavy = heavy_keys(rows, "key")
+    many = F.col("key").isin(heavy) if heavy else F.lit(False)
+    by_key = W.partitionBy("key").orderBy(content, "doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    in_run = W.partitionBy("key", content).orderBy("doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sorted_rows = rows.where(~many)
+    sorted_rows = sorted_rows.withColumn("others", F.first(content).over(by_key) != F.last(content).over(by_key) if parting else F.lit(False))
+    own = place == F.col("head")
+    found = sorted_rows.withColumn("head", F.first(place).over(in_run)).select(*names, "head", (~own).alias("again"), (own & F.col("others")).alias("parted"))
+    found = found.where("again or parted")
+    if not heavy:
+        return found
+    runs = materialize(rows.where(many).groupBy("key", content).agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")))
+    hot = split_join(rows.where(many), runs.where("members > 1"), ["key", content], "members").where(place != F.col("head"))
+    found = found.unionByName(hot.select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
+    if not parting:
+        return found
+    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key")  # under 1,000 keys
+    parted = runs.join(F.broadcast(several), "key").select("key", "head", F.lit(False).alias("again"), F.lit(True).alias("parted"))
+    return found.unionByName(parted, allowMissingColumns=True)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
     """(doc, text_key, first, past, first_doc): word ranges whose windows of ``words`` words all occur earlier, and a document that holds the first.
 
@@ -127,22 +194,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     head = [T.StructField("doc", doc), T.StructField("text_key", T.LongType()), T.StructField("at", T.IntegerType())]
     schema = T.StructType([*head, T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("span", T.LongType())])
     suffixes = materialize(rows.mapInArrow(_suffix_rows(words, prefix), schema))
+    runs = materialize(_sorted_runs(suffixes, "span", True))
+    whole = runs.where("again").select("doc", "text_key", "first", (F.col("last") + words).alias("past"), F.col("head.doc").alias("first_doc"))
 
-    place = F.struct("doc", "text_key", "at")
-    classes = materialize(suffixes.groupBy("key", "span").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")))
-    more = classes.where("members > 1").select("key", "span", "head")
-    whole = suffixes.join(more, ["key", "span"]).where(place != F.col("head"))
-    whole = whole.select("doc", "text_key", "first", (F.col("last") + words).alias("past"), F.col("head.doc").alias("first_doc"))
-
-    shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = classes.join(shared, "key", "left_semi").groupBy("head.doc", "head.text_key").agg(F.collect_list("head.at").alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"doc": "doc_w", "text_key": "key_w"})
+    wanted = runs.where("parted").groupBy(F.col("head.doc").alias("doc_w"), F.col("head.text_key").alias("key_w")).agg(F.collect_set("head.at").alias("wanted"))
     found = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc_w"]) & (rows["text_key"] == wanted["key_w"])).select("doc", "text_key", "body", "wanted")
     schema = T.StructType([*head, T.StructField("key", T.LongType()), T.StructField("window", T.LongType())])
     windows = materialize(found.mapInArrow(_window_rows(words, prefix), schema))
-    heads = windows.groupBy("key", "window").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    edges = windows.join(heads.select("key", "window", "head"), ["key", "window"]).where(place != F.col("head"))
-    edges = edges.select("doc", "text_key", F.col("at").alias("first"), (F.col("at") + words).alias("past"), F.col("head.doc").alias("first_doc"))
+    edges = _sorted_runs(windows, "window", False).select("doc", "text_key", F.col("at").alias("first"), (F.col("at") + words).alias("past"), F.col("head.doc").alias("first_doc"))
     return whole.unionByName(edges)
 
 
@@ -160,7 +219,8 @@ def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
     """The text without these ranges of words; each takes along the white space up to the next word."""
     data = text.encode("utf-8")
     raw = np.frombuffer(data, np.uint8)
-    starts = np.append(words_of(raw, np.array([0, len(raw)]))[0], len(raw))
+    inside = ~WORD_SPACE[raw]
+    starts = np.append(np.flatnonzero(inside & ~np.r_[False, inside[:-1]]), len(raw))
     kept, at = [], 0
     for a, b in ranges:
         kept.append(data[at : starts[a]])

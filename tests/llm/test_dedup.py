@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import xxhash
-from ledgerline.llm import linededup, simhash, suffixes
+from ledgerline.llm import common, linededup, simhash, suffixes
 from ledgerline.operators.graph import connected_components
 
 
@@ -266,3 +267,38 @@ def test_passages_awkward_rows(spark, tricky, nothing):
     assert rows[1]["text"] is None and rows[5]["text"] == "" and rows[5]["first_docs"] == [4]
     assert rows[6]["text"] == "Über ende 😀" and rows[6]["removed_words"] == 60
     assert out.count() == tricky.count() and suffixes.remove_repeats(nothing).count() == 0
+
+
+def test_hot_prefixes_give_the_same(spark, monkeypatch):
+    """With so low a bound that most prefixes count as hot, and windows in several turns."""
+    frame = spark.createDataFrame(passages(random.Random(9)), "doc_id long, text string")
+    monkeypatch.setattr(common, "HOT_SHARE", 10**6)
+    got = {r["doc_id"]: r["text"].split() for r in suffixes.remove_repeats(frame, words=10, prefix=4).collect()}
+    assert got == brute_repeats(frame, 10)
+
+
+def test_long_texts_in_turns():
+    rng = random.Random(10)
+    giant = "x" * 5000 + " y " + "z" * 3001
+    texts = [" ".join("w" * rng.randint(1, 30) for _ in range(3000)), giant, "a" * 4096, "  ", " b" * 3000 + " " * 700, ""]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        want = common.words_of(raw, np.array([0, len(raw)]))[2]
+        for most in (64, 333, 1024):
+            assert suffixes.long_hashes(raw, most).tolist() == want.tolist()
+    text = " ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(300_000))
+    column = pa.array([text])
+    assert len(text) > common.CHUNK_BYTES
+    windows = []
+    for step in (7_001, 1 << 20):
+        found = [np.arange(f, l + 1) * 2**24 + at for _, s in suffixes._each_chunk(column, 50, 8, step) for f, l, at in zip(s["first"], s["last"], s["at"], strict=True)]
+        windows.append(np.concatenate(found))
+    assert len(windows[0]) == 300_000 - 49 and windows[0].tolist() == windows[1].tolist()
+
+
+def test_a_text_of_millions_of_words(spark):
+    """17 million words: no text is too long. One passage of 60 words stands twice in it."""
+    n = 17_000_000
+    frame = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.when(i < n - 60, i).otherwise(i - n + 60).cast("string"), 10, 36)), " ").alias("text"))
+    got = suffixes.remove_repeats(frame).select("removed", "removed_words", F.size(F.split("text", " ")).alias("left")).first()
+    assert [tuple(r) for r in got["removed"]] == [(n - 60, n)] and got["removed_words"] == 60

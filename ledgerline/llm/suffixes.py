@@ -17,8 +17,8 @@ stands, while about one position in 22 is kept.
 Words, prefixes and windows are compared by hashes of 64 bits, windows within
 one prefix only. Both sorts are window functions over the prefix. Prefixes that
 over one in 500 suffixes share (found by a sketch, so under 1,000) would fill a
-task: their equal suffixes are first counted into one row each per task, and the
-few that are hot themselves are looked up from a broadcast table.
+task: they are sorted in parts first, and the first suffix of every part's runs is
+sorted once more with those of the other parts.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import BYTE_POWERS, CHUNK_BYTES, WORD_POWERS, WORD_SPACE, chunks, fresh, heavy_keys, materialize, mix, split_join, utf8, words_of
+from ledgerline.llm.common import BYTE_POWERS, CHUNK_BYTES, HOT_SHARE, WORD_POWERS, WORD_SPACE, chunks, fresh, heavy_keys, materialize, mix, utf8, words_of
 
 MIN_WORDS = 50
 PREFIX = 8
@@ -160,7 +160,9 @@ def _sorted_runs(rows: DataFrame, content: str, parting: bool) -> DataFrame:
 
     ``again`` marks those that are not the first of their run of equal content,
     ``head`` is that first one's place. If ``parting``, ``parted`` marks the heads
-    of runs that have another run under the same key (of these only key and head are sure to be set).
+    of runs that have another run under the same key. Rows of heavy keys are
+    sorted in HOT_SHARE parts by place, then the first ones of all parts; there
+    ``head`` is the first of the part, or of all for the first of a part.
     """
     place, names = F.struct("doc", "text_key", "at"), rows.columns
     heavy = heavy_keys(rows, "key")
@@ -174,14 +176,19 @@ def _sorted_runs(rows: DataFrame, content: str, parting: bool) -> DataFrame:
     found = found.where("again or parted")
     if not heavy:
         return found
-    runs = materialize(rows.where(many).groupBy("key", content).agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("members")))
-    hot = split_join(rows.where(many), runs.where("members > 1"), ["key", content], "members").where(place != F.col("head"))
-    found = found.unionByName(hot.select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
+    salt = F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(HOT_SHARE))
+    in_part = W.partitionBy("key", content, salt).orderBy("doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hot = materialize(rows.where(many).withColumn("head", F.first(place).over(in_part)))
+    found = found.unionByName(hot.where(~own).select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
+    # the first of every part of a run: under HOT_SHARE rows each
+    run = W.partitionBy("key", content).orderBy("head").rowsBetween(W.unboundedPreceding, W.currentRow)
+    firsts = materialize(hot.where(own).withColumn("head", F.first("head").over(run)))
+    found = found.unionByName(firsts.where(~own).select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
     if not parting:
         return found
-    several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("key")  # under 1,000 keys
-    parted = runs.join(F.broadcast(several), "key").select("key", "head", F.lit(False).alias("again"), F.lit(True).alias("parted"))
-    return found.unionByName(parted, allowMissingColumns=True)
+    runs = firsts.where(own).groupBy("key").agg(F.min(content) != F.max(content)).toDF("parted_key", "several").where("several")  # under 1,000 keys
+    parted = firsts.where(own).join(F.broadcast(runs), F.col("key") == F.col("parted_key"), "left_semi")
+    return found.unionByName(parted.select(*names, "head", F.lit(False).alias("again"), F.lit(True).alias("parted")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
@@ -239,7 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Three columns are added (underscores appended to names already taken):
     ``removed``, the word ranges cut out, ``removed_words``, their number of
     words, and ``first_docs``, ids of documents that hold the passages' first
-    occurrences. Other columns pass through; an empty table gives an empty one.
+    occurrences (where very many share a passage's prefix, earlier ones in HOT_SHARE
+    parts). Other columns pass through; an empty table gives an empty one.
     """
     names = [fresh(docs, n) for n in ("removed", "removed_words", "first_docs")]
     doc, key, cuts = fresh(docs, "cut_doc"), fresh(docs, "cut_key"), fresh(docs, "cuts")

@@ -116,12 +116,12 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     counts = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_rows"))
     total = counts.agg(F.sum("hot_rows")).first()[0] or 0
     hot = [r[0] for r in counts.where((F.col("hot_rows") > total / HOT_SHARE) & F.col("hot_key").isNotNull()).select("hot_key").collect()]
+    names = [F.col(f"`{c}`") for c in (*rows.columns, *(c for c in table.columns if c != key))]
     if not hot:
-        return rows.join(table, key, "left").select(*rows.columns, *(c for c in table.columns if c != key))
+        return rows.join(table, key, "left").select(*names)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     cold = rows.where(~is_hot).join(table.where(~F.col(key).isin(hot)), key, "left")
     warm = rows.where(is_hot).join(F.broadcast(table.where(F.col(key).isin(hot))), key, "left")
-    names = [*rows.columns, *(c for c in table.columns if c != key)]
     return cold.select(*names).unionByName(warm.select(*names))
 
 

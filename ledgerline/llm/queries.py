@@ -73,7 +73,8 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, rules = table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "verdict string, host string, path string")
     outcomes = page_outcomes(pages, table(spark, sf_dir, "labels"))
-    return urls.judge_urls(pages.select("page_id", "url"), rules, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    judged = urls.judge_urls(pages.select("page_id", "url"), rules, outcomes, **urls.OP10)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("share", 6).alias("share"), F.round("upper", 6).alias("upper"), "labelled")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

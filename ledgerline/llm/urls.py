@@ -4,7 +4,8 @@ A host's share of good pages is a beta-binomial posterior whose prior comes from
 its registered domain, whose own prior comes from its suffix, and that from all
 pages. The strength of each prior is fitted by moments: the more the children of
 a parent differ beyond chance, the weaker it is. A page without a rule is blocked
-when even the upper bound of its host's posterior lies below the threshold.
+when even the upper bound of its host's posterior lies below the threshold, which
+is a fixed share or the share of good pages over all.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fresh, materialize, skewed_lookup
+from ledgerline.llm.common import fresh, materialize, split_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Country suffixes under which names are registered at the third level.
@@ -55,7 +56,7 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules`` has verdict, host and path, all set; of rules with equal host and path the first verdict in order counts.
     """
     rules = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("verdict"))
-    small = len(rules.limit(BROADCAST_RULES + 1).select(F.lit(1)).collect()) <= BROADCAST_RULES
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     sized = F.broadcast if small else (lambda x: x)
     lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     labels = F.split("host", "[.]")
@@ -68,73 +69,84 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.verdict").alias("verdict"))
 
 
-def _strength(children: DataFrame) -> float:
+def _strength(children: DataFrame, strongest: float) -> float:
     """Pseudo-counts of a beta prior by moments, from rows (good, n, prior): as strong as allowed if children differ no more than by chance."""
     z = F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("prior"), 2) / (F.col("prior") * (1 - F.col("prior")))
     excess, freedom = children.where("n > 0 and prior > 0 and prior < 1").agg(F.sum(z - 1), F.sum(F.col("n") - 1)).first()
     if not excess or excess <= 0 or not freedom:
-        return STRONGEST
-    return float(min(STRONGEST, max(WEAKEST, freedom / excess - 1)))
+        return strongest
+    return float(min(strongest, max(WEAKEST, freedom / excess - 1)))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, share, upper): posterior mean and upper bound of the share of good pages for every row of ``hosts`` (distinct host).
+def overall_share(good: float | None, n: float | None) -> float:
+    """The share of good pages over all, a half without any."""
+    return ((good or 0.0) + 0.5) / ((n or 0.0) + 1)
 
-    ``outcomes`` has host and good (0 or 1). Hosts without outcomes get their
-    domain's prior, and so on up; without any outcome the share is a half.
+
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, width: float = WIDTH, strongest: float = STRONGEST) -> DataFrame:
+    """(host, labelled, share, upper, overall): posterior mean and upper bound of the share of good pages for every row of ``hosts`` (distinct host).
+
+    ``outcomes`` has host and good (0 or 1); ``labelled`` is their number. Hosts
+    without outcomes get their domain's prior, and so on up; without any outcome
+    the share is a half. ``upper`` lies ``width`` deviations above the mean, a
+    prior counts for ``strongest`` pages at most, and ``overall`` is the share of all outcomes.
     """
-    counted = materialize(outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("good").cast("double").alias("n")))
-    by_host = counted.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    counted = outcomes.groupBy("host").agg(F.sum("good").cast("double").alias("good"), F.count("good").cast("double").alias("n"))
+    by_host = hosts.select("host", F.lit(True).alias("wanted")).join(counted, "host", "full").fillna(0.0, ["good", "n"])
+    by_host = materialize(by_host.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
     sums = [F.sum("good").alias("good"), F.sum("n").alias("n")]
-    by_domain = materialize(by_host.groupBy("domain", "suffix").agg(*sums))
-    by_suffix = materialize(by_domain.groupBy("suffix").agg(*sums))
-    good, n = by_suffix.agg(F.coalesce(F.sum("good"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
-    top = (good + 0.5) / (n + 1)
+    by_domain = materialize(by_host.groupBy("domain", "suffix").agg(*sums, F.count(F.lit(1)).alias("hosts")))
+    by_suffix = materialize(by_domain.groupBy("suffix").agg(*sums, F.count(F.lit(1)).alias("domains")))
+    top = overall_share(*by_suffix.agg(*sums).first())
 
-    def shrunk(rows: DataFrame, strength: float) -> Column:
+    def shrunk(rows: DataFrame) -> Column:
+        strength = _strength(rows, strongest)
         return (F.col("good") + strength * F.col("prior")) / (F.col("n") + strength)
 
     level = by_suffix.withColumn("prior", F.lit(top))
-    suffixes = materialize(level.select("suffix", shrunk(level, _strength(level)).alias("suffix_share")))
-    level = materialize(skewed_lookup(by_domain, suffixes, "suffix").withColumn("prior", F.col("suffix_share")))
-    domains = materialize(level.select("domain", shrunk(level, _strength(level)).alias("domain_share")))
-    strength = _strength(skewed_lookup(by_host.select("domain", "good", "n"), domains, "domain").withColumn("prior", F.col("domain_share")))
-
-    wanted = materialize(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
-    own = materialize(wanted.select("domain", "suffix").distinct().join(domains, "domain", "left"))  # both have a domain once
-    priors = materialize(skewed_lookup(own, suffixes, "suffix").select("domain", F.coalesce("domain_share", "suffix_share", F.lit(top)).alias("prior")))
-    wanted = materialize(skewed_lookup(wanted.select("host", "domain"), priors, "domain")).join(counted, "host", "left")  # both have a host once
-    size = F.coalesce("n", F.lit(0.0)) + strength
-    share = (F.coalesce("good", F.lit(0.0)) + strength * F.col("prior")) / size
-    return wanted.select("host", share.alias("share"), (share + WIDTH * F.sqrt(share * (1 - share) / (size + 1))).alias("upper"))
+    suffixes = materialize(level.select("suffix", "domains", shrunk(level).alias("prior")))
+    level = materialize(split_join(by_domain, suffixes, ["suffix"], "domains"))
+    domains = materialize(level.select("domain", "hosts", shrunk(level).alias("prior")))
+    level = materialize(split_join(by_host, domains, ["domain"], "hosts"))
+    size = F.col("n") + _strength(level, strongest)
+    share = (F.col("good") + (size - F.col("n")) * F.col("prior")) / size
+    upper = share + width * F.sqrt(share * (1 - share) / (size + 1))
+    return level.where("wanted").select("host", F.col("n").cast("long").alias("labelled"), share.alias("share"), upper.alias("upper"), F.lit(top).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, url_col: str = "url", good_share: float = GOOD_SHARE) -> DataFrame:
-    """``pages`` with host, path, rule and verdict (underscores appended to names already taken).
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, outcomes: DataFrame, url_col: str = "url", good_share: float | None = GOOD_SHARE, width: float = WIDTH, strongest: float = STRONGEST
+) -> DataFrame:
+    """``pages`` with host, path, rule, verdict, share, upper and labelled (underscores appended to names already taken).
 
     ``rules`` has verdict (allow or block), host and path; a rule fits its host
     and all subdomains if the path starts with the rule's, and the longest wins.
     ``outcomes`` has host and good (0 or 1) per labelled page. Pages without a
     rule are blocked if the upper bound of their host's share of good pages is
-    below ``good_share``. A null url, or one without ``://``, has an empty host
-    and path and is judged as a host of that name. All rows stay, repeated ones
-    too; an empty table gives an empty one.
+    below ``good_share``, or where that is None below the share of all outcomes.
+    ``share`` and ``upper`` are the host's, ``labelled`` its number of outcomes;
+    for ``width`` and ``strongest`` see host_reputation. A null url, or one
+    without ``://``, has an empty host and path and is judged as a host of that
+    name. All rows stay, repeated ones too; an empty table gives an empty one.
     """
-    host, path, rule, verdict = (fresh(pages, c) for c in ("host", "path", "rule", "verdict"))
+    added = [fresh(pages, c) for c in ("host", "path", "rule", "verdict", "share", "upper", "labelled")]
+    host, path = added[:2]
     rows = pages.withColumns({host: host_of(F.col(url_col)), path: path_of(F.col(url_col))})
-    places = materialize(rows.select(F.col(host).alias("host"), F.col(path).alias("path")).distinct())
-    known = materialize(host_reputation(outcomes, places.select("host").distinct()).select("host", "upper"))
-    judged = materialize(skewed_lookup(places, known, "host")).join(match_rules(places, rules), ["host", "path"], "left")
-    key = fresh(rows, "place")
-    judged = judged.select(
-        F.concat("host", "path").alias(key), F.col("rule").alias(rule),
-        F.coalesce("verdict", F.when(F.col("upper") < good_share, F.lit("block")).otherwise(F.lit("allow"))).alias(verdict),
-    )
-    rows = skewed_lookup(rows.withColumn(key, F.concat(F.col(host), F.col(path))), materialize(judged), key)
-    return rows.select(*(F.col(f"`{c}`") for c in pages.columns), F.col(host), F.col(path), F.col(rule), F.col(verdict))
+    places = materialize(rows.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("pages")))
+    hosts = materialize(places.groupBy("host").agg(F.count(F.lit(1)).alias("places")))
+    known = host_reputation(outcomes, hosts, width, strongest)
+    known = materialize(known.join(hosts, "host"))  # both have a host once
+    judged = split_join(places, known, ["host"], "places").join(match_rules(places, rules), ["host", "path"], "left")
+    bound = F.col("overall") if good_share is None else F.lit(good_share)
+    verdict = F.coalesce("verdict", F.when(F.col("upper") < bound, F.lit("block")).otherwise(F.lit("allow")))
+    count = fresh(pages, "pages", *added)
+    judged = materialize(judged.select("host", "path", "rule", verdict.alias("verdict"), "share", "upper", "labelled", "pages").toDF(*added, count))
+    return split_join(rows, judged, [host, path], count).select(*(F.col(f"`{c}`") for c in (*pages.columns, *added)))
 
 
 #: The query's rules and reputation in DuckDB.
+#: Production parameters of the query: a page is blocked below the share of all outcomes, by one deviation, with priors of ten pages at most.
+OP10 = {"good_share": None, "width": 1.0, "strongest": 10.0}
 ORACLE_SQL = f"""
 WITH split AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 places AS (
@@ -153,21 +165,21 @@ by_domain AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM by_host
 by_suffix AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM by_domain GROUP BY ALL),
 top AS (SELECT (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS share FROM by_suffix),
 z0 AS (SELECT sum(n * pow(good / n - share, 2) / (share * (1 - share)) - 1) AS excess, sum(n - 1) AS freedom FROM by_suffix, top),
-m0 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {STRONGEST} ELSE least({STRONGEST}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z0),
+m0 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {OP10['strongest']} ELSE least({OP10['strongest']}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z0),
 suffixes AS (SELECT suffix, (good + m * share) / (n + m) AS suffix_share FROM by_suffix, top, m0),
 d AS (SELECT * FROM by_domain JOIN suffixes USING (suffix)),
 z1 AS (SELECT sum(n * pow(good / n - suffix_share, 2) / (suffix_share * (1 - suffix_share)) - 1) AS excess, sum(n - 1) AS freedom FROM d WHERE suffix_share > 0 AND suffix_share < 1),
-m1 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {STRONGEST} ELSE least({STRONGEST}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z1),
+m1 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {OP10['strongest']} ELSE least({OP10['strongest']}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z1),
 domains AS (SELECT domain, (good + m * suffix_share) / (n + m) AS domain_share FROM d, m1),
 h AS (SELECT * FROM by_host JOIN domains USING (domain)),
 z2 AS (SELECT sum(n * pow(good / n - domain_share, 2) / (domain_share * (1 - domain_share)) - 1) AS excess, sum(n - 1) AS freedom FROM h WHERE domain_share > 0 AND domain_share < 1),
-m2 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {STRONGEST} ELSE least({STRONGEST}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z2),
+m2 AS (SELECT CASE WHEN coalesce(excess, 0) <= 0 OR coalesce(freedom, 0) = 0 THEN {OP10['strongest']} ELSE least({OP10['strongest']}, greatest({WEAKEST}, freedom / excess - 1)) END AS m FROM z2),
 posterior AS (
-  SELECT page_id, named.host, path, coalesce(by_host.n, 0) + m AS size, (coalesce(by_host.good, 0) + m * coalesce(domain_share, suffix_share, share)) / (coalesce(by_host.n, 0) + m) AS mean
+  SELECT page_id, named.host, path, share AS overall, coalesce(by_host.n, 0) AS labelled, coalesce(by_host.n, 0) + m AS size, (coalesce(by_host.good, 0) + m * coalesce(domain_share, suffix_share, share)) / (coalesce(by_host.n, 0) + m) AS mean
   FROM named LEFT JOIN by_host ON named.host = by_host.host LEFT JOIN domains ON named.domain = domains.domain LEFT JOIN suffixes ON named.suffix = suffixes.suffix, m2, top
 ),
 ruled AS (
-  SELECT page_id, host, path, mean + {WIDTH} * sqrt(mean * (1 - mean) / (size + 1)) AS upper,
+  SELECT page_id, host, path, overall, labelled, mean AS share, mean + {OP10['width']} * sqrt(mean * (1 - mean) / (size + 1)) AS upper,
     CASE
       WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
@@ -178,6 +190,7 @@ ruled AS (
   FROM posterior
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN upper < {GOOD_SHARE} THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN upper < overall THEN 'block' ELSE 'allow' END AS verdict,
+  round(share, 6) AS share, round(upper, 6) AS upper, CAST(labelled AS BIGINT) AS labelled
 FROM ruled
 """

@@ -81,6 +81,33 @@ def test_awkward_rows(spark, tricky, nothing):
     rules, outcomes = spark.createDataFrame(queries.RULES, RULES), spark.createDataFrame([], GOOD)
     pages = tricky.withColumn("url", F.when(F.col("doc_id") % 2 == 0, F.lit("x://a.com/p")))
     out = urls.judge_urls(pages, rules, outcomes)
-    assert out.columns == [*pages.columns, "host_", "path", "rule", "verdict_"]
+    assert out.columns == [*pages.columns, "host_", "path", "rule", "verdict_", "share", "upper", "labelled"]
     assert out.count() == pages.count() and out.where("verdict_ = 'allow'").count() == pages.count()
     assert urls.judge_urls(nothing.withColumn("url", F.col("text")), rules, outcomes).count() == 0
+
+
+def test_column_names_with_dots(spark):
+    pages = spark.createDataFrame([(1, "x://a.com/p", 5), (2, "x://b.org/p", 6), (2, "x://b.org/p", 6)], ["page.id", "url", "a.b"])
+    out = urls.judge_urls(pages, spark.createDataFrame(queries.RULES, RULES), spark.createDataFrame([("b.org", 0)], GOOD))
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "x://a.com/p", 5, "a.com"), (2, "x://b.org/p", 6, "b.org"), (2, "x://b.org/p", 6, "b.org")]
+
+
+def test_a_path_number_names_the_document_of_a_page(spark, sf_dir):
+    """The outcomes rest on this: every word of the document that a path numbers stands in the page."""
+    import re
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    shares = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        number = re.search("://[^/?#]*/[a-z]+/([0-9]+)", r["url"] or "")
+        if number and docs.get(int(number.group(1))):
+            own, shown = (set(re.findall(r"\w{4,}", t)) for t in (docs[int(number.group(1))], r["html"]))
+            shares.append(len(own & shown) / max(1, len(own)))
+    assert len(shares) > 20 and sum(s > 0.95 for s in shares) >= 0.95 * len(shares)
+
+
+def test_reputation_decides_in_the_query(spark):
+    rows = queries.op10_urls(spark, "/root/testdata/sf0.01").where("rule is null")
+    got = {r["verdict"]: r["count"] for r in rows.groupBy("verdict").count().collect()}
+    assert got["block"] > 0 and got["allow"] > got["block"]
+    assert rows.where("verdict = 'block' and labelled = 0").count() == 0

@@ -5,10 +5,12 @@ piece. Full pieces are sequences of their own; the others are dealt by hash into
 blocks of about ``BLOCK`` pieces, and every block is evolved on ``ISLANDS``
 islands. A chromosome is a packing. Crossover injects a part of the well-filled
 bins of one parent whole into the other, removes the bins that hold the same
-pieces, and puts the displaced pieces back by best fit. After each epoch every
-island sends its elite to the next island of its block; in the end the best
-packing of each block counts. A block is one row of arrays, so memory is bounded
-however many documents there are, and any lost task is redone alone.
+pieces, and puts the displaced pieces back by best fit. An island keeps its whole
+population from epoch to epoch, and after each epoch it sends its elites to the
+next island of its block; in the end the best packing of each block counts. An
+island that has reached the lower bound (all tokens over the capacity) rests. An
+island is one row of arrays, so memory is bounded however many documents there
+are, and any lost task is redone alone.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ END_ID = 0
 BLOCK = 4096
 #: One in so many of a block's bins, the emptiest, is packed again with those of other blocks.
 POOLED = 4
-ISLANDS, EPOCHS, CROSSOVERS, POPULATION = 3, 2, 5, 4
+ISLANDS, EPOCHS, CROSSOVERS, POPULATION, ELITES = 3, 3, 12, 6, 2
+#: About so many islands, of up to BLOCK pieces each, share a task.
+TASK_ROWS = 32
 
 
 # --- pieces --------------------------------------------------------------------
@@ -122,7 +126,11 @@ def _rebuilt(kept: np.ndarray, sizes: np.ndarray, order: np.ndarray, capacity: i
 
 
 def crossover(into: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity: int, order: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Half of the donor's well-filled bins go whole into the other parent; its bins with the same pieces are dissolved, and so is its emptiest tenth."""
+    """Half of the donor's well-filled bins go whole into the other parent; its bins with the same pieces are dissolved, and so is its emptiest tenth.
+
+    The displaced pieces go back by best fit, large ones first but for chance: sizes are blurred by up to a third.
+    """
+    order = order[np.argsort(-(sizes * (1 - rng.random() * rng.random(len(sizes)) / 3))[order], kind="stable")]
     fill = np.bincount(donor, sizes)
     well = np.flatnonzero(fill >= max(np.median(fill), 0.9 * capacity))
     injected = np.isin(donor, rng.permutation(well)[: -(-len(well) // 2)])
@@ -135,41 +143,57 @@ def crossover(into: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity:
     return _rebuilt(kept, sizes, order, capacity)
 
 
-def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION) -> np.ndarray:
-    """The best packing after ``crossovers`` children; an empty population starts from best-fit decreasing and blurred orders of it."""
+def generations(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION) -> list[np.ndarray]:
+    """A population after ``crossovers`` children, best first; it is filled up to ``size`` with best-fit decreasing and blurred orders of it.
+
+    A child takes the place of the worst if it is better and no twin of another.
+    Nothing is done once the best has as few bins as the sum of sizes allows.
+    """
     rng = np.random.default_rng(seed)
     order = np.argsort(-sizes, kind="stable")
-    if not population:
-        population = [_packed(sizes, order, capacity)]
-    while len(population) < size:
+    least = -(-int(sizes.sum()) // capacity)
+    scored = [(fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)]
+    if not scored:
+        first = _packed(sizes, order, capacity)
+        scored.append((fitness(first, sizes, capacity), 0, first))
+    top = max(scored)[0][0]
+    while len(scored) < size and top < -least:
         blurred = np.argsort(-sizes * (1 + 0.1 * rng.random(len(sizes))), kind="stable")
-        population.append(_packed(sizes, blurred, capacity))
-    scored = sorted(((fitness(p, sizes, capacity), k) for k, p in enumerate(population)), reverse=True)
-    ranked = [(f, population[k]) for f, k in scored]
-    for _ in range(crossovers):
-        a, b = rng.choice(len(ranked), 2, replace=False) if len(ranked) > 1 else (0, 0)
-        child = crossover(ranked[min(a, b)][1], ranked[max(a, b)][1], sizes, capacity, order, rng)
+        one = _packed(sizes, blurred, capacity)
+        scored.append((fitness(one, sizes, capacity), len(scored), one))
+    scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+    del scored[size:]
+    for k in range(crossovers):
+        if scored[0][0][0] >= -least or len(scored) < 2:
+            break
+        a, b = sorted(rng.choice(len(scored), 2, replace=False))
+        child = crossover(scored[b][2], scored[a][2], sizes, capacity, order, rng)
         score = fitness(child, sizes, capacity)
-        if score > ranked[-1][0]:
-            ranked[-1] = (score, child)
-            ranked.sort(key=lambda x: x[0], reverse=True)
-    return ranked[0][1]
+        if score > scored[-1][0] and all(score != other for other, _, _ in scored):
+            scored[-1] = (score, size + k, child)
+            scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+    return [p for _, _, p in scored]
+
+
+def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION) -> np.ndarray:
+    """The best packing of a population after ``crossovers`` children."""
+    return generations(sizes, population, capacity, seed, crossovers, size)[0]
 
 
-_STATE = "block long, island int, uids array<long>, sizes array<int>, bins array<int>, count int, spread double, moved array<int>"
+_STATE = "block long, island int, uids array<long>, sizes array<int>, population array<array<int>>, moved array<array<int>>, count int, spread double"
 
 
 def _evolve_rows(capacity: int, epoch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
+            for i in range(batch.num_rows):  # one island at a time is turned into lists
+                r = batch.slice(i, 1).to_pylist()[0]
                 sizes = np.array(r["sizes"], np.int64)
-                population = [np.array(r[k], np.int64) for k in ("bins", "moved") if r[k]]
-                bins = evolve(sizes, population, capacity, (int(r["block"]) * ISLANDS + r["island"]) * 64 + epoch)
-                (count, spread) = fitness(bins, sizes, capacity)
-                r |= {"bins": bins.tolist(), "count": -count, "spread": spread, "moved": None}
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+                population = [np.array(p, np.int64) for p in (r["population"] or []) + (r["moved"] or [])]
+                kept = generations(sizes, population, capacity, (int(r["block"]) * ISLANDS + r["island"]) * 64 + epoch)
+                (count, spread) = fitness(kept[0], sizes, capacity)
+                r |= {"population": [p.tolist() for p in kept], "moved": None, "count": -count, "spread": spread}
+                yield pa.RecordBatch.from_pylist([r], schema=batch.schema)
 
     return run
 
@@ -179,7 +203,8 @@ def _placed_rows(capacity: int, level: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, uids, sizes, bins in zip(*(batch.column(c).to_pylist() for c in ("block", "uids", "sizes", "bins")), strict=True):
+            for i in range(batch.num_rows):
+                block, uids, sizes, bins = (batch.column(c)[i].as_py() for c in ("block", "uids", "sizes", "bins"))
                 uid, size, b = np.array(uids, np.int64), np.array(sizes, np.int64), np.array(bins, np.int64)
                 order = np.lexsort((uid, b))
                 uid, size, b = uid[order], size[order], b[order]
@@ -203,19 +228,21 @@ def _best_of_islands(items: DataFrame, capacity: int, blocks: int) -> DataFrame:
     state = dealt.agg(F.array_sort(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("size")))).alias("x"))
     state = state.select(
         "block", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), F.col("x.uid").alias("uids"), F.col("x.size").alias("sizes"),
-        *(F.lit(None).cast(t).alias(c) for c, t in (("bins", "array<int>"), ("count", "int"), ("spread", "double"), ("moved", "array<int>"))),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("population", "array<array<int>>"), ("moved", "array<array<int>>"), ("count", "int"), ("spread", "double"))),
     )
-    tasks = max(1, min(blocks * ISLANDS, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows, parts = blocks * ISLANDS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(rows, 4 * parts), rows // TASK_ROWS)
     for epoch in range(EPOCHS):
         state = materialize(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch), _STATE))
         if epoch + 1 < EPOCHS:
-            elite = state.select(F.col("block").alias("from"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to"), F.col("bins").alias("sent"))
+            elite = state.select(F.col("block").alias("from"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to"), F.slice("population", 1, ELITES).alias("sent"))
             state = state.join(elite, (F.col("block") == F.col("from")) & (F.col("island") == F.col("to"))).select(
-                "block", "island", "uids", "sizes", "bins", "count", "spread", F.col("sent").alias("moved")
+                "block", "island", "uids", "sizes", "population", F.col("sent").alias("moved"), "count", "spread"
             )
     best = state.groupBy("block").agg(F.min(F.struct("count", -F.col("spread"), "island")).alias("best"))
     best = best.select(F.col("block").alias("best_block"), F.col("best.island").alias("best_island"))
-    return state.join(best, (F.col("block") == F.col("best_block")) & (F.col("island") == F.col("best_island"))).select("block", "uids", "sizes", "bins")
+    best = state.join(best, (F.col("block") == F.col("best_block")) & (F.col("island") == F.col("best_island")))
+    return best.select("block", "uids", "sizes", F.col("population")[0].alias("bins"))
 
 
 def pack_sizes(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:

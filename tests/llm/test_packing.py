@@ -89,3 +89,34 @@ def test_awkward_rows(spark, tricky, nothing):
     full = spark.createDataFrame([(1, "a " * 15), (2, "a " * 15)], "doc_id int, text string")
     got = packing.pack_documents(full, PATH, capacity=4).collect()
     assert held(got, 4) == -(-sum(r["length"] for r in got) // 4) and all(r["length"] <= 4 for r in got)
+
+
+def triplets(rng, bins, capacity):
+    """Pieces that fill every bin exactly, three in each: best-fit decreasing misses most of these packings."""
+    sizes = []
+    for _ in range(bins):
+        a = rng.integers(capacity * 38 // 100, capacity * 45 // 100)
+        b = rng.integers(capacity * 27 // 100, (capacity - a) // 2 + 1)
+        sizes += [a, b, capacity - a - b]
+    return rng.permutation(np.array(sizes, np.int64))
+
+
+def test_evolution_beats_its_seed():
+    better = 0
+    for seed in range(4):
+        sizes = triplets(np.random.default_rng(seed), 40, 1000)
+        first = packing._packed(sizes, np.argsort(-sizes, kind="stable"), 1000)
+        best = packing.evolve(sizes, [], 1000, seed, crossovers=1500, size=30)
+        assert np.bincount(best, sizes).max() <= 1000 and np.bincount(best, sizes).sum() == sizes.sum()
+        assert best.max() <= first.max()
+        better += best.max() < first.max()
+    assert better == 4
+
+
+def test_a_population_lives_on():
+    sizes = triplets(np.random.default_rng(5), 40, 1000)
+    one = packing.generations(sizes, [], 1000, 1)
+    more = packing.generations(sizes, one, 1000, 2)
+    assert 1 < len(one) <= packing.POPULATION and len(more) == len(one)
+    assert packing.fitness(more[0], sizes, 1000) >= packing.fitness(one[0], sizes, 1000)
+    assert {p.tobytes() for p in one} & {p.tobytes() for p in more}

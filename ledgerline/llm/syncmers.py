@@ -1,30 +1,35 @@
 """Document fingerprints from closed syncmers.
 
-A k-mer of bytes is a closed syncmer if the smallest (by hash, the leftmost of
-equals) of its inner s-mers is the first or the last one. Whether it is depends
-on its own bytes alone, so equal passages carry equal anchors at equal relative
-places, and every window of k - s k-mers has an anchor. The anchors of a text serve
-two ends: ``anchors`` returns them with their places for positional matching,
-and ``fingerprint`` keeps the smallest hash in each of ``SLOTS`` slots. The
-likeness of two fingerprints is the share of slots, among those filled in
-either, that are equal, an estimate of the Jaccard similarity of anchor sets.
+A k-mer of bytes is a closed syncmer if the first or the last one of its inner
+s-mers is as small (by hash) as any of them. Whether it is depends on its own
+bytes alone, so equal passages carry equal anchors at equal relative places, and
+every window of k - s k-mers has an anchor. ``anchors`` returns those of a text
+with their places. ``fingerprint`` keeps the smallest anchor in each of ``SLOTS``
+slots, its hash and its rank by place among those kept. The likeness of two
+fingerprints matches by position: of the slots with equal anchors the longest
+chain that stands in the same order in both counts, as a share of the slots
+filled in either. Where equal passages keep their order this estimates the
+Jaccard similarity of anchor sets; passages that were shuffled count once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import fresh, mix, utf8
 
 K, S = 24, 12
-SLOTS, SLOT_BITS = 128, 16
+SLOTS, SLOT_BITS, WIDE = 128, 16, 6
+#: A range of neighbouring documents holds about so many bytes; there are at most MOST_PARTS ranges, which the quantiles still tell apart.
+PART_BYTES, MOST_PARTS = 64 << 20, 10_000
 _EMPTY = np.uint64((1 << 64) - 1)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,32 +75,47 @@ def closed_syncmers(raw: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray
     return at, mix(inner[at] * _B + inner[at + k - s] + np.uint64(k))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of each slot; ``_EMPTY`` in slots without any."""
-    out = np.full(SLOTS, _EMPTY)
-    np.minimum.at(out, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), hashes >> np.uint64(7))
-    return out
+def sketch(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hash of each slot (``_EMPTY`` in slots without any) and the first place where it stands."""
+    out, place = np.full(SLOTS, _EMPTY), np.full(SLOTS, np.iinfo(np.int64).max)
+    slot, rest = (hashes & np.uint64(SLOTS - 1)).astype(np.int64), hashes >> np.uint64(7)
+    np.minimum.at(out, slot, rest)
+    kept = out[slot] == rest
+    np.minimum.at(place, slot[kept], at[kept])
+    return out, place
 
 
-def text_form(slots: np.ndarray) -> str:
-    """Four hex digits per slot, ``----`` for an empty one."""
-    short = (mix(slots) & np.uint64((1 << SLOT_BITS) - 1)).astype(">u2").tobytes().hex()
+def text_form(slots: np.ndarray, place: np.ndarray) -> str:
+    """Six hex digits per slot, four of the anchor and two of its rank by place; ``------`` for an empty one."""
+    rank = np.empty(SLOTS, np.uint64)
+    rank[np.argsort(place, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    short = ((mix(slots) & np.uint64((1 << SLOT_BITS) - 1)) << np.uint64(8) | rank).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
     empty = slots == _EMPTY
-    return short if not empty.any() else "".join("----" if e else short[4 * i : 4 * i + 4] for i, e in enumerate(empty.tolist()))
+    return short if not empty.any() else "".join("-" * WIDE if e else short[WIDE * i : WIDE * (i + 1)] for i, e in enumerate(empty.tolist()))
+
+
+def _chain(x: list[str], y: list[str]) -> int:
+    """Length of the longest chain of pairs that rise in both."""
+    ends: list[str] = []
+    for _, rank in sorted(zip(x, y, strict=True)):
+        i = bisect_left(ends, rank)
+        ends[i : i + 1] = [rank]
+    return len(ends)
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal slots among those filled in either; 1 for equal fingerprints."""
+    """Share of slots in the longest chain of equal anchors in equal order, among those filled in either; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(v.encode("ascii"), "S4") for v in (a, b))
-    filled = (x != b"----") | (y != b"----")
-    return float((x == y)[filled].sum() / filled.sum()) if filled.any() else 1.0
+    cells = [(a[i : i + WIDE], b[i : i + WIDE]) for i in range(0, len(a), WIDE)]
+    filled = [(x, y) for x, y in cells if x[0] != "-" or y[0] != "-"]
+    same = [(x[4:], y[4:]) for x, y in filled if x[:4] == y[:4]]
+    return _chain([x for x, _ in same], [y for _, y in same]) / len(filled)
 
 
 def fingerprint(data: bytes) -> str:
     """The fingerprint of a text's bytes."""
-    return text_form(sketch(closed_syncmers(np.frombuffer(data, np.uint8))[1]))
+    return text_form(*sketch(*closed_syncmers(np.frombuffer(data, np.uint8))))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,6 +164,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
 
 
+def _not_above(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are not above a value: the block of cuts is found first, then the place in it."""
+    wide = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    count = lambda held: F.size(F.filter(held, lambda c: c <= value))
+    k = count(F.lit([b[0] for b in blocks]))
+    return F.when(k == 0, 0).otherwise((k - 1) * wide + count(F.get(F.lit(blocks), k - 1)))
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
@@ -155,17 +184,20 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited_fingerprint, near_edited, near_next; others are left out. An empty
     table gives no rows.
 
-    Rows are dealt into ranges of ids that a quantile sketch bounds. Each range
+    Rows are dealt into ranges of ids that a quantile sketch bounds, of about
+    PART_BYTES each (rows of one id are in one range). Each range
     gets one guest, the first row of the next range, so a single sorted pass
     meets every pair of neighbours and no task holds more than its stream.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        parts = min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES))
     bounds = rows.agg(F.percentile_approx("doc", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(bounds))
     # descending ids: range 0 holds the largest; null ids are in the last
-    place = F.size(F.filter(F.lit(cuts), lambda c: F.col("doc") < c)) if cuts else F.lit(0)
+    place = len(cuts) - _not_above(cuts, F.col("doc")) if cuts else F.lit(0)
     place = F.when(F.col("doc").isNull(), F.lit(len(cuts))).otherwise(place)
     rows = rows.select(place.alias("part"), "doc", "body")
     # the first row of each range: one per range, so as many as there are parts

@@ -43,19 +43,41 @@ def combined_assignment(heading: Column, body: Column) -> Column:
 
 
 def mentions(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_id: str, term_col: str) -> DataFrame:
-    """(document, term): terms of three words or more that stand in documents as exact substrings.
-
-    A word inside the term, neither first nor last, must be a whole word of the
-    document: documents and terms meet on the term's longest inner word and are
-    then verified. Words are parted by single spaces or newlines.
+    """(document, term), each pair once: terms that stand in documents as exact substrings. Blank terms stand in none.
+
+    Words are parted by spaces and newlines. Documents and terms meet on one word
+    of the term, the anchor: an inner word if there is one, which must be a whole
+    word of the document, else the longer one of both ends, which ends or begins
+    a word there, or the only word, which lies inside one. Pieces of words are
+    looked up once per distinct word of all documents, and only in the lengths
+    that anchors have. Each document's candidates then meet its text once.
     """
-    words = F.split(F.col(term_col), " ")
-    inner = F.slice(words, F.lit(2), F.size(words) - 2)
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    anchors = terms.where((F.size(words) >= 3) & ~F.contains(F.col(term_col), F.lit("\n"))).select(F.col(term_id).alias("term"), F.col(term_col).alias("term_text"), longest.alias("word"))
+    words = F.split(F.col(term_col), "[ \n]")
+    n = F.size(words)
+    kind = lambda i: F.when(n == 1, "inside").when(i == 0, "end").when(i == n - 1, "start").otherwise("whole")
+    ranked = F.transform(words, lambda w, i: F.struct((kind(i) != "whole").alias("outer"), (-F.length(w)).alias("short"), kind(i).alias("kind"), w.alias("piece")))
+    best = F.array_min(ranked)
+    anchors = terms.where(F.trim(F.regexp_replace(term_col, "\n", " ")) != "").select(F.col(term_id).alias("term"), F.col(term_col).alias("term_text"), best["kind"].alias("kind"), best["piece"].alias("piece"))
+
+    lengths = {r["kind"]: sorted(r["n"]) for r in anchors.where("kind <> 'whole'").groupBy("kind").agg(F.collect_set(F.length("piece")).alias("n")).collect()}
+    of = lambda k: F.filter(F.lit(lengths[k]), lambda m: m <= F.length("word"))
+    named = lambda k, piece: F.struct(F.lit(k).alias("kind"), piece.alias("piece"))
+    pieces = [F.array(named("whole", F.col("word")))]
+    if "end" in lengths:
+        pieces.append(F.transform(of("end"), lambda m: named("end", F.right("word", m))))
+    if "start" in lengths:
+        pieces.append(F.transform(of("start"), lambda m: named("start", F.left("word", m))))
+    if "inside" in lengths:
+        at = lambda m: F.sequence(F.lit(1), F.length("word") - m + 1)
+        inner = F.transform(of("inside"), lambda m: F.transform(at(m), lambda i: named("inside", F.substring("word", i, m))))
+        pieces.append(F.array_distinct(F.flatten(inner)))
     own = docs.select(F.col(id_col).alias("document"), F.explode(F.array_distinct(F.split(F.col(text_col), "[ \n]"))).alias("word"))
-    found = own.join(anchors, "word").select("document", "term", "term_text")
-    return found.join(docs.select(F.col(id_col).alias("document"), F.col(text_col).alias("body")), "document").where(F.contains("body", F.col("term_text"))).select("document", "term").distinct()
+    hits = own.select("word").distinct().select("word", F.inline(F.concat(*pieces))).join(anchors, ["kind", "piece"]).select("word", F.struct("term", "term_text").alias("found"))
+
+    wanted = own.join(hits, "word").groupBy("document").agg(F.collect_set("found").alias("wanted"))
+    text = docs.select(F.col(id_col).alias("document"), F.col(text_col).alias("body"))
+    held = text.join(wanted, "document").select("document", F.explode(F.filter("wanted", lambda t: F.contains("body", t["term_text"]))).alias("found"))
+    return held.select("document", "found.term").distinct()
 
 
 def similar_pairs(sets: DataFrame, id_col: str, set_col: str, least: float = 0.5) -> DataFrame:

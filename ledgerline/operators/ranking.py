@@ -28,12 +28,15 @@ def score_postings(postings: DataFrame, profile: list[str], title: Column, descr
     plus a tenth per such token in the title, 1 at most, to four decimals; 0
     for a posting without tokens.
     """
-    own = F.lit(profile) if profile else F.array().cast("array<string>")
-    scored = postings.withColumn("job_tokens", token_set(F.concat_ws(" ", title, description))).withColumn("matched_terms", F.array_sort(F.array_intersect("job_tokens", own)))
-    bonus = 0.1 * F.size(F.array_intersect(token_set(title), own))
-    share = F.try_divide(F.size("matched_terms"), F.size("job_tokens"))
+    # tokens are plain characters; as a literal list the profile is one hash set for all rows
+    listed = ", ".join(f"'{t}'" for t in profile) or "NULL"
+    scored = postings.withColumn("job_tokens", token_set(F.concat_ws(" ", title, description))).withColumn("title_tokens", token_set(title))
+    scored = scored.withColumn("own_tokens", F.expr(f"filter(job_tokens, t -> coalesce(t IN ({listed}), false))"))
+    scored = scored.withColumn("in_title", F.size(F.array_intersect("title_tokens", "own_tokens")))
+    share = F.try_divide(F.size("own_tokens"), F.size("job_tokens"))
     # least() passes over nulls, so a posting without tokens is settled first
-    return scored.withColumn("score", F.least(F.lit(1.0), F.coalesce(F.round(share + bonus, 4), F.lit(0.0)))).drop("job_tokens")
+    score = F.least(F.lit(1.0), F.coalesce(F.round(share + 0.1 * F.coalesce("in_title", F.lit(0)), 4), F.lit(0.0)))
+    return scored.withColumn("matched_terms", F.array_sort("own_tokens")).withColumn("score", score).drop("job_tokens", "title_tokens", "own_tokens", "in_title")
 
 
 def shortlist(scored: DataFrame, id_col: str, size: int = SHORTLIST) -> DataFrame:

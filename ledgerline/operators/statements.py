@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
+from ledgerline.functions.lexicon import MID_CLAUSE
 
 LABEL = r"(?i)^(problem|action|result)\s*:\s*(.+)$"
 BULLET = r"^[-*•]\s+"
@@ -70,11 +71,34 @@ def extract_claims(chunks: DataFrame, group_col: str, chunk_col: str, text_col:
     )
 
 
+_EVIDENCE = {"result_links", "metric_text"}
+
+
+def _evidence_rules(claims: DataFrame, missing: Column) -> list[tuple[str, Column]]:
+    """What can be wrong with the evidence of an outcome, for claims that carry it."""
+    if not _EVIDENCE <= set(claims.columns):
+        return []
+    links, metric = F.col("result_links"), F.trim(F.coalesce("metric_text", F.lit("")))
+    quoted = lambda link: F.trim(F.coalesce(link["outcome_quote"], F.lit("")))
+    counted = F.col("result_kind") == "quantified"
+    found = lambda text, link: F.coalesce(X.verbatim_in(text, link["chunk_text"]), F.lit(False))
+    return [
+        ("result_evidence_missing", ~missing & (F.coalesce(F.size(links), F.lit(0)) <= 0)),
+        ("outcome_quote_missing", ~missing & F.exists(links, lambda link: quoted(link) == "")),
+        ("outcome_quote_not_verbatim", ~missing & F.exists(links, lambda link: (quoted(link) != "") & ~found(quoted(link), link))),
+        ("result_metric_json_missing", counted & (metric == "")),
+        ("result_metric_not_verbatim", counted & (metric != "") & ~F.coalesce(F.exists(links, lambda link: found(F.trim("metric_text"), link)), F.lit(False))),
+    ]
+
+
 def claim_violations(claims: DataFrame) -> DataFrame:
     """``claims`` with violations: codes of what is wrong, in order; an empty array for a claim that passes.
 
     Needs action, problem, tools, cost_dimension, inefficiency, outcome,
-    result_kind and resolves, as ``extract_claims`` gives them.
+    result_kind and resolves, as ``extract_claims`` gives them. With the columns
+    ``result_links`` (an array of outcome_quote and chunk_text, the evidence cited
+    for the outcome) and ``metric_text``, the evidence is checked too: quotes and
+    metric must stand in the chunks word for word. A code comes once per claim.
     """
     a, p, o = F.coalesce(F.trim("action"), F.lit("")), F.coalesce(F.trim("problem"), F.lit("")), F.coalesce(F.trim("outcome"), F.lit(""))
     count = lambda c: F.size(F.split(X.squeezed(c), " "))
@@ -82,7 +106,7 @@ def claim_violations(claims: DataFrame) -> DataFrame:
     ending = F.lower(F.regexp_replace(F.element_at(F.split(bare, r"\s+"), -1), r"[^\w]+$", ""))
     missing = F.col("result_kind") == "missing"
     declared = F.array_compact(F.array("cost_dimension", "inefficiency"))
-    from ledgerline.functions.lexicon import MID_CLAUSE
+    cited = (F.size("result_links") > 0) | F.col("metric_text").isNotNull() if _EVIDENCE <= set(claims.columns) else F.lit(False)
 
     rules = [
         ("problem_missing", p == ""),
@@ -92,8 +116,9 @@ def claim_violations(claims: DataFrame) -> DataFrame:
         ("action_names_no_tools", (a != "") & (F.size("tools") == 0)),
         ("action_tool_not_in_text", (a != "") & F.exists("tools", lambda t: ~F.contains(F.lower(a), F.lower(t)))),
         ("action_fragment", (a != "") & ((count(a) < 5) | bare.rlike(r"[,;–—-]$") | ending.isin(MID_CLAUSE))),
-        ("missing_result_filled", missing & (o != "")),
+        ("missing_result_filled", missing & ((o != "") | cited)),
         ("result_text_missing", ~missing & (o == "")),
+        *_evidence_rules(claims, missing),
         ("result_problem_coupling", ~missing & ~F.coalesce(F.array_contains(declared, F.col("resolves")), F.lit(False))),
     ]
     return claims.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules])))

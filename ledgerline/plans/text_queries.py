@@ -230,7 +230,24 @@ def item_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.mentions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-ITEM_MENTIONS = "SELECT doc_id AS document, item_id AS term FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) WHERE len(string_split(benchmark.text, ' ')) >= 3 AND NOT contains(benchmark.text, chr(10))"
+ITEM_MENTIONS = "SELECT DISTINCT doc_id AS document, item_id AS term FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) WHERE trim(replace(benchmark.text, chr(10), ' ')) <> ''"
+
+
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names, the fourth word of every benchmark item and its second and third, as exact substrings of documents."""
+    items = table(spark, sf_dir, "benchmark").withColumn("words", F.split("text", " "))
+    names = items.select("item_id", F.array_join(F.slice("words", 2, 2), " ").alias("name"))
+    names = names.unionByName(items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.get("words", F.lit(3)).alias("name")))
+    return entities.mentions(table(spark, sf_dir, "documents"), names, "doc_id", "text", "item_id", "name")
+
+
+NAME_MENTIONS = """
+WITH names AS (
+  SELECT item_id, array_to_string(string_split(text, ' ')[2:3], ' ') AS name FROM benchmark
+  UNION ALL SELECT item_id + 1000000, string_split(text, ' ')[4] FROM benchmark
+)
+SELECT DISTINCT doc_id AS document, item_id AS term FROM documents JOIN names ON contains(text, name) WHERE trim(name) <> ''
+"""
 
 
 def _item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +300,32 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "end", F.sha2("body", 256).alias("body_sha256"))
 
 
+#: Paragraphs between blank lines, cut again and again at the last newline, else the last space, else hard.
+CHUNK_SPANS = """
+WITH RECURSIVE blocks AS (
+  SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS raw, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS block FROM documents
+),
+placed AS (SELECT *, coalesce(sum(length(raw) + 2) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks),
+paragraphs AS (
+  SELECT doc_id, CAST(before + length(raw) - length(ltrim(raw, chr(10))) AS INTEGER) AS start, trim(raw, chr(10)) AS body FROM placed WHERE trim(raw, chr(10)) <> ''
+),
+cuts AS (
+  SELECT doc_id, start, body AS rest, CAST(NULL AS VARCHAR) AS piece, 0 AS pos, CAST(0 AS BIGINT) AS size FROM paragraphs
+  UNION ALL
+  SELECT doc_id, start, ltrim(substr(rest, cut + 1), chr(10) || ' '), left(rest, cut), CAST(next_pos AS INTEGER), CAST(length(rest) - length(ltrim(substr(rest, cut + 1), chr(10) || ' ')) AS BIGINT)
+  FROM (
+    SELECT *, pos + size AS next_pos, CASE
+      WHEN length(rest) <= 1200 THEN length(rest)
+      WHEN strpos(reverse(substr(rest, 2, 1199)), chr(10)) > 0 THEN 1200 - strpos(reverse(substr(rest, 2, 1199)), chr(10))
+      WHEN strpos(reverse(substr(rest, 2, 1199)), ' ') > 0 THEN 1200 - strpos(reverse(substr(rest, 2, 1199)), ' ')
+      ELSE 1200 END AS cut
+    FROM cuts WHERE rest <> ''
+  )
+)
+SELECT doc_id, CAST(start + pos AS INTEGER) AS start, CAST(start + pos + length(piece) AS INTEGER) AS "end", sha256(piece) AS body_sha256 FROM cuts WHERE piece IS NOT NULL
+"""
+
+
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the chunks of all documents: none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -304,11 +347,79 @@ def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("conv_id", "turn", "position", "result_kind", F.array_join("violations", ",").alias("violations"))
 
 
+def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made from order keys, with every fault that evidence can have, and the codes of what is wrong with each."""
+    k = F.col("o_orderkey")
+    share = F.concat((k % 90).cast("string"), F.lit("%"))
+    said = F.concat(F.lit("Reduced load time by "), share)
+    quote = F.when(k % 9 == 0, " ").when(k % 9 == 1, "Cut load time").otherwise(said)
+    links = F.array(F.struct(quote.alias("outcome_quote"), F.concat(F.lit("notes:  Reduced load  time by "), share).alias("chunk_text")))
+    claims = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(k % 5 == 0, "").when(k % 5 == 1, "Moved data to").otherwise("Built the nightly loader in Python for all files").alias("action"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, "It was slow").otherwise("Reports were slow and took the whole team many days").alias("problem"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 7 == 0, F.array(F.lit("Go"))).otherwise(F.array(F.lit("Python"))).alias("tools"),
+        F.when(k % 2 == 0, "time").alias("cost_dimension"), F.when(k % 6 == 0, "slow").alias("inefficiency"),
+        F.when(k % 11 == 0, "missing").when(k % 11 < 6, "quantified").otherwise("qualitative_evidenced").alias("result_kind"),
+        F.when((k % 11 == 0) & (k % 2 == 0), None).when(k % 13 == 0, "").otherwise(said).alias("outcome"),
+        F.when((k % 8 == 0) | ((k % 11 == 0) & (k % 4 == 2)), F.slice(links, 1, 0)).otherwise(links).alias("result_links"),
+        F.when((k % 10 == 0) | (k % 11 == 0), None).when(k % 10 == 1, "no such text").otherwise(share).alias("metric_text"),
+        F.when(k % 5 < 3, "time").when(k % 5 == 3, "slow").alias("resolves"),
+    )
+    return statements.claim_violations(claims).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+EVIDENCE_FLAGS = """
+WITH c AS (
+  SELECT o_orderkey, o_orderkey AS k, (o_orderkey % 90) || '%' AS share,
+    CASE WHEN k % 5 = 0 THEN 'none' WHEN k % 5 = 1 THEN 'short' ELSE 'long' END AS action,
+    CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 4 = 1 THEN 'short' ELSE 'long' END AS problem,
+    CASE WHEN k % 3 = 0 THEN 'none' WHEN k % 7 = 0 THEN 'Go' ELSE 'Python' END AS tool,
+    CASE WHEN k % 2 = 0 THEN 'time' END AS cost, CASE WHEN k % 6 = 0 THEN 'slow' END AS waste,
+    CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 11 < 6 THEN 'quantified' ELSE 'qualitative' END AS result,
+    NOT ((k % 11 = 0 AND k % 2 = 0) OR k % 13 = 0) AS has_outcome, NOT (k % 8 = 0 OR (k % 11 = 0 AND k % 4 = 2)) AS linked,
+    CASE WHEN k % 10 = 0 OR k % 11 = 0 THEN NULL WHEN k % 10 = 1 THEN 'no such text' ELSE share END AS metric,
+    CASE WHEN k % 5 < 3 THEN 'time' WHEN k % 5 = 3 THEN 'slow' END AS resolves, k % 9 AS quoted
+  FROM orders
+)
+SELECT o_orderkey, concat_ws(',',
+  CASE WHEN problem = 'none' THEN 'problem_missing' END,
+  CASE WHEN problem <> 'none' AND cost IS NULL AND waste IS NULL THEN 'problem_not_pain_point' END,
+  CASE WHEN problem = 'short' THEN 'problem_not_specific' END,
+  CASE WHEN action = 'none' THEN 'action_missing' END,
+  CASE WHEN action <> 'none' AND tool = 'none' THEN 'action_names_no_tools' END,
+  CASE WHEN action <> 'none' AND (tool = 'Go' OR (tool = 'Python' AND action = 'short')) THEN 'action_tool_not_in_text' END,
+  CASE WHEN action = 'short' THEN 'action_fragment' END,
+  CASE WHEN result = 'missing' AND (has_outcome OR linked) THEN 'missing_result_filled' END,
+  CASE WHEN result <> 'missing' AND NOT has_outcome THEN 'result_text_missing' END,
+  CASE WHEN result <> 'missing' AND NOT linked THEN 'result_evidence_missing' END,
+  CASE WHEN result <> 'missing' AND linked AND quoted = 0 THEN 'outcome_quote_missing' END,
+  CASE WHEN result <> 'missing' AND linked AND quoted = 1 THEN 'outcome_quote_not_verbatim' END,
+  CASE WHEN result = 'quantified' AND metric IS NULL THEN 'result_metric_json_missing' END,
+  CASE WHEN result = 'quantified' AND metric IS NOT NULL AND (metric = 'no such text' OR NOT linked) THEN 'result_metric_not_verbatim' END,
+  CASE WHEN result <> 'missing' AND (resolves IS NULL OR (resolves IS DISTINCT FROM cost AND resolves IS DISTINCT FROM waste)) THEN 'result_problem_coupling' END
+) AS violations FROM c
+"""
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source in batches of at most 30 and 14,000 characters."""
     return segments.packed_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
 
 
+BATCHES = """
+WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+g AS (
+  SELECT source, doc_id, i, 0 AS batch, 1 AS held, n_chars AS total FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.source, r.doc_id, r.i, g.batch + CASE WHEN held + 1 > 30 OR total + n_chars > 14000 THEN 1 ELSE 0 END,
+    CASE WHEN held + 1 > 30 OR total + n_chars > 14000 THEN 1 ELSE held + 1 END, CASE WHEN held + 1 > 30 OR total + n_chars > 14000 THEN n_chars ELSE total + n_chars END
+  FROM g JOIN r ON r.source = g.source AND r.i = g.i + 1
+)
+SELECT source, doc_id, CAST(batch AS INTEGER) AS batch FROM g
+"""
+
+
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of every document by kind."""
     return structure.elements(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("elements"), F.sum(F.length("body")).alias("chars"))
@@ -334,7 +445,7 @@ QUERIES = {
     "dispositions": (dispositions, DISPOSITIONS), "canonical_urls": (canonical_urls, CANONICAL_URLS), "html_texts": (html_texts, HTML_TEXTS), "fingerprints": (fingerprints, FINGERPRINTS),
     "name_keys": (name_keys, NAME_KEYS), "sentence_counts": (sentence_counts, SENTENCE_COUNTS), "statement_roles": (statement_roles, STATEMENT_ROLES),
     "problem_context": (problem_context, PROBLEM_CONTEXT), "invitations": (invitations, INVITATIONS), "number_gate": (number_gate, NUMBER_GATE), "shared_lines": (shared_lines, SHARED_LINES),
-    "assigned_items": (assigned_items, ASSIGNED_ITEMS), "item_mentions": (item_mentions, ITEM_MENTIONS), "similar_items": (similar_items, SIMILAR_ITEMS), "item_groups": (item_groups, ITEM_GROUPS),
-    "paragraph_spans": (paragraph_spans, PARAGRAPH_SPANS), "chunk_spans": (chunk_spans, None), "chunk_coverage": (chunk_coverage, CHUNK_COVERAGE), "reflowed_texts": (reflowed_texts, None),
-    "claim_flags": (claim_flags, None), "batches": (batches, None), "page_elements": (page_elements, None), "element_coverage": (element_coverage, CHUNK_COVERAGE), "corpus_digest": (corpus_digest, CORPUS_DIGEST),
+    "assigned_items": (assigned_items, ASSIGNED_ITEMS), "item_mentions": (item_mentions, ITEM_MENTIONS), "name_mentions": (name_mentions, NAME_MENTIONS), "similar_items": (similar_items, SIMILAR_ITEMS), "item_groups": (item_groups, ITEM_GROUPS),
+    "paragraph_spans": (paragraph_spans, PARAGRAPH_SPANS), "chunk_spans": (chunk_spans, CHUNK_SPANS), "chunk_coverage": (chunk_coverage, CHUNK_COVERAGE), "reflowed_texts": (reflowed_texts, None),
+    "claim_flags": (claim_flags, None), "evidence_flags": (evidence_flags, EVIDENCE_FLAGS), "batches": (batches, BATCHES), "page_elements": (page_elements, None), "element_coverage": (element_coverage, CHUNK_COVERAGE), "corpus_digest": (corpus_digest, CORPUS_DIGEST),
 }

@@ -1,10 +1,12 @@
 """Column functions against hand-written tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
-from ledgerline.operators import segments, statements
+from ledgerline.operators import entities, segments, statements
 
 
 def of(spark, f, *values):
@@ -154,3 +156,35 @@ def test_batches_stay_in_budget(spark):
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 5, 20, 1, 1, 1])], "g string, o int, n int")
     got = segments.packed_batches(rows, "g", "o", "n", most_chunks=2, most_chars=10).orderBy("o").collect()
     assert [r["batch"] for r in got] == [0, 0, 1, 2, 2, 3]
+
+
+def test_evidence_is_checked(spark):
+    columns = (
+        "action string, problem string, tools array<string>, cost_dimension string, inefficiency string, outcome string, result_kind string, resolves string, "
+        "metric_text string, result_links array<struct<outcome_quote: string, chunk_text: string>>"
+    )
+    good = ("Built a loader in Python for files", "Reports were slow and took many days", ["Python"], "time", None, "Cut time by 40%", "quantified", "time")
+    chunk = "we did cut\n time by 40% that year"
+    rows = [
+        (*good, "40%", [("cut time by 40%", chunk)]),
+        (*good, "41%", [("cut time by 40%", chunk), (" ", chunk), ("Cut time", chunk)]),
+        (*good, " ", []),
+        (*good, "40%", None),
+        (*good[:5], "", "missing", None, None, [("x", "x")]),
+        (*good[:5], "", "missing", None, None, []),
+    ]
+    got = [r["violations"] for r in statements.claim_violations(spark.createDataFrame(rows, columns)).collect()]
+    assert got == [
+        [], ["outcome_quote_missing", "outcome_quote_not_verbatim", "result_metric_not_verbatim"], ["result_evidence_missing", "result_metric_json_missing"],
+        ["result_evidence_missing", "result_metric_not_verbatim"], ["missing_result_filled"], [],
+    ]
+
+
+def test_mentions_against_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abé", k=rng.randint(0, 3)))
+    docs = [(i, rng.choice(" \n").join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(99, "we used Spark and Hadoop here"), (100, "Sparkling"), (101, None)]
+    terms = [(i, " ".join(word() for _ in range(rng.randint(1, 4)))) for i in range(80)] + [(200, "Spark"), (201, "and Hadoop"), (202, "  "), (203, "rk and Had"), (204, "used  Spark"), (205, "a\nb"), (206, None), (207, "")]
+    got = entities.mentions(spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(terms, "k int, n string"), "d", "t", "k", "n")
+    want = {(d, k) for d, t in docs for k, n in terms if t is not None and n and n.strip() and n in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (99, 201) in want and (100, 200) in want

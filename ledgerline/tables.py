@@ -4,23 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. A temporary one only where none is named and the session is local; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-ledgerline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables materialized inside are deleted at the end; the paths that the caller takes out of the list stay."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+        hadoop, java = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            where = java.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and any executor may go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

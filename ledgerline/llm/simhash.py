@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, utf8, words_of
+from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, split_join, utf8, words_of
 from ledgerline.operators.graph import connected_components
 
 BITS = 64
@@ -240,12 +240,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left out; an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col))
-    codes = materialize(rows.where("doc is not null").groupBy("fp").agg(F.min("doc").alias("rep")))
-    parts = connected_components(links(codes, radius, group_rows))
-    classes = codes.join(parts, codes["rep"] == parts["node"], "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(classes, rows["fp"] == classes["class"], "left").select(
-        F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    codes = materialize(rows.groupBy("fp").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("held")))
+    parts = connected_components(links(codes.where("rep is not null"), radius, group_rows))
+    classes = codes.join(parts, codes["rep"] == parts["node"], "left").select("fp", "held", F.coalesce("component", "rep").alias("component_id"))
+    # every fingerprint has a class; one that a third of all rows have is broadcast
+    return split_join(rows, materialize(classes), ["fp"], "held").select(F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -55,3 +55,20 @@ def test_entire_licences(spark):
     terms = [t.partition("END OF TERMS AND CONDITIONS")[0] for t in whole[:3]]
     rows = scanned(spark, [*whole, *terms, whole[2].upper().replace(" ", "  "), whole[0][:5000]])
     assert [rows[i]["license"] for i in range(len(rows))] == [*names.values(), *list(names.values())[:3], "GPL-3.0", None]
+
+
+def test_the_sql_finds_planted_licenses(spark, tmp_path):
+    """The query and its SQL on a table that holds every known text, variants and near misses."""
+    import duckdb
+
+    from ledgerline.llm import queries
+
+    texts = [t for _, t in licenses.known_texts()]
+    texts += [t.upper().replace(" ", "\n") for t in texts[:8]] + ["Copyright (c) 2024 A B\n" + t for t in texts[:8]] + [t + " more" for t in texts[:8]] + ["", None, "plain words"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["license_digest"], r["license"]) for r in queries.op3_licenses(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = duck.sql(licenses.ORACLE_SQL).df().astype(object)
+    want = sorted((r.doc_id, *(None if v != v or v is None else v for v in (r.license_digest, r.license))) for r in found.itertuples())
+    assert got == want and sum(r[2] is not None for r in got) >= len(licenses.known_texts()) + 8

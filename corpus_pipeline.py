@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import linededup, packing, quality, simhash, suffixes
-from ledgerline.llm.common import materialize, table
+from ledgerline.llm.common import dropped_after, materialize, table
 
 
 def _shortened(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,10 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all that its predecessor kept, written as Parquet in between."""
+    """Every stage over all that its predecessor kept, written as Parquet in between; a stage's own tables go once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with dropped_after(spark) as tables:
+            docs = materialize(stage(spark, docs, sf_dir))
+            tables.pop()  # the stage's result, written last
+    return STAGES[-1][1](spark, docs, sf_dir)

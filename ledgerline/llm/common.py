@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.tables import materialize, shared_folder, table  # noqa: F401
+from ledgerline.tables import dropped_after, materialize, shared_folder, table  # noqa: F401
 
 WORD_SPACE = np.zeros(256, dtype=bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True

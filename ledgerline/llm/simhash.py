@@ -15,6 +15,7 @@ blocks of the bits still free, which loses no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
 #: Fingerprints at similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3.
 WIDE_RADIUS = 24
+#: How many of the nearest fingerprints of a key's largest group a set that is apart from it is compared with, round by round; in the last one with all.
+NEAREST = (1, 8, None)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, (1, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -316,10 +319,11 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_key", "node", "fp", "size", "keys"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apart(batches: Iterator[pa.RecordBatch], nearest: int | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of different labels under one key; rows come sorted by key.
 
     Pairs within the largest label are never looked at, so that a large group which is connected already costs no square.
+    With ``nearest``, a row outside of it gets the so many nearest fingerprints of the largest label and its neighbour in Gray order only.
     """
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -329,8 +333,18 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = back == counts.argmax()
         rest, most = np.flatnonzero(~large), np.flatnonzero(large)
         rest = rest[np.argsort(gray_rank(codes[rest]), kind="stable")]
-        found = ((rest[i], rest[j]) for i, j in near_pairs(codes[rest], np.zeros(len(rest), np.int64), WIDE_RADIUS))
-        across = ((np.full(len(hit), i), hit) for i in rest.tolist() if len(hit := most[np.bitwise_count(codes[most] ^ codes[i]) <= WIDE_RADIUS]))
+        if nearest is None:
+            found = ((rest[i], rest[j]) for i, j in near_pairs(codes[rest], np.zeros(len(rest), np.int64), WIDE_RADIUS))
+        else:
+            beside = np.bitwise_count(codes[rest[1:]] ^ codes[rest[:-1]]) <= WIDE_RADIUS
+            found = [(rest[1:][beside], rest[:-1][beside])]
+
+        def hits(i: int) -> np.ndarray:
+            bits = np.bitwise_count(codes[most] ^ codes[i])
+            near = np.argsort(bits, kind="stable")[:nearest] if nearest else np.arange(len(most))
+            return most[near[bits[near] <= WIDE_RADIUS]]
+
+        across = ((np.full(len(hit), i), hit) for i in rest.tolist() if len(hit := hits(i)))
         for group in (found, across):
             for i, j in group:
                 fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
@@ -379,7 +393,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     compared. Sets that share a key of least hashes meet; those whose SimHash
     fingerprints are within WIDE_RADIUS bits, found in Gray order, are candidates, and
     each candidate pair is verified with the whole texts. At first every set is
-    compared with one of its key; then only pairs which that left apart are.
+    compared with one of its key; then, round by round, those that this left apart
+    with their nearest, and in the end with all, so that no link is lost but few are tried.
     Texts without words are one group; rows of one id are one row, and rows
     without an id are kept as they are, as in ``simhash_dedup``.
     """
@@ -397,14 +412,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = rows.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc", "a")
     found = materialize(found.unionByName(rows.join(ids, "doc").select("a", F.col("node").alias("b")).where("a <> b").distinct()))
 
-    parts = materialize(connected_components(found))
-    labelled = keyed.select("key", "node", "fp", "size").join(parts, "node", "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("label"))
-    labelled = materialize(labelled)
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = labelled.join(open_keys, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label")
     pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    more = materialize(left.mapInArrow(_apart, pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    parts = connected_components(found.unionByName(_alike(more, sets, docs, id_col, text_col)))
+    for nearest in NEAREST:
+        parts = materialize(connected_components(found))
+        labelled = keyed.select("key", "node", "fp", "size").join(parts, "node", "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("label"))
+        labelled = materialize(labelled)
+        open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        left = labelled.join(open_keys, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label")
+        more = materialize(left.mapInArrow(partial(_apart, nearest=nearest), pair).distinct().join(tried, ["a", "b"], "left_anti"))
+        found = found.unionByName(_alike(more, sets, docs, id_col, text_col))
+        tried = tried.unionByName(more)
+    parts = connected_components(found)
     classes = sets.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("at.doc").alias("doc"))
     return _one_row_each(docs, id_col, classes.select("doc"))

@@ -304,27 +304,57 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit per class of hashes modulo its width, set where an odd number of the set's hashes fall; two to four bits a shingle, 64 at least.
+
+    A hash in only one of two sets turns one bit of the sketches' difference, so
+    that difference never has more bits than hashes are in only one set.
+    """
+    width = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def sketch_distances(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of pairs differ, each pair at the smaller width of its two; a sketch folds to a smaller width by XOR of its parts."""
+    wide = np.array([len(x) for x in sketches], np.int64)
+    least = np.minimum(wide[left], wide[right])
+    out = np.zeros(len(left), np.int64)
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        used, place = np.unique(np.concatenate([left[at], right[at]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], "<u8").reshape(-1, width // 8), axis=0) for k in used.tolist()])
+        step = max(1, (1 << 24) // width)
+        for first in range(0, len(at), step):
+            past = min(first + step, len(at))
+            out[at[first:past]] = np.bitwise_count(folded[place[first:past]] ^ folded[place[len(at) + first : len(at) + past]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, codes, sizes, keys = [], [], [], []
+        node, codes, sizes, keys, odd = [], [], [], [], []
         for h in shingle_sets(batch.column(2)):
             node.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED))
             codes.append(_majority(h) if len(h) else 0)
             sizes.append(len(h))
             keys.append(band_keys(h) if len(h) else [])
+            odd.append(parity_sketch(h))
         signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, codes)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_key", "node", "fp", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["doc", "text_key", "node", "fp", "size", "keys", "odd"])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of different labels under one key; rows come sorted by key.
 
     Pairs within the largest label are never looked at, so that a large group which is connected already costs no square.
+    Sets of sizes m and n are 0.8 alike only if at most (m + n) / 9 shingles are in just one of them; pairs whose parity
+    sketches differ in more bits than that are left out, which loses none.
     """
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         node, label, size = (t[c].to_numpy() for c in ("node", "label", "size"))
-        codes = t["fp"].to_numpy().view(np.uint64)
+        codes, odd = t["fp"].to_numpy().view(np.uint64), t["odd"].to_pylist()
         names, back, counts = np.unique(label, return_inverse=True, return_counts=True)
         large = back == counts.argmax()
         rest, most = np.flatnonzero(~large), np.flatnonzero(large)
@@ -335,6 +365,9 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, j in group:
                 fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
                 i, j = i[fits], j[fits]
+                if len(i):
+                    fits = 9 * sketch_distances(odd, i, j) <= size[i] + size[j]
+                    i, j = i[fits], j[fits]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
@@ -379,14 +412,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     compared. Sets that share a key of least hashes meet; those whose SimHash
     fingerprints are within WIDE_RADIUS bits, found in Gray order, are candidates, and
     each candidate pair is verified with the whole texts. At first every set is
-    compared with one of its key; then only pairs which that left apart are.
+    compared with one of its key; then only pairs which that left apart are, and
+    of these only pairs whose parity sketches leave room for the similarity.
     Texts without words are one group; rows of one id are one row, and rows
     without an id are kept as they are, as in ``simhash_dedup``.
     """
-    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("text_key", "node", "fp", "size")] + [T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("text_key", "node", "fp", "size")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())])
     text = F.col(text_col).cast("string")
     rows = materialize(docs.where(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(text), text).mapInArrow(_set_rows, schema))
-    sets = materialize(rows.groupBy("node").agg(F.min(F.struct("doc", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    sets = materialize(rows.groupBy("node").agg(F.min(F.struct("doc", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("odd").alias("odd")))
     member = F.struct("node", "fp", "size")
     every = sets.select("node", "fp", "size", F.explode("keys").alias("key"))
     groups = every.groupBy("key").agg(F.min(member).alias("least"), F.max("node").alias("last")).where("least.node <> last").select("key", "least")
@@ -402,7 +436,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labelled = materialize(labelled)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = labelled.join(open_keys, "key", "left_semi").repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label")
+    left = labelled.join(open_keys, "key", "left_semi").join(sets.select("node", "odd"), "node")
+    left = left.repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label", "odd")
     pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     more = materialize(left.mapInArrow(_apart, pair).distinct().join(tried, ["a", "b"], "left_anti"))
     parts = connected_components(found.unionByName(_alike(more, sets, docs, id_col, text_col)))

@@ -120,6 +120,18 @@ def test_near_copies_around_the_bound(spark):
     assert simhash.simhash_dedup(frame).count() > len(got)
 
 
+def test_parity_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 5, 31, 32, 33, 160, 200, 3000)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // k], rng.integers(0, 1 << 63, len(s) // k, dtype=np.uint64)])) for s in sets for k in (2, 9, 12)]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    found = simhash.sketch_distances([simhash.parity_sketch(s) for s in sets], left, right)
+    for a, b, d in zip(left, right, found, strict=True):
+        apart = len(np.setxor1d(sets[a], sets[b]))
+        assert d <= apart and (d - apart) % 2 == 0
+        assert a != b or d == 0
+
+
 def test_near_copies_awkward_rows(spark, tricky, nothing):
     kept = simhash.near_dedup(tricky)
     assert kept.columns == tricky.columns

@@ -54,6 +54,39 @@ def scorecard(checks: list[DataFrame]) -> DataFrame:
     return out
 
 
+def captured(evidence: DataFrame, versions: DataFrame) -> DataFrame:
+    """Evidence in use (id, source, ref) stands on a stored version (source, ref, raw; one of each source and ref) that has text."""
+    stored = evidence.join(versions.select("source", "ref", "raw"), ["source", "ref"], "left")
+    return check("capture", stored, F.length(F.coalesce("raw", F.lit(""))) == 0, F.col("id"))
+
+
+def ownership_labelled(evidence: DataFrame) -> DataFrame:
+    """Evidence in use (id, entity, method) that has an entity says how it came there."""
+    return check("ownership_labeled", evidence.where("entity is not null"), F.coalesce("method", F.lit("")) == "", F.col("id"))
+
+
+def reviewed_on_stale(claims: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Approved claims (id, status) cite (claim, evidence) no evidence (id, active) that has been replaced; unknown evidence is another check's."""
+    stale = links.join(evidence.where("not active").select(F.col("id").alias("evidence")), "evidence", "left_semi").select(F.col("claim").alias("id")).distinct()
+    approved = claims.where("status = 'approved'").join(stale.withColumn("on_stale", F.lit(True)), "id", "left")
+    return check("reviewed_on_stale", approved, F.col("on_stale").isNotNull(), F.col("id"))
+
+
+def version_consistency(rows: DataFrame, current: dict[str, int]) -> DataFrame:
+    """Rows (kind, id, version) carry the current version of their kind; kinds that ``current`` does not name have none and fail."""
+    now = F.lit(None)
+    for kind, version in current.items():
+        now = F.when(F.col("kind") == kind, version).otherwise(now)
+    return check("version_consistency", rows, ~F.col("version").eqNullSafe(now) | now.isNull(), F.concat_ws(":", "kind", "id"))
+
+
+def entity_coverage(entities: DataFrame, evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """Confirmed entities (id, status) have evidence in use (entity) and claims (entity)."""
+    fed, processed = (rows.where("entity is not null").select(F.col("entity").alias("id")).distinct().withColumn(name, F.lit(True)) for rows, name in ((evidence, "fed"), (claims, "processed")))
+    rows = entities.where("status = 'confirmed'").join(fed, "id", "left").join(processed, "id", "left")
+    return check("entity_coverage", rows, F.col("fed").isNull() | F.col("processed").isNull(), F.col("id"))
+
+
 def run_log(rows: DataFrame, at: Column, kind: Column, passed: Column) -> DataFrame:
     """(day, kind, runs, passed, pass_rate) of an append-only log."""
     counted = rows.groupBy(F.to_date(F.date_trunc("day", at)).alias("day"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(passed).alias("passed"))

@@ -390,6 +390,30 @@ AUDIT_SCORECARD = " UNION ALL ".join([
 ])
 
 
+def gate_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five audits with labels, orders and parts in the places of evidence, claims and versions."""
+    docs, labels, orders, lines, part, customer = (table(spark, sf_dir, t) for t in ("documents", "labels", "orders", "lineitem", "part", "customer"))
+    versions = docs.where("lang = 'en'").select(F.lit("text").alias("source"), F.col("doc_id").alias("ref"), F.col("text").alias("raw"))
+    used = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity"), F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("method"))
+    claims = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("status"))
+    return audits.scorecard([
+        audits.captured(labels.select(F.col("doc_id").alias("id"), F.lit("text").alias("source"), F.col("doc_id").alias("ref")), versions),
+        audits.ownership_labelled(used),
+        audits.reviewed_on_stale(claims, lines.select(F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("evidence")), part.select(F.col("p_partkey").alias("id"), (F.col("p_size") >= 10).alias("active"))),
+        audits.version_consistency(part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_size").alias("version")), {"part": 10}),
+        audits.entity_coverage(customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, "confirmed").otherwise("proposed").alias("status")), used, orders.where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("entity"))),
+    ])
+
+
+GATE_AUDITS = " UNION ALL ".join([
+    _check_sql("capture", "labels LEFT JOIN (SELECT doc_id, text FROM documents WHERE lang = 'en') USING (doc_id)", "coalesce(text, '') = ''", "doc_id"),
+    _check_sql("ownership_labeled", "(SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_custkey IS NOT NULL) AS o", "coalesce(nullif(o_orderpriority, '4-NOT SPECIFIED'), '') = ''", "o_orderkey"),
+    _check_sql("reviewed_on_stale", "(SELECT o_orderkey, bool_or(coalesce(p_size < 10, false)) AS stale FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' GROUP BY 1) AS o", "stale", "o_orderkey"),
+    _check_sql("version_consistency", "part", "p_size IS DISTINCT FROM 10", "'part:' || p_partkey"),
+    _check_sql("entity_coverage", "(SELECT * FROM customer WHERE c_acctbal >= 0) AS c", "c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P') OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)", "c_custkey"),
+])
+
+
 def tailored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every assistant turn the user turns of its conversation that share most tokens with it, or the first three."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("conv_id").alias("group"), "role", X.token_set(F.col("text")).alias("own"))
@@ -486,6 +510,6 @@ QUERIES = {
     "version_numbers": (version_numbers, VERSION_NUMBERS), "leverage_ranks": (leverage_ranks, LEVERAGE_RANKS), "merged_orders": (merged_orders, MERGED_ORDERS), "inserted_orders": (inserted_orders, INSERTED_ORDERS),
     "unreviewed_replaced": (unreviewed_replaced, UNREVIEWED_REPLACED), "changed_orders": (changed_orders, CHANGED_ORDERS), "supersession": (supersession, SUPERSESSION),
     "captured_versions": (captured_versions, CAPTURED_VERSIONS), "illegal_steps": (illegal_steps, ILLEGAL_STEPS), "daily_log": (daily_log, DAILY_LOG), "event_flags": (event_flags, EVENT_FLAGS),
-    "audit_scorecard": (audit_scorecard, AUDIT_SCORECARD), "tailored": (tailored, TAILORED), "allowed_steps": (allowed_steps, ALLOWED_STEPS),
+    "audit_scorecard": (audit_scorecard, AUDIT_SCORECARD), "gate_audits": (gate_audits, GATE_AUDITS), "tailored": (tailored, TAILORED), "allowed_steps": (allowed_steps, ALLOWED_STEPS),
     "demoted_lines": (demoted_lines, DEMOTED_LINES), "home_nations": (home_nations, HOME_NATIONS), "foreign_parts": (foreign_parts, FOREIGN_PARTS), "first_seen": (first_seen, FIRST_SEEN), "costs": (costs, COSTS),
 }

@@ -52,20 +52,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
-def subtrees(nodes: DataFrame, id_col: str, parent_col: str, max_depth: int = 64) -> DataFrame:
+def subtrees(nodes: DataFrame, id_col: str, parent_col: str, max_depth: int = 1 << 20) -> DataFrame:
     """(node, root, depth) for every node of a forest, by following parents; a null or unknown parent makes a root.
 
-    Pointers are doubled each round, so depth costs its logarithm in joins.
+    Pointers are doubled each round, so depth costs its logarithm in joins. Nodes
+    deeper than ``max_depth``, or parents in a circle, are an error.
     """
     links = nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("up"))
     known = links.select(F.col("node").alias("known"))
     links = links.join(known, F.col("up") == F.col("known"), "left").select("node", F.coalesce("known", "node").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).alias("depth"))
     links, step = materialize(links), 1
-    while step < max_depth:
+    while True:
         above = links.select(F.col("node").alias("mid"), F.col("up").alias("top"), F.col("depth").alias("more"))
         jumped = links.join(above, F.col("up") == F.col("mid")).select("node", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
         jumped = materialize(jumped)
         if jumped.agg(F.sum("depth")).first() == links.agg(F.sum("depth")).first():
-            break
+            return links.select("node", F.col("up").alias("root"), "depth")
+        if step >= max_depth:
+            raise RuntimeError(f"nodes lie deeper than {max_depth}, or parents form a circle")
         links, step = jumped, 2 * step
-    return links.select("node", F.col("up").alias("root"), "depth")

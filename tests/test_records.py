@@ -189,3 +189,29 @@ def test_no_legal_step_is_dropped(spark):
     legal = spark.range(12_000).selectExpr("string(id) AS from_state", "string(id + 1) AS to_state")
     log = spark.range(12_001).selectExpr("1 AS id", "id AS at", "string(id) AS state")
     assert states.illegal_steps(log, legal, ["id"], ["at"], "state").count() == 0
+
+
+def test_subtrees_end_at_their_roots_or_fail(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(66)], "id int, parent int")
+    assert rows(graph.subtrees(chain, "id", "parent"), "node") == [(i, 0, i) for i in range(66)]
+    with pytest.raises(RuntimeError):
+        graph.subtrees(chain, "id", "parent", max_depth=64)
+    with pytest.raises(RuntimeError):
+        graph.subtrees(spark.createDataFrame([(1, 2), (2, 1)], "id int, parent int"), "id", "parent", max_depth=8)
+
+
+def test_gate_audits(spark):
+    evidence = spark.createDataFrame([(1, "text", "a"), (2, "text", "b"), (3, None, "a"), (4, "text", "c")], "id int, source string, ref string")
+    versions = spark.createDataFrame([("text", "a", "body"), ("text", "b", "")], "source string, ref string, raw string")
+    assert rows(audits.captured(evidence, versions)) == [("capture", 4, 3, False, "2,3,4")]
+    owned = spark.createDataFrame([(1, 7, "human"), (2, 7, None), (3, None, None), (4, 8, "")], "id int, entity int, method string")
+    assert rows(audits.ownership_labelled(owned)) == [("ownership_labeled", 3, 2, False, "2,4")]
+    claims = spark.createDataFrame([(1, "approved"), (2, "rejected"), (3, "approved"), (4, None)], "id int, status string")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (3, 11), (3, 99)], "claim int, evidence int")
+    assert rows(audits.reviewed_on_stale(claims, links, spark.createDataFrame([(10, False), (11, True)], "id int, active boolean"))) == [("reviewed_on_stale", 2, 1, False, "1")]
+    stamped = spark.createDataFrame([("row", 1, 2), ("row", 2, 1), ("row", 3, None), ("other", 4, 2)], "kind string, id int, version int")
+    assert rows(audits.version_consistency(stamped, {"row": 2})) == [("version_consistency", 4, 3, False, "other:4,row:2,row:3")]
+    entities_ = spark.createDataFrame([(7, "confirmed"), (8, "confirmed"), (9, "confirmed"), (6, "proposed")], "id int, status string")
+    worked = spark.createDataFrame([(7,), (9,), (None,)], "entity int")
+    assert rows(audits.entity_coverage(entities_, owned, worked)) == [("entity_coverage", 3, 2, False, "8,9")]
+    assert rows(audits.entity_coverage(entities_.limit(0), owned, worked)) == [("entity_coverage", 0, 0, True, "")]

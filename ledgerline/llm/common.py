@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.tables import dropped_after, materialize, shared_folder, table  # noqa: F401
@@ -149,3 +149,24 @@ def heavy_keys(rows: DataFrame, key: str) -> list:
     """
     found, total = rows.agg(F.expr(f"approx_top_k(`{key}`, 1000, 10000)"), F.count(F.lit(1))).first()
     return [r["item"] for r in found or [] if r["count"] > total / HOT_SHARE]
+
+
+def global_ranks(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """``rows`` with a long column ``name``: 1, 2, 3... in ``order`` over all rows; and the number of rows.
+
+    One sort over ranges writes each row's range and its place in it; the sizes of the
+    ranges, one row each, then give every range its first rank. Rows that are equal in
+    ``order`` are dealt over ranges as they stand in ``rows``, which should be a table.
+    """
+    salt, place, part = (fresh(rows, base, name) for base in ("salt", "place", "part"))
+    placed = rows.withColumn(salt, F.monotonically_increasing_id()).orderBy(*order, salt).drop(salt)
+    placed = materialize(placed.withColumn(place, F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright(F.col(place), 33).alias(part)).agg(F.count(F.lit(1)).alias("rows")).collect()  # one row a range
+    firsts, total = [], 0
+    for at, n in sorted(tuple(r) for r in sizes):
+        firsts.append((at, total))
+        total += n
+    first = rows.sparkSession.createDataFrame(firsts, f"`{part}` long, ranks_before long")
+    ranked = placed.withColumn(part, F.shiftright(F.col(place), 33)).join(F.broadcast(first), part)
+    rank = F.col("ranks_before") + F.col(place).bitwiseAND((1 << 33) - 1) + 1
+    return ranked.select(*(F.col(f"`{c}`") for c in rows.columns), rank.alias(name)), total

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import licenses, linededup, media, packing, pieces, quality, resampling, simhash, suffixes, syncmers, urls
+from ledgerline.llm import licenses, linededup, media, packing, periods, pieces, quality, resampling, simhash, suffixes, syncmers, urls
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("share", 6).alias("share"), F.round("upper", 6).alias("upper"), "labelled")
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -97,6 +101,7 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_media": op9_media,
         "op10_urls": op10_urls,
+        "op12_periods": op12_periods,
         "op13_resampling": op13_resampling,
         "pipeline": pipeline,
     }

@@ -125,8 +125,8 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return cold.select(*names).unionByName(warm.select(*names))
 
 
-def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``rows`` inner-joined to ``table``, which has each combination of ``keys`` once and, in ``count``, the number of rows that meet it.
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) to ``table``, which has each combination of ``keys`` once and, in ``count``, the number of rows that meet it.
 
     Combinations that over one in HOT_SHARE of these rows meet, so under
     HOT_SHARE of them, are broadcast; all others meet by a shuffle on the keys.
@@ -136,9 +136,9 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -
     both = F.xxhash64(*keys)
     hot = [r[0] for r in table.where(F.col(count) > total / HOT_SHARE).select(both).collect()]
     if not hot:
-        return rows.join(table, keys)
-    cold = rows.where(~both.isin(hot)).join(table.where(~both.isin(hot)), keys)
-    return cold.unionByName(rows.where(both.isin(hot)).join(F.broadcast(table.where(both.isin(hot))), keys))
+        return rows.join(table, keys, how)
+    cold = rows.where(~both.isin(hot)).join(table.where(~both.isin(hot)), keys, how)
+    return cold.unionByName(rows.where(both.isin(hot)).join(F.broadcast(table.where(both.isin(hot))), keys, how))
 
 
 def heavy_keys(rows: DataFrame, key: str) -> list:

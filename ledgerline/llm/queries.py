@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import licenses, linededup, media, packing, periods, pieces, quality, resampling, simhash, suffixes, syncmers, urls
+from ledgerline.llm import licenses, linededup, media, packing, periods, pieces, quality, resampling, simhash, suffixes, syncmers, urls, warc
 from ledgerline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("share", 6).alias("share"), F.round("upper", 6).alias("upper"), "labelled")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(table(spark, sf_dir, "documents"))
 
@@ -101,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_media": op9_media,
         "op10_urls": op10_urls,
+        "op11_warc": op11_warc,
         "op12_periods": op12_periods,
         "op13_resampling": op13_resampling,
         "pipeline": pipeline,
@@ -112,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_licenses": licenses.ORACLE_SQL,
         "op6_line_dedup": linededup.ORACLE_SQL,
         "op10_urls": urls.ORACLE_SQL,
+        "op11_warc": warc.ORACLE_SQL,
         "op13_resampling": resampling.ORACLE_SQL,
     }
     if corpus_pipeline.ORACLE_SQL:

@@ -6,6 +6,7 @@ STOPWORDS = (
     "years year experience including such into per via using use used able well new high across within their them they its a an to of in on at as is be or we us by"
 ).split()
 TOKEN = r"[a-z0-9][a-z0-9+#.\-]{1,}"
+BETWEEN_TOKENS = r"[^a-z0-9+#.\-]+[+#.\-]*"
 MIN_TOKEN = 3
 
 # fixed values: verbs that start statements of outcomes and of work

@@ -1,10 +1,12 @@
 """Column functions against hand-written tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import lexicon as L
 from ledgerline.functions import text as X
 from ledgerline.operators import entities, segments, statements
 
@@ -14,6 +16,13 @@ def of(spark, f, *values):
     return frame.select(f(*(F.col(f"c{i}") for i in range(len(values)))).alias("x")).first()["x"]
 
 
+def test_tokens_are_the_matches_of_their_pattern(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab1+#.- \né") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.tokens(F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [[t for t in re.findall(L.TOKEN, r["t"]) if len(t) >= L.MIN_TOKEN] for r in got]
+
+
 def test_tokens_keep_order_and_repeats(spark):
     assert of(spark, X.tokens, "The C++ role: node.js, node.js and 3d-x a1") == ["c++", "node.js", "node.js", "3d-x"]
     assert of(spark, X.token_set, "") == []

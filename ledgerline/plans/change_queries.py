@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import changes, edits
+from ledgerline.operators import changes, choice, edits
 from ledgerline.tables import table
 
 SPLIT_DAY = "1998-01-01"
@@ -168,6 +168,52 @@ UNION ALL SELECT 'entities', 'update', 'applied', count(DISTINCT entity) FROM un
 UNION ALL SELECT 'packets', 'upsert', CASE WHEN interview IN (SELECT interview FROM packets) OR interview IN (SELECT interview FROM interviews) THEN 'applied' ELSE 'no_parent' END, count(*) FROM late GROUP BY ALL
 """
 
+def independent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer, in order, of which each brand backs one at most; an order that is not kept holds no brand."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    brands = lines.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("brands"))
+    orders = table(spark, sf_dir, "orders").join(brands, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "brands")
+    drafts, _ = choice.first_independent(orders, ["o_custkey"], "o_orderkey", "brands")
+    return drafts.select("o_custkey", "o_orderkey", "kept")
+
+
+INDEPENDENT_ORDERS = """
+WITH RECURSIVE spans AS (
+  SELECT o_custkey, o_orderkey, coalesce(brands, []) AS brands, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n
+  FROM orders LEFT JOIN (SELECT l_orderkey, list(DISTINCT p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON o_orderkey = l_orderkey
+), walk AS (
+  SELECT o_custkey, o_orderkey, n, brands AS held, true AS kept FROM spans WHERE n = 1
+  UNION ALL
+  SELECT s.o_custkey, s.o_orderkey, s.n, CASE WHEN list_has_any(w.held, s.brands) THEN w.held ELSE list_concat(w.held, s.brands) END, NOT list_has_any(w.held, s.brands)
+  FROM walk w JOIN spans s ON s.o_custkey = w.o_custkey AND s.n = w.n + 1
+)
+SELECT o_custkey, o_orderkey, kept FROM walk
+"""
+
+
+def new_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as drafts of their nation, against suppliers as claims that stand; nations take their turns by key, those of one region have none."""
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    print_of = lambda balance: F.floor(F.col(balance) / 40).cast("string")
+    drafts = customer.select(F.col("c_nationkey").alias("entity"), F.col("c_custkey").alias("place"), print_of("c_acctbal").alias("fingerprint"))
+    existing = supplier.select(F.col("s_nationkey").alias("entity"), (F.col("s_suppkey") % 3 == 0).alias("reviewed"), print_of("s_acctbal").alias("fingerprint"))
+    runs = nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("entity"), F.col("n_nationkey").alias("turn"))
+    return choice.new_content(drafts, existing, runs).select(F.col("place").alias("c_custkey"), "entity", "duplicate")
+
+
+NEW_ACCOUNTS = """
+WITH old AS (
+  SELECT floor(s_acctbal / 40)::BIGINT AS f, bool_or(s_suppkey % 3 = 0) AS decided, coalesce(bool_or(s_suppkey % 3 <> 0 AND n_regionkey = 2), false) AS elsewhere,
+    max(s_nationkey) FILTER (s_suppkey % 3 <> 0 AND n_regionkey <> 2) AS last_turn FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1
+), judged AS (
+  SELECT c_custkey, c_nationkey AS entity, floor(c_acctbal / 40)::BIGINT AS f,
+    CASE WHEN n_regionkey = 2 THEN 'no_turn' WHEN decided THEN 'decided' WHEN elsewhere OR c_nationkey < last_turn THEN 'queued_elsewhere' END AS duplicate
+  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN old ON floor(c_acctbal / 40)::BIGINT = f
+)
+SELECT c_custkey, entity, CASE WHEN duplicate IS NULL AND row_number() OVER (PARTITION BY f, duplicate IS NULL ORDER BY entity, c_custkey) > 1 THEN 'earlier_draft' ELSE duplicate END AS duplicate FROM judged
+"""
+
 QUERIES = {
     "edited_claims": (edited_claims, EDITED_CLAIMS), "refused_edits": (refused_edits, REFUSED_EDITS), "applied_plan": (applied_plan, APPLIED_PLAN), "plan_outcomes": (plan_outcomes, PLAN_OUTCOMES),
+    "independent_orders": (independent_orders, INDEPENDENT_ORDERS), "new_accounts": (new_accounts, NEW_ACCOUNTS),
 }

@@ -347,15 +347,15 @@ def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.select("conv_id", "turn", "position", "result_kind", F.array_join("violations", ",").alias("violations"))
 
 
-def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims made from order keys, with every fault that evidence can have, and the codes of what is wrong with each."""
+def evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made from order keys, with every fault that evidence can have."""
     k = F.col("o_orderkey")
     share = F.concat((k % 90).cast("string"), F.lit("%"))
     said = F.concat(F.lit("Reduced load time by "), share)
     quote = F.when(k % 9 == 0, " ").when(k % 9 == 1, "Cut load time").otherwise(said)
-    links = F.array(F.struct(quote.alias("outcome_quote"), F.concat(F.lit("notes:  Reduced load  time by "), share).alias("chunk_text")))
-    claims = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
+    links = F.array(F.struct(F.concat(F.lit("note:"), (k % 10).cast("string")).alias("source_ref"), quote.alias("outcome_quote"), F.concat(F.lit("notes:  Reduced load  time by "), share).alias("chunk_text")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey",
         F.when(k % 5 == 0, "").when(k % 5 == 1, "Moved data to").otherwise("Built the nightly loader in Python for all files").alias("action"),
         F.when(k % 4 == 0, "").when(k % 4 == 1, "It was slow").otherwise("Reports were slow and took the whole team many days").alias("problem"),
         F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 7 == 0, F.array(F.lit("Go"))).otherwise(F.array(F.lit("Python"))).alias("tools"),
@@ -366,12 +366,15 @@ def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k % 10 == 0) | (k % 11 == 0), None).when(k % 10 == 1, "no such text").otherwise(share).alias("metric_text"),
         F.when(k % 5 < 3, "time").when(k % 5 == 3, "slow").alias("resolves"),
     )
-    return statements.claim_violations(claims).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
 
 
-EVIDENCE_FLAGS = """
-WITH c AS (
-  SELECT o_orderkey, o_orderkey AS k, (o_orderkey % 90) || '%' AS share,
+def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of what is wrong with each of these claims."""
+    return statements.claim_violations(evidence_claims(spark, sf_dir)).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+EVIDENCE_CLAIMS = """
+  SELECT o_orderkey, o_custkey, o_orderkey AS k, (o_orderkey % 90) || '%' AS share,
     CASE WHEN k % 5 = 0 THEN 'none' WHEN k % 5 = 1 THEN 'short' ELSE 'long' END AS action,
     CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 4 = 1 THEN 'short' ELSE 'long' END AS problem,
     CASE WHEN k % 3 = 0 THEN 'none' WHEN k % 7 = 0 THEN 'Go' ELSE 'Python' END AS tool,
@@ -381,8 +384,9 @@ WITH c AS (
     CASE WHEN k % 10 = 0 OR k % 11 = 0 THEN NULL WHEN k % 10 = 1 THEN 'no such text' ELSE share END AS metric,
     CASE WHEN k % 5 < 3 THEN 'time' WHEN k % 5 = 3 THEN 'slow' END AS resolves, k % 9 AS quoted
   FROM orders
-)
-SELECT o_orderkey, concat_ws(',',
+"""
+
+EVIDENCE_CODES = """[
   CASE WHEN problem = 'none' THEN 'problem_missing' END,
   CASE WHEN problem <> 'none' AND cost IS NULL AND waste IS NULL THEN 'problem_not_pain_point' END,
   CASE WHEN problem = 'short' THEN 'problem_not_specific' END,
@@ -398,8 +402,9 @@ SELECT o_orderkey, concat_ws(',',
   CASE WHEN result = 'quantified' AND metric IS NULL THEN 'result_metric_json_missing' END,
   CASE WHEN result = 'quantified' AND metric IS NOT NULL AND (metric = 'no such text' OR NOT linked) THEN 'result_metric_not_verbatim' END,
   CASE WHEN result <> 'missing' AND (resolves IS NULL OR (resolves IS DISTINCT FROM cost AND resolves IS DISTINCT FROM waste)) THEN 'result_problem_coupling' END
-) AS violations FROM c
-"""
+]"""
+
+EVIDENCE_FLAGS = f"WITH c AS ({EVIDENCE_CLAIMS}) SELECT o_orderkey, coalesce(array_to_string({EVIDENCE_CODES}, ','), '') AS violations FROM c"
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import extraction
+from ledgerline.operators import extraction, gates
 from ledgerline.plans.text_queries import EVIDENCE_CLAIMS, EVIDENCE_CODES, evidence_claims
 from ledgerline.tables import table
 
@@ -152,4 +152,114 @@ WITH c AS ({EVIDENCE_CLAIMS}), f AS (SELECT o_custkey, list_filter({EVIDENCE_COD
 SELECT o_custkey, sum(len(codes))::INT AS violations FROM f GROUP BY 1 HAVING bool_or(len(list_filter(codes, lambda x: x NOT IN ('problem_missing', 'problem_not_pain_point'))) > 0)
 """
 
-QUERIES = {"answer_ledger": (answer_ledger, ANSWER_LEDGER), "grounded_answers": (grounded_answers, GROUNDED_ANSWERS), "gated_drafts": (gated_drafts, GATED_DRAFTS), "bounced": (bounced, BOUNCED)}
+def _stories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Customers and priorities as stories, their orders as components and claims, lines as links to parts, whose sizes are what numbers stand on."""
+    orders, lines, part, customer = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "customer"))
+    k = F.col("o_orderkey")
+    story = F.concat_ws("/", F.col("o_custkey").cast("string"), F.left("o_orderpriority", F.lit(1)))
+    kind = F.when(k % 3 == 0, "action").otherwise("result")
+    size = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.min("p_size").alias("size"))
+    rows = orders.join(size, k == F.col("l_orderkey"), "left")
+    text = F.concat(F.lit("Sold "), F.when(k % 10 == 0, F.lit(77)).otherwise(F.coalesce("size", F.lit(77))).cast("string"), F.lit(" units"))
+    cites = F.when(k % 29 == 0, F.array().cast("array<bigint>")).when(k % 13 == 0, F.array(k, k + 1)).when(k % 31 == 0, F.array(k, -k)).otherwise(F.array(k))
+    quote = F.when(k % 4 > 0, F.concat(F.lit("Quote  "), F.floor(F.col("o_totalprice") / 2000).cast("string")))
+    components = rows.select(story.alias("story"), F.col("o_custkey").alias("entity"), kind.alias("kind"), k.cast("int").alias("place"), k.cast("string").alias("component_id"), text.alias("text"), cites.alias("claim_ids"), F.when(kind == "result", quote).alias("outcome_quote"))
+    heads = orders.groupBy(story.alias("story"), F.col("o_custkey").alias("entity")).agg(F.min("o_orderkey").alias("first"))
+    said = F.when(F.col("first") % 3 == 0, "Orders took 9 days and cost the whole team").otherwise("Too slow")
+    problems = heads.select("story", "entity", F.lit("problem").alias("kind"), F.lit(0).alias("place"), F.lit("problem").alias("component_id"), said.alias("text"), F.array("first").alias("claim_ids"), F.lit(None).cast("string").alias("outcome_quote"))
+    claims = orders.select(k.alias("id"), F.col("o_custkey").alias("entity"), F.when(F.col("o_orderstatus") == "O", "missing").otherwise("quantified").alias("result_kind"))
+    links = lines.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("evidence"))
+    evidence = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("text"))
+    who = heads.join(customer, F.col("entity") == F.col("c_custkey"))
+    attested = who.where("c_acctbal < 3000").select("story", F.lit("problem").alias("kind"), F.lit("They waited").alias("text"))
+    attested = attested.unionByName(who.where("c_mktsegment = 'BUILDING'").select("story", F.lit("result").alias("kind"), F.concat(F.lit("Customer "), F.col("c_mktsegment"), F.lit(" is content "), F.col("story")).alias("text")))
+    return {"stories": heads.select("story", "entity"), "components": components.unionByName(problems), "claims": claims, "links": links, "evidence": evidence, "attestations": attested}
+
+
+_STORIES = """
+sized AS (SELECT l_orderkey, min(p_size) AS size, list(DISTINCT p_size) AS sizes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+comps AS (
+  SELECT o_custkey || '/' || left(o_orderpriority, 1) AS story, o_custkey AS entity, CASE WHEN o_orderkey % 3 = 0 THEN 'action' ELSE 'result' END AS kind, o_orderkey AS place, o_orderkey::VARCHAR AS component_id,
+    CASE WHEN o_orderkey % 10 = 0 THEN 77 ELSE coalesce(size, 77) END AS number, CASE WHEN o_orderkey % 29 = 0 THEN [] WHEN o_orderkey % 13 = 0 THEN [o_orderkey, o_orderkey + 1] WHEN o_orderkey % 31 = 0 THEN [o_orderkey, -o_orderkey] ELSE [o_orderkey] END AS claim_ids,
+    CASE WHEN o_orderkey % 4 > 0 THEN 'quote ' || floor(o_totalprice / 2000)::BIGINT ELSE 'sold ' || (CASE WHEN o_orderkey % 10 = 0 THEN 77 ELSE coalesce(size, 77) END) || ' units' END AS span
+  FROM orders LEFT JOIN sized ON l_orderkey = o_orderkey
+), heads AS (SELECT o_custkey || '/' || left(o_orderpriority, 1) AS story, o_custkey AS entity, min(o_orderkey) AS first FROM orders GROUP BY 1, 2),
+cites AS (SELECT story, entity, component_id, place, number, unnest(claim_ids) AS claim, generate_subscripts(claim_ids, 1) AS nth FROM comps),
+owned AS (SELECT c.*, o.o_orderkey IS NOT NULL AS known, o.o_custkey AS owner, o.o_orderstatus, coalesce(z.sizes, []) AS sizes FROM cites c LEFT JOIN orders o ON o.o_orderkey = claim LEFT JOIN sized z ON z.l_orderkey = claim AND o.o_orderkey IS NOT NULL)
+"""
+
+
+def story_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults in the structure of stories, with their places."""
+    s = _stories(spark, sf_dir)
+    return gates.structure_faults(s["components"], s["claims"], s["links"], s["evidence"])
+
+
+STORY_FAULTS = f"""
+WITH {_STORIES},
+grounds AS (SELECT story, component_id, flatten(list(sizes)) AS sizes FROM owned GROUP BY 1, 2),
+headed AS (SELECT h.*, coalesce(z.sizes, []) AS sizes FROM heads h LEFT JOIN sized z ON l_orderkey = first),
+faults AS (
+  SELECT story, component_id, 'component_without_refs' AS code, NULL AS detail, 1 AS o, place, 0 AS step, 0 AS n FROM comps WHERE len(claim_ids) = 0
+  UNION ALL SELECT story, component_id, CASE WHEN known THEN 'cross_entity_ref' ELSE 'orphan_component_ref' END, claim::VARCHAR, 1, place, 1, nth FROM owned WHERE NOT known OR owner <> entity
+  UNION ALL SELECT story, component_id, 'unsupported_number', number::VARCHAR, 1, place, 2, 0 FROM comps LEFT JOIN grounds USING (story, component_id) WHERE NOT list_contains(coalesce(sizes, []), number)
+  UNION ALL SELECT story, 'problem', 'unsupported_number', '9', 0, 0, 2, 0 FROM headed WHERE first % 3 = 0 AND NOT list_contains(sizes, 9)
+  UNION ALL SELECT story, component_id, 'duplicate_outcome_span', lead, 1, place, 3, 0 FROM (SELECT *, first_value(component_id) OVER (PARTITION BY story, span ORDER BY place) AS lead FROM comps WHERE kind = 'result') WHERE lead <> component_id
+)
+SELECT story, CAST(row_number() OVER (PARTITION BY story ORDER BY CASE WHEN f.o = 0 THEN 0 WHEN component_id::BIGINT % 3 = 0 THEN 1 ELSE 2 END, place, component_id, step, n) AS INT) AS nth, component_id, code, detail FROM faults f
+"""
+
+
+def render_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stories are rendered, and why others are not."""
+    s = _stories(spark, sf_dir)
+    shown, loose = gates.renderable(**s)
+    return gates.render_decisions(s["stories"], shown, loose)
+
+
+RENDER_GATE = f"""
+WITH {_STORIES},
+valid AS (SELECT story, component_id, flatten(list(sizes)) AS sizes, bool_or(o_orderstatus <> 'O') AS has_result FROM owned WHERE owner = entity GROUP BY 1, 2),
+standing AS (SELECT c.*, v.sizes FROM comps c JOIN valid v USING (story, component_id) WHERE kind = 'action' OR has_result),
+who AS (SELECT story, entity, first, c_acctbal < 3000 AS says_problem, c_mktsegment = 'BUILDING' AS says_result FROM heads JOIN customer ON c_custkey = entity),
+results AS (
+  SELECT story, span FROM standing WHERE kind = 'result'
+  UNION ALL SELECT story, 'customer building is content ' || story FROM who WHERE says_result AND story NOT IN (SELECT story FROM standing WHERE kind = 'result')
+), loose AS (SELECT story, list_sort(list(DISTINCT number::VARCHAR)) AS numbers FROM standing WHERE NOT list_contains(sizes, number) GROUP BY 1),
+judged AS (
+  SELECT story, array_to_string(numbers, ',') AS numbers, concat_ws(',', CASE WHEN NOT (first % 3 = 0 OR says_problem) THEN 'problem' END, CASE WHEN story NOT IN (SELECT story FROM standing WHERE kind = 'action') THEN 'action' END, CASE WHEN story NOT IN (SELECT story FROM results) THEN 'result' END) AS lacks
+  FROM who LEFT JOIN loose USING (story)
+), ready AS (SELECT DISTINCT story, span FROM results JOIN judged USING (story) WHERE numbers IS NULL AND lacks = ''),
+others AS (SELECT a.story, array_to_string(list_sort(list(DISTINCT b.story)), ',') AS others FROM ready a JOIN ready b ON a.span = b.span AND a.story <> b.story GROUP BY 1)
+SELECT story, CASE WHEN numbers IS NOT NULL THEN 'ungrounded_number' WHEN lacks <> '' THEN 'not_ready' WHEN others IS NOT NULL THEN 'duplicate_span' ELSE 'rendered' END AS decision, CASE WHEN numbers IS NOT NULL THEN numbers WHEN lacks <> '' THEN lacks ELSE others END AS detail
+FROM judged LEFT JOIN others USING (story)
+"""
+
+
+def decided_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stories, asked to be approved or left out."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders")
+    stories = rows.select(
+        k.alias("story"), F.when(k % 5 == 0, "draft").when(k % 5 == 1, "approved").otherwise("pending_review").alias("state"), F.when(k % 2 == 0, "missing").otherwise("evidenced").alias("problem_state"), (k % 3).cast("int").alias("actions"),
+        F.when(k % 7 == 0, "missing").otherwise("user_attested").alias("result_state"),
+    )
+    asked = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "excluded")
+    requests = rows.select(k.alias("story"), asked.alias("to_state"), F.col("o_orderdate").alias("at"), F.when(k % 4 == 0, " ").otherwise("why").alias("note")).where("to_state is not null")
+    return gates.decide_stories(stories, requests).select("story", "state", "refused")
+
+
+DECIDED_STORIES = """
+WITH s AS (
+  SELECT o_orderkey AS story, CASE WHEN k % 5 = 0 THEN 'draft' WHEN k % 5 = 1 THEN 'approved' ELSE 'pending_review' END AS state, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'no_problem' END, CASE WHEN k % 3 = 0 THEN 'no_action' END, CASE WHEN k % 7 = 0 THEN 'no_result' END) AS why,
+    CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'excluded' END AS asked, k % 4 = 0 AS blank FROM (SELECT *, o_orderkey AS k FROM orders)
+), r AS (
+  SELECT *, CASE WHEN asked IS NULL THEN NULL WHEN asked = 'approved' AND why <> '' THEN 'blocked:' || why WHEN state <> 'pending_review' THEN 'illegal' WHEN asked = 'excluded' AND blank THEN 'note_required' END AS refused FROM s
+)
+SELECT story, CASE WHEN asked IS NOT NULL AND refused IS NULL THEN asked ELSE state END AS state, refused FROM r
+"""
+
+QUERIES = {
+    "answer_ledger": (answer_ledger, ANSWER_LEDGER), "grounded_answers": (grounded_answers, GROUNDED_ANSWERS), "gated_drafts": (gated_drafts, GATED_DRAFTS), "bounced": (bounced, BOUNCED),
+    "story_faults": (story_faults, STORY_FAULTS), "render_gate": (render_gate, RENDER_GATE), "decided_stories": (decided_stories, DECIDED_STORIES),
+}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,28 +39,53 @@ def stands_alone(line: str) -> bool:
     return 0 < len(flat) <= 48 and ":" not in flat and len(letters) >= 4 and all(map(str.isupper, letters)) and len(flat.split()) <= 6
 
 
+class Read(NamedTuple):
+    """A line that isn't blank: its words, whether it begins structure, and whether blank lines stand before it."""
+
+    words: list[str]
+    alone: bool
+    parted: bool
+
+
+class Flow(NamedTuple):
+    """The run that a line has been put in: its number, its words so far, whether it is open to scraps, and whether its end is that of a sentence."""
+
+    run: int
+    size: int
+    open: bool
+    ended: bool
+
+
+def _lines_read(text: str) -> list[Read]:
+    whole = _BROKEN_WORD.sub(r"\1", re.sub("\r\n?", "\n", text))
+    split = [(line, line.split()) for line in whole.split("\n")]
+    filled = [k for k, (_, words) in enumerate(split) if words]
+    return [Read(split[k][1], stands_alone(split[k][0]), k > before + 1) for before, k in zip([-1, *filled], filled, strict=False)]
+
+
+def _flows(flow: Flow, line: Read) -> Flow:
+    """Where a line goes. It goes on with the run before it unless it begins structure; across blank lines it does so
+    only if one of the two is a scrap of at most two words and the run is open text without an end."""
+    scrap = flow.open and not flow.ended and min(flow.size, len(line.words)) <= 2
+    ended = line.words[-1].endswith(_ENDS)
+    if flow.run < 0 or line.alone or (line.parted and not scrap):
+        return Flow(flow.run + 1, len(line.words), not line.alone, ended)
+    return flow._replace(size=flow.size + len(line.words), ended=ended)
+
+
 def reflow(text: str) -> str:
-    """Lines that were wrapped joined again; structure and real paragraph breaks kept."""
-    out: list[tuple[str, bool]] = []
-    gap = False
-    for raw in _BROKEN_WORD.sub(r"\1", re.sub(r"\r\n?", "\n", text)).split("\n"):
-        line = " ".join(raw.split())
-        if not line:
-            gap = True
-            continue
-        alone = stands_alone(raw)
-        before, fixed = out[-1] if out else ("", True)
-        joins = bool(out) and not alone
-        if joins and gap:  # a blank line between scraps of two words or less is no break
-            joins = not fixed and not before.endswith(_ENDS) and min(len(before.split()), len(line.split())) <= 2
-        if joins:
-            out[-1] = (f"{before} {line}", fixed)
-        else:
-            if out and gap:
-                out.append(("", False))
-            out.append((line, alone))
-        gap = False
-    return "\n".join(line for line, _ in out)
+    """Lines that were wrapped joined again; structure and real paragraph breaks kept.
+
+    Lines are read into words, a fold numbers the runs they form, and every run is one line of the result, after an
+    empty one where blank lines stood before it. Blank lines at the ends go.
+    """
+    read = _lines_read(text)
+    runs = list(accumulate(read, _flows, initial=Flow(-1, 0, False, False)))[1:]
+    out = []
+    for number, members in groupby(zip(runs, read, strict=True), key=lambda pair: pair[0].run):
+        lines = [line for _, line in members]
+        out += [""] * (lines[0].parted and number > 0) + [" ".join(w for line in lines for w in line.words)]
+    return "\n".join(out)
 
 
 def reflowed(docs: DataFrame, text_col: str = "text", name: str = "normal_text") -> DataFrame:

@@ -7,6 +7,8 @@ a node with any number of neighbours is one row of partial sums per task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,30 @@ def subtrees(nodes: DataFrame, id_col: str, parent_col: str, max_depth: int = 1
         if step >= max_depth:
             raise RuntimeError(f"nodes lie deeper than {max_depth}, or parents form a circle")
         links, step = jumped, 2 * step
+
+
+def trails(nodes: DataFrame, id_col: str, parent_col: str, label_col: str, max_depth: int = 1 << 20) -> DataFrame:
+    """(node, root, depth, trail) for every node of a forest: the labels from its root down to itself, as an array.
+
+    Each round joins a node's stretch of labels to that of the node above it, which doubles what stretches hold, so
+    a depth costs its logarithm in joins; a node whose stretch reaches its root takes no further part. A null or
+    unknown parent makes a root. Nodes deeper than ``max_depth``, or parents in a circle, are an error.
+    """
+    links = nodes.select(F.col(id_col).alias("node"), F.col(parent_col).alias("up"), F.array(F.col(label_col)).alias("trail"))
+    known = links.select(F.col("node").alias("known"))
+    links = links.join(known, F.col("up") == F.col("known"), "left").select("node", F.col("known").alias("up"), "trail", F.lit(0).alias("depth"), F.col("node").alias("top"))
+    links, done, step = materialize(links), [], 1
+    while True:
+        ended = links.where("up is null")
+        done.append(ended)
+        waiting = links.where("up is not null")
+        if waiting.isEmpty():
+            break
+        if step > max_depth:
+            raise RuntimeError(f"nodes lie deeper than {max_depth}, or parents form a circle")
+        above = links if len(done) == 1 else reduce(DataFrame.unionByName, done[:-1], links)
+        above = above.select(F.col("node").alias("mid"), F.col("up").alias("next"), F.col("trail").alias("before"), F.col("depth").alias("more"), F.col("top").alias("higher"))
+        joined = waiting.join(above, F.col("up") == F.col("mid"))
+        links = materialize(joined.select("node", F.col("next").alias("up"), F.concat("before", "trail").alias("trail"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.col("higher").alias("top")))
+        step *= 2
+    return reduce(DataFrame.unionByName, done).select("node", F.col("top").alias("root"), "depth", "trail")

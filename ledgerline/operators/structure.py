@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.graph import subtrees
+from ledgerline.operators.graph import subtrees, trails
 from ledgerline.operators.segments import _DATES, _ENDS, _TITLE, LINE_BREAK, MAX_CHARS, SPACE, cut_with, stands_alone
 
 VERSION = 1
@@ -164,3 +164,20 @@ def sections(found: DataFrame, id_col: str) -> DataFrame:
     heads = found.where("kind = 'heading'").select(node.alias("h"), F.trim(F.regexp_replace("body", "^[ #]+", "")).alias("path"))
     placed = placed.join(heads, F.col("root") == F.col("h"), "left")
     return placed.groupBy(F.col(id_col), F.when(F.col("h").isNotNull(), F.col("root.seq")).alias("section"), "path").agg(F.count(F.lit(1)).alias("elements"))
+
+
+def heading_trails(found: DataFrame, id_col: str) -> DataFrame:
+    """``found`` with trail: the texts of the headings above an element, outermost first and joined by `` > ``; a heading's ends with itself, without any it is null."""
+    node = F.struct(F.col(id_col).alias("doc"), F.col("seq"))
+    parent = F.when(F.col("parent").isNotNull(), F.struct(F.col(id_col).alias("doc"), F.col("parent").alias("seq")))
+    heads = found.where("kind = 'heading'").select(node.alias("n"), parent.alias("p"), F.trim(F.regexp_replace("body", "^[ #]+", "")).alias("label"))
+    above = trails(heads, "n", "p", "label").select(F.col("node").alias("n_"), F.array_join("trail", " > ").alias("trail"))
+    governs = F.when(F.col("kind") == "heading", node).otherwise(parent)
+    return found.withColumn("g_", governs).join(above, F.col("g_") == F.col("n_"), "left").select(*found.columns, "trail")
+
+
+def commit_elements(commits: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, seq, kind, start, end, level, parent, body): a commit's message is one element, whole; null and empty ones have none."""
+    body = F.col(text_col)
+    none = F.lit(None).cast("int")
+    return commits.where(body != "").select(id_col, F.lit(0).alias("seq"), F.lit("commit_message").alias("kind"), F.lit(0).alias("start"), F.length(body).alias("end"), none.alias("level"), none.alias("parent"), body.alias("body"))

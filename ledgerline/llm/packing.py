@@ -32,7 +32,7 @@ END_ID = 0
 BLOCK = 4096
 #: One in so many of a block's bins, the emptiest, is packed again with those of other blocks.
 POOLED = 4
-ISLANDS, EPOCHS, CROSSOVERS, POPULATION, ELITES = 3, 3, 12, 6, 2
+ISLANDS, EPOCHS, CROSSOVERS, POPULATION, ELITES = 3, 4, 150, 16, 2
 #: About so many islands, of up to BLOCK pieces each, share a task.
 TASK_ROWS = 32
 
@@ -146,7 +146,8 @@ def crossover(into: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity:
 def generations(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION) -> list[np.ndarray]:
     """A population after ``crossovers`` children, best first; it is filled up to ``size`` with best-fit decreasing and blurred orders of it.
 
-    A child takes the place of the worst if it is better and no twin of another.
+    A child takes the place of the last but one if it is better and no twin of another; the last stays, for the
+    material that only it still has.
     Nothing is done once the best has as few bins as the sum of sizes allows.
     """
     rng = np.random.default_rng(seed)
@@ -169,8 +170,8 @@ def generations(sizes: np.ndarray, population: list[np.ndarray], capacity: int,
         a, b = sorted(rng.choice(len(scored), 2, replace=False))
         child = crossover(scored[b][2], scored[a][2], sizes, capacity, order, rng)
         score = fitness(child, sizes, capacity)
-        if score > scored[-1][0] and all(score != other for other, _, _ in scored):
-            scored[-1] = (score, size + k, child)
+        if score > scored[-2][0] and all(score != other for other, _, _ in scored):
+            scored[-2] = (score, size + k, child)
             scored.sort(key=lambda x: (x[0], -x[1]), reverse=True)
     return [p for _, _, p in scored]
 

@@ -250,7 +250,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id (of rows that repeat it, that of the smallest hash). Columns stay as they are.
 
-    Rows without an id are kept as they are. Extra columns of any name pass through; columns of map type don't.
+    Rows without an id are kept as they are. Extra columns of any name and type pass through, maps too.
     """
     kept = simhash_components(docs, id_col, text_col, radius).where(f"`{id_col}` = component_id").select(id_col).distinct()
     return _one_row_each(docs, id_col, kept)
@@ -260,7 +260,8 @@ def _one_row_each(docs: DataFrame, id_col: str, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in the only column of ``kept``, one of each id (that of the smallest hash), and all without an id."""
     key, mark = fresh(docs, "kept"), fresh(docs, "row_hash")
     kept = kept.toDF(key)
-    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]  # maps have no hash
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(mark, F.xxhash64(*plain))
     least = hashed.groupBy(F.col(id_col).alias(key)).agg(F.min(mark).alias(mark)).join(kept, key, "left_semi")
     least = least.withColumnRenamed(mark, key + "_hash")
     # equal rows are one before they are joined, however many there are

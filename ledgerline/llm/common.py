@@ -103,19 +103,25 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
-#: A key with more than one in so many rows is hot; there are fewer hot keys than this.
-HOT_SHARE = 500
+#: A key with more than one in so many rows is hot, so there are fewer hot keys than this. It grows with the rows,
+#: so that a key that isn't hot has HOT_ROWS at most, up to MOST_HOT keys.
+HOT_SHARE, HOT_ROWS, MOST_HOT = 500, 2_000_000, 10_000
+
+
+def hot_share(total: int) -> int:
+    """A key of ``total`` rows is hot if it has more than one in so many of them."""
+    return max(HOT_SHARE, min(total // HOT_ROWS, MOST_HOT))
 
 
 def skewed_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` left-joined to ``table``, which has each ``key`` once, with hot keys kept from gathering in one task.
 
-    The entries of hot keys (under HOT_SHARE of them, so a bounded table) are
+    The entries of hot keys (fewer than ``hot_share``, so a bounded table) are
     broadcast; all other rows meet theirs by a shuffle on the key.
     """
     counts = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("hot_rows"))
     total = counts.agg(F.sum("hot_rows")).first()[0] or 0
-    hot = [r[0] for r in counts.where((F.col("hot_rows") > total / HOT_SHARE) & F.col("hot_key").isNotNull()).select("hot_key").collect()]
+    hot = [r[0] for r in counts.where((F.col("hot_rows") > total / hot_share(total)) & F.col("hot_key").isNotNull()).select("hot_key").collect()]
     names = [F.col(f"`{c}`") for c in (*rows.columns, *(c for c in table.columns if c != key))]
     if not hot:
         return rows.join(table, key, "left").select(*names)
@@ -128,27 +134,29 @@ def skewed_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """``rows`` joined (``how``: inner or left) to ``table``, which has each combination of ``keys`` once and, in ``count``, the number of rows that meet it.
 
-    Combinations that over one in HOT_SHARE of these rows meet, so under
-    HOT_SHARE of them, are broadcast; all others meet by a shuffle on the keys.
+    Combinations that over one in ``hot_share`` of these rows meet, so fewer than
+    that, are broadcast; all others meet by a shuffle on the keys.
     ``table`` is read more than once and should be materialized.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     both = F.xxhash64(*keys)
-    hot = [r[0] for r in table.where(F.col(count) > total / HOT_SHARE).select(both).collect()]
+    hot = [r[0] for r in table.where(F.col(count) > total / hot_share(total)).select(both).collect()]
     if not hot:
         return rows.join(table, keys, how)
     cold = rows.where(~both.isin(hot)).join(table.where(~both.isin(hot)), keys, how)
     return cold.unionByName(rows.where(both.isin(hot)).join(F.broadcast(table.where(both.isin(hot))), keys, how))
 
 
-def heavy_keys(rows: DataFrame, key: str) -> list:
-    """All keys that over one in HOT_SHARE rows have, from partial sketches of frequent items; a key just below may be among them.
+def heavy_keys(rows: DataFrame, key: str) -> tuple[list, int]:
+    """All keys that over one in ``hot_share`` rows have, from partial sketches of frequent items, and that share; a key just below may be among them.
 
-    The sketch holds 10,000 items, so a key of one in 500 rows is never missed,
-    and at most 1,000 keys come back. They say where to split work, not what to leave out.
+    The sketch holds 20 times as many items, so no such key is missed, and at most
+    twice as many come back. They say where to split work, not what to leave out.
     """
-    found, total = rows.agg(F.expr(f"approx_top_k(`{key}`, 1000, 10000)"), F.count(F.lit(1))).first()
-    return [r["item"] for r in found or [] if r["count"] > total / HOT_SHARE]
+    total = rows.count()
+    share = hot_share(total)
+    found = rows.agg(F.expr(f"approx_top_k(`{key}`, {min(2 * share, 20_000)}, {min(20 * share, 200_000)})")).first()[0]
+    return [r["item"] for r in found or [] if r["count"] > total / share], share
 
 
 def global_ranks(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:

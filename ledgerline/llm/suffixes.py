@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import BYTE_POWERS, CHUNK_BYTES, HOT_SHARE, WORD_POWERS, WORD_SPACE, chunks, fresh, heavy_keys, materialize, mix, utf8, words_of
+from ledgerline.llm.common import BYTE_POWERS, CHUNK_BYTES, WORD_POWERS, WORD_SPACE, chunks, fresh, heavy_keys, materialize, mix, utf8, words_of
 
 MIN_WORDS = 50
 PREFIX = 8
@@ -161,11 +161,12 @@ def _sorted_runs(rows: DataFrame, content: str, parting: bool) -> DataFrame:
     ``again`` marks those that are not the first of their run of equal content,
     ``head`` is that first one's place. If ``parting``, ``parted`` marks the heads
     of runs that have another run under the same key. Rows of heavy keys are
-    sorted in HOT_SHARE parts by place, then the first ones of all parts; there
-    ``head`` is the first of the part, or of all for the first of a part.
+    sorted in ``hot_share`` parts of each run. The first place of every part is
+    known before, from partial minima, and that of the run from those of its parts; it is
+    sorted into each part ahead of its rows, so ``head`` means the same there.
     """
     place, names = F.struct("doc", "text_key", "at"), rows.columns
-    heavy = heavy_keys(rows, "key")
+    heavy, share = heavy_keys(rows, "key")
     many = F.col("key").isin(heavy) if heavy else F.lit(False)
     by_key = W.partitionBy("key").orderBy(content, "doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     in_run = W.partitionBy("key", content).orderBy("doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -176,23 +177,24 @@ def _sorted_runs(rows: DataFrame, content: str, parting: bool) -> DataFrame:
     found = found.where("again or parted")
     if not heavy:
         return found
-    salt = F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(HOT_SHARE))
-    in_part = W.partitionBy("key", content, salt).orderBy("doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hot = materialize(rows.where(many).withColumn("head", F.first(place).over(in_part)))
+    salted = rows.where(many).withColumn("salt", F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(share)))
+    parts = salted.groupBy("key", content, "salt").agg(F.min(place).alias("part_head"))
+    parts = materialize(parts.withColumn("run_head", F.min("part_head").over(W.partitionBy("key", content))))  # at most ``share`` rows a run
+    leads = [F.col(c) if c in ("key", content) else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names]
+    ahead = parts.select(*leads, "salt", "run_head", F.lit(0).alias("turn"))
+    behind = salted.select(*names, "salt", F.lit(None).cast(parts.schema["run_head"].dataType).alias("run_head"), F.lit(1).alias("turn"))
+    in_part = W.partitionBy("key", content, "salt").orderBy("turn", "doc", "text_key", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hot = materialize(ahead.unionByName(behind).withColumn("head", F.first("run_head").over(in_part)).where("turn = 1").select(*names, "head"))
     found = found.unionByName(hot.where(~own).select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
-    # the first of every part of a run: under HOT_SHARE rows each
-    run = W.partitionBy("key", content).orderBy("head").rowsBetween(W.unboundedPreceding, W.currentRow)
-    firsts = materialize(hot.where(own).withColumn("head", F.first("head").over(run)))
-    found = found.unionByName(firsts.where(~own).select(*names, "head", F.lit(True).alias("again"), F.lit(False).alias("parted")))
     if not parting:
         return found
-    runs = firsts.where(own).groupBy("key").agg(F.min(content) != F.max(content)).toDF("parted_key", "several").where("several")  # under 1,000 keys
-    parted = firsts.where(own).join(F.broadcast(runs), F.col("key") == F.col("parted_key"), "left_semi")
+    runs = parts.groupBy("key").agg(F.min(content) != F.max(content)).toDF("parted_key", "several").where("several")  # as few keys as are heavy
+    parted = hot.where(own).join(F.broadcast(runs), F.col("key") == F.col("parted_key"), "left_semi")
     return found.unionByName(parted.select(*names, "head", F.lit(False).alias("again"), F.lit(True).alias("parted")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
-    """(doc, text_key, first, past, first_doc): word ranges whose windows of ``words`` words all occur earlier, and a document that holds the first.
+    """(doc, text_key, first, past, first_doc): word ranges whose windows of ``words`` words all occur earlier, and the first document that holds them in the same stretch.
 
     Order is (id, hash of the text, place), null ids first. Ranges of a document may overlap.
     """
@@ -245,9 +247,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat both id and text are one source and get the same result.
     Three columns are added (underscores appended to names already taken):
     ``removed``, the word ranges cut out, ``removed_words``, their number of
-    words, and ``first_docs``, ids of documents that hold the passages' first
-    occurrences (where very many share a passage's prefix, earlier ones in HOT_SHARE
-    parts). Other columns pass through; an empty table gives an empty one.
+    words, and ``first_docs``, ids of earlier documents that hold the passages: for
+    each stretch the first one with the same words around it. Other columns pass
+    through; an empty table gives an empty one.
     """
     names = [fresh(docs, n) for n in ("removed", "removed_words", "first_docs")]
     doc, key, cuts = fresh(docs, "cut_doc"), fresh(docs, "cut_key"), fresh(docs, "cuts")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -284,9 +286,24 @@ def test_passages_awkward_rows(spark, tricky, nothing):
 def test_hot_prefixes_give_the_same(spark, monkeypatch):
     """With so low a bound that most prefixes count as hot, and windows in several turns."""
     frame = spark.createDataFrame(passages(random.Random(9)), "doc_id long, text string")
+    cold = {r["doc_id"]: r for r in suffixes.remove_repeats(frame, words=10, prefix=4).collect()}
     monkeypatch.setattr(common, "HOT_SHARE", 10**6)
-    got = {r["doc_id"]: r["text"].split() for r in suffixes.remove_repeats(frame, words=10, prefix=4).collect()}
-    assert got == brute_repeats(frame, 10)
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(frame, words=10, prefix=4).collect()}
+    assert {d: r["text"].split() for d, r in got.items()} == brute_repeats(frame, 10)
+    assert got == cold and sum(bool(r["first_docs"]) for r in got.values()) > 10
+
+
+def test_first_documents_do_not_depend_on_what_counts_as_hot(spark, monkeypatch):
+    """One prefix has nearly all suffixes of 400 documents: with the bound that runs it is hot, with the other none is."""
+    rng = random.Random(11)
+    shared = " ".join(f"s{k}" for k in range(60))
+    docs = [(i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(5)), shared, *(f"w{rng.randrange(10**6)}" for _ in range(5))])) for i in range(3, 403)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    hot = {r["doc_id"]: r for r in suffixes.remove_repeats(frame).collect()}
+    monkeypatch.setattr(common, "HOT_SHARE", 1)
+    assert {r["doc_id"]: r for r in suffixes.remove_repeats(frame).collect()} == hot
+    firsts = {tuple(r["first_docs"]) for d, r in hot.items() if d != 3}
+    assert () not in firsts and len(firsts) <= 3 and (3,) in firsts
 
 
 def test_long_texts_in_turns():
@@ -314,3 +331,12 @@ def test_a_text_of_millions_of_words(spark):
     frame = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.when(i < n - 60, i).otherwise(i - n + 60).cast("string"), 10, 36)), " ").alias("text"))
     got = suffixes.remove_repeats(frame).select("removed", "removed_words", F.size(F.split("text", " ")).alias("left")).first()
     assert [tuple(r) for r in got["removed"]] == [(n - 60, n)] and got["removed_words"] == 60
+
+
+@pytest.mark.parametrize("dedup", [simhash.simhash_dedup, simhash.near_dedup])
+def test_columns_of_maps_pass_through(spark, dedup):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, {"a": 1, "b": 2}, [{"x": "y"}]), (1, text, {"b": 2, "a": 1}, [{"x": "y"}]), (2, text, None, None), (3, "something else altogether " * 9, {}, []), (None, text, {"z": 0}, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, n array<map<string, string>>")
+    got = sorted(((r["doc_id"], r["m"]) for r in dedup(frame).collect()), key=str)
+    assert got == sorted([(1, {"a": 1, "b": 2}), (3, {}), (None, {"z": 0})], key=str)

@@ -24,10 +24,21 @@ def instant(text: Column) -> Column:
 
 
 def documents(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """The manifest's rows with the whole text of each path under ``folder``; text is null where there is none."""
+    """The manifest's rows with the whole text of each path; text is null where there is none.
+
+    A path is taken below ``folder``, or, if no file is there and it begins with the folder's own name, below the folder's parent.
+    """
     listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest)
-    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file"), F.col("value").alias("text"))
-    return listed.join(texts, F.regexp_extract("path", "([^/]+)$", 1) == F.col("file"), "left").drop("file").withColumn("modified_time", instant(F.col("modified_time")))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().getPath()
+    # the path of the file without scheme and store; a plus sign stands for itself there
+    file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.substring(file, F.lit(len(root) + 2), F.length(file)).alias("file"), F.col("value").alias("text"))
+    below, own = F.regexp_replace("path", "^(\\./|/)+", ""), root.rpartition("/")[2] + "/"
+    places = F.array(F.struct(F.lit(0).alias("turn"), below.alias("file")), F.struct(F.lit(1).alias("turn"), F.when(F.startswith(below, F.lit(own)), F.substring(below, F.lit(len(own) + 1), F.length(below))).alias("file")))
+    tried = listed.select("path").distinct().select("path", F.inline(places))
+    found = tried.join(texts, "file").groupBy("path").agg(F.min_by("text", "turn").alias("text"))
+    return listed.join(found, "path", "left").select(*listed.columns, "text").withColumn("modified_time", instant(F.col("modified_time")))
 
 
 def repositories(spark: SparkSession, manifest: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: Paths of the scope that the running thread is in.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def dropped_after(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables materialized inside are deleted at the end; the paths that the caller takes out of the list stay."""
+    """Tables that this thread materializes inside are deleted at the end; the paths that the caller takes out of the list stay.
+
+    Scopes nest; a table belongs to the innermost. Other threads have scopes of their own.
+    """
     paths: list[str] = []
-    _scopes.append(paths)
+    before = _scope.set(paths)
     try:
         yield paths
     finally:
-        _scopes.remove(paths)
+        _scope.reset(before)
         hadoop, java = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in paths:
             where = java.Path(path)
@@ -43,8 +48,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and any executor may go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

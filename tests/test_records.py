@@ -215,3 +215,41 @@ def test_gate_audits(spark):
     worked = spark.createDataFrame([(7,), (9,), (None,)], "entity int")
     assert rows(audits.entity_coverage(entities_, owned, worked)) == [("entity_coverage", 3, 2, False, "8,9")]
     assert rows(audits.entity_coverage(entities_.limit(0), owned, worked)) == [("entity_coverage", 0, 0, True, "")]
+
+
+def test_documents_are_those_of_their_own_paths(spark, tmp_path):
+    """Equal names in different folders, and names with characters that addresses escape."""
+    names = ["a/README.md", "b/README.md", "README.md", "c d/x+y%20z.txt", "c d/ü.txt"]
+    for name in names:
+        (tmp_path / "files" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / name).write_text(f"text of {name}")
+    listed = [{"id": str(i), "name": "n", "path": p} for i, p in enumerate([*names[:-1], "./c d/ü.txt", "missing/README.md"])]
+    (tmp_path / "manifest.json").write_text(json.dumps(listed))
+    got = scan.documents(spark, str(tmp_path / "manifest.json"), str(tmp_path / "files"))
+    assert rows(got.select("id", "text"), "id") == [*((str(i), f"text of {n}") for i, n in enumerate(names)), ("5", None)]
+
+
+def test_tables_of_one_thread_outlive_the_scope_of_another(spark):
+    import threading
+
+    from ledgerline.tables import dropped_after, materialize
+
+    opened, closed, kept = threading.Event(), threading.Event(), {}
+
+    def other():
+        with dropped_after(spark):
+            opened.set()
+            closed.wait(60)
+        kept["count"] = kept["table"].count()
+
+    thread = threading.Thread(target=other)
+    with dropped_after(spark) as paths:
+        thread.start()
+        opened.wait(60)
+        kept["table"] = materialize(spark.range(3))
+        with dropped_after(spark) as inner:
+            materialize(spark.range(2))
+        assert len(paths) == 1 and len(inner) == 1
+        closed.set()
+        thread.join(60)
+        assert kept["count"] == 3

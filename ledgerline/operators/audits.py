@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import squeezed
+
 
 def share(part: Column, whole: Column, empty: float = 0.0, digits: int = 4) -> Column:
     """A ratio with a defined value for nothing."""
@@ -91,3 +93,39 @@ def run_log(rows: DataFrame, at: Column, kind: Column, passed: Column) -> DataFr
     """(day, kind, runs, passed, pass_rate) of an append-only log."""
     counted = rows.groupBy(F.to_date(F.date_trunc("day", at)).alias("day"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("runs"), F.count_if(passed).alias("passed"))
     return counted.withColumn("pass_rate", share(F.col("passed"), F.col("runs")))
+
+
+def element_coverage(documents: DataFrame, faults: DataFrame) -> DataFrame:
+    """Documents in use (id) have element trees that cover them: no row of ``faults`` (id, start, reason)."""
+    broken = faults.select("id").distinct().withColumn("broken", F.lit(True))
+    return check("element_coverage", documents.join(broken, "id", "left"), F.col("broken").isNotNull(), F.col("id"))
+
+
+def active_orphans(evidence: DataFrame, elements: DataFrame) -> DataFrame:
+    """Evidence in use (id, version, element, recomputes) stands on an element (element, version) of its version, if on any, and its text comes out of the version's; evidence without a version is another check's."""
+    owners = elements.select("element", F.col("version").alias("owner"))
+    rows = evidence.join(owners, "element", "left")
+    stray = F.col("element").isNotNull() & ~F.col("owner").eqNullSafe(F.col("version"))
+    return check("active_orphans", rows, F.col("version").isNotNull() & (stray | ~F.coalesce("recomputes", F.lit(False))), F.col("id"))
+
+
+def provenance_walk(stories: DataFrame, components: DataFrame, claims: DataFrame, links: DataFrame, evidence: DataFrame, attestations: DataFrame) -> DataFrame:
+    """Every component of a story walks to claims of its entity and from there to evidence; quotes stand in evidence cited for results; without a problem or a result a person has attested one.
+
+    stories: story, entity. components: story, kind, component_id, claim_ids, outcome_quote. claims: id, entity. links:
+    claim, evidence, field. evidence: id, text. attestations: story, kind.
+    """
+    cited = components.join(stories, "story").select("story", "entity", "kind", "component_id", F.explode("claim_ids").alias("claim"))
+    walked = cited.join(claims.select(F.col("id").alias("claim"), F.col("entity").alias("owner")), "claim", "left")
+    lost = walked.where(~F.col("owner").eqNullSafe(F.col("entity"))).select("story")
+    good = walked.where(F.col("owner").eqNullSafe(F.col("entity")))
+    reached = good.join(links, "claim").join(evidence.select(F.col("id").alias("evidence"), F.col("text").alias("chunk")), "evidence", "left")
+    broken = reached.where("chunk is null").select("story")
+    shown = reached.where("field = 'result'").groupBy("story", "component_id").agg(F.array_join(F.collect_list(squeezed(F.col("chunk"))), " ").alias("chunks"))
+    quoted = components.where("kind = 'result' and coalesce(outcome_quote, '') <> ''").join(shown, ["story", "component_id"], "left")
+    unseen = quoted.where(~F.contains(F.coalesce("chunks", F.lit("")), squeezed(F.col("outcome_quote")))).select("story")
+    have = components.where("kind = 'problem' and size(claim_ids) > 0").select("story", "kind").unionByName(good.where("kind = 'result'").select("story", "kind")).unionByName(attestations.select("story", "kind")).distinct()
+    need = stories.select("story", F.explode(F.array(F.lit("problem"), F.lit("result"))).alias("kind"))
+    bare = need.join(have, ["story", "kind"], "left_anti").select("story")
+    failed = lost.unionByName(broken).unionByName(unseen).unionByName(bare).distinct().withColumn("lost", F.lit(True))
+    return check("provenance_walk", stories.join(failed, "story", "left"), F.col("lost").isNotNull(), F.col("story"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.operators import memo, snapshots, structure
+from ledgerline.operators import ledger, memo, segments, snapshots, structure
 from ledgerline.tables import shared_folder, table
 
 
@@ -171,7 +172,83 @@ firsts AS (SELECT fingerprint, min(run) AS run FROM prints GROUP BY 1)
 SELECT run::INT AS run, (SELECT count(*) FROM firsts f WHERE f.run = p.run) AS computed, fingerprint, customers, priorities, urgent FROM prints p
 """
 
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and their lines as spans, which are broken in four ways by number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "body"))
+    in_order = W.partitionBy("doc_id").orderBy("n")
+    spans = lines.withColumns({"end": (F.sum(F.length("body") + 1).over(in_order) - 1).cast("int"), "last": F.lead("n").over(in_order).isNull()})
+    kind, first = F.col("doc_id") % 7, F.col("n") == 0
+    spans = spans.withColumn("start", F.col("end") - F.length("body")).where(~((kind == 0) & first))
+    return docs, spans.select(
+        "doc_id", (F.col("start") - F.when((kind == 2) & (F.col("n") == 1), 2).otherwise(0)).alias("start"), (F.col("end") + F.when((kind == 3) & F.col("last"), 5).otherwise(0)).alias("end"),
+        F.when((kind == 1) & first, "x").otherwise(F.col("body")).alias("body"),
+    )
+
+
+_SPANS = """
+lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT *, sum(length(body) + 1) OVER w - 1 AS past, lead(n) OVER w IS NULL AS last FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+faults AS (
+  SELECT doc_id, CASE WHEN last THEN 0 ELSE past + 1 END AS start, 'gap' AS reason FROM placed WHERE doc_id % 7 = 0 AND n = 0 AND trim(body, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
+  UNION ALL SELECT doc_id, 0, 'not_the_slice' FROM placed WHERE doc_id % 7 = 1 AND n = 0 AND body <> 'x' AND past > 0
+  UNION ALL SELECT doc_id, past - length(body) - 2, CASE WHEN past - length(body) - 2 < 0 THEN 'out_of_bounds' ELSE 'overlap' END FROM placed WHERE doc_id % 7 = 2 AND n = 1
+  UNION ALL SELECT doc_id, past - length(body), 'out_of_bounds' FROM placed WHERE doc_id % 7 = 3 AND last
+  UNION ALL SELECT doc_id, past, 'out_of_bounds' FROM placed WHERE length(body) = 0 AND doc_id % 7 NOT IN (0, 1, 2, 3)
+)
+"""
+
+
+def broken_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with spans of lines that were broken on purpose."""
+    return segments.coverage_violations(*_lines(spark, sf_dir), "doc_id")
+
+
+BROKEN_COVERAGE = f"WITH {_SPANS} SELECT doc_id, start::INT AS start, reason FROM faults"
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, spans = _lines(spark, sf_dir)
+    k = F.col("doc_id")
+    objects = docs.select(k.alias("source_id"), F.when(k % 13 > 0, F.col("text")).alias("raw"), F.when(k % 11 > 0, F.sha2("text", 256)).otherwise("other").alias("content_hash"), F.when(k % 17 == 0, "failed").alias("status"), F.when(k % 19 > 0, k.cast("string")).alias("location"))
+    faults = segments.coverage_violations(docs, spans, "doc_id").withColumnRenamed("doc_id", "source_id")
+    trees = spans.where(k % 23 > 0).groupBy(k.alias("source_id")).agg(F.count(F.lit(1)).alias("elements"), F.md5(F.max("body")).alias("output_hash"))
+    return objects, faults, trees
+
+
+def reconciled_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of documents as objects, each fault by number."""
+    found = ledger.reconciled(*_objects(spark, sf_dir))
+    return found.withColumn("failures", F.array_join("failures", ","))
+
+
+_LEDGER = f"""
+{_SPANS}, told AS (SELECT doc_id, list('structure:' || reason ORDER BY start)[1:5] AS fs FROM faults GROUP BY 1),
+trees AS (SELECT doc_id, count(*) AS n, md5(max(CASE WHEN doc_id % 7 = 1 AND n = 0 THEN 'x' ELSE body END)) AS h FROM placed WHERE doc_id % 23 > 0 AND NOT (doc_id % 7 = 0 AND n = 0) GROUP BY 1),
+objects AS (SELECT doc_id, coalesce(doc_id % 13 > 0 AND text IS NOT NULL, false) AS there, text, coalesce(fs, []) AS fs, coalesce(n, 0) AS n, h FROM documents LEFT JOIN told USING (doc_id) LEFT JOIN trees USING (doc_id)),
+flagged AS (SELECT *, there AND doc_id % 11 > 0 AS hash_ok, there AND doc_id % 17 > 0 AS extracted, there AND len(fs) = 0 AND n = 0 AND trim(text) <> '' AS bare, there AND doc_id % 19 > 0 AS pointed FROM objects),
+done AS (
+  SELECT *, there AND len(fs) = 0 AND NOT bare AS complete, concat_ws(',', CASE WHEN NOT there THEN 'no_capture' END, CASE WHEN there AND NOT hash_ok THEN 'hash_mismatch' END, CASE WHEN there AND NOT extracted THEN 'extraction_failed' END,
+    CASE WHEN there AND len(fs) > 0 THEN array_to_string(fs, ',') END, CASE WHEN bare THEN 'no_elements' END, CASE WHEN there AND NOT pointed THEN 'no_provenance' END) AS failures FROM flagged
+)
+"""
+RECONCILED_OBJECTS = f"""
+WITH {_LEDGER} SELECT doc_id AS source_id, there AS raw_captured, hash_ok AS hash_verified, extracted AS extraction_complete, complete AS structure_complete, pointed AS provenance_complete, n AS element_count, CASE WHEN complete THEN h END AS output_hash, failures,
+  CASE WHEN failures = '' THEN 'ok' ELSE 'failed' END AS status FROM done
+"""
+
+
+def ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.rollup(ledger.reconciled(*_objects(spark, sf_dir)))
+
+
+LEDGER_ROLLUP = f"""
+WITH {_LEDGER}, pct AS (SELECT count(*) AS objects, count(*) FILTER (failures <> '') AS failed, bool_and(failures = '') AS passed, {", ".join(f"round(100.0 * avg({c}::INT), 3) AS {n}_pct" for c, n in [("there", "raw_captured"), ("hash_ok", "hash_verified"), ("extracted", "extraction_complete"), ("complete", "structure_complete"), ("pointed", "provenance_complete")])} FROM done)
+SELECT * FROM pct
+"""
+
 QUERIES = {
     "snapshot_digests": (snapshot_digests, SNAPSHOT_DIGESTS), "snapshot_claims": (snapshot_claims, SNAPSHOT_CLAIMS), "round_trip": (round_trip, ROUND_TRIP), "unit_prints": (unit_prints, UNIT_PRINTS),
     "heading_trails": (heading_trails, HEADING_TRAILS), "outline_digests": (outline_digests, OUTLINE_DIGESTS), "recorded_groups": (recorded_groups, RECORDED_GROUPS),
+    "broken_coverage": (broken_coverage, BROKEN_COVERAGE), "reconciled_objects": (reconciled_objects, RECONCILED_OBJECTS), "ledger_rollup": (ledger_rollup, LEDGER_ROLLUP),
 }

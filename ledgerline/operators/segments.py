@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.order import batches
+
 MAX_CHARS = 1200
 VERSION = 1
 
@@ -185,26 +187,5 @@ def coverage_violations(docs: DataFrame, spans: DataFrame, id_col: str, text_col
 
 
 def packed_batches(chunks: DataFrame, group_col: str, order_col: str, chars_col: str, most_chunks: int = 30, most_chars: int = 14_000) -> DataFrame:
-    """(group, order, batch): greedy batches in order, within both budgets; a chunk beyond the second is a batch alone.
-
-    Where a batch ends depends on where the one before did, so each group is read in order.
-    """
-    rows = chunks.select(F.col(group_col).alias("g"), F.col(order_col).alias("o"), F.col(chars_col).cast("long").alias("n"))
-    kinds = {f.name: f.dataType for f in rows.schema}
-
-    def run(batches):
-        last, batch, count, total = object(), 0, 0, 0
-        for b in batches:
-            out = []
-            for g, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if g != last:
-                    last, batch, count, total = g, 0, 0, 0
-                elif count + 1 > most_chunks or total + n > most_chars:
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + n
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=["g", "o", "batch"])
-
-    schema = T.StructType([T.StructField("g", kinds["g"]), T.StructField("o", kinds["o"]), T.StructField("batch", T.IntegerType())])
-    # sorted within partitions and streamed, so a large group is never held
-    return rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(run, schema).withColumnsRenamed({"g": group_col, "o": order_col})
+    """(group, order, batch): greedy batches in order, within both budgets; a chunk beyond the second is a batch alone."""
+    return batches(chunks, group_col, order_col, chars_col, most_chunks, most_chars)

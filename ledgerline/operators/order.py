@@ -68,7 +68,7 @@ def batches(rows: DataFrame, group: str, order: str, size: str, most_rows: int,
         return pa.StructArray.from_arrays([pa.array(leads, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["leads", "counts"])
 
     # the passage through the buckets up to this one and including it, from so many before; only the path from row 0 matters in the end
-    maps = materialize(held.select("g", "b", passage("sizes", "own").alias("m")).select("g", "b", "m.leads", "m.counts", F.lit(1).cast("long").alias("span")))
+    maps = materialize(held.select("g", "b", passage("sizes", "own").alias("m")).select("g", "b", "m.leads", "m.counts"))
     last = maps.agg(F.max("b")).first()[0] or 0
     step = 1
     while step <= last:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -431,12 +431,53 @@ SELECT topic, statement, CAST(overlap AS BIGINT) AS overlap, CAST(place AS INTEG
 """
 
 
+def _applied() -> Column:
+    """Orders as applications: their state by status and urgency."""
+    urgent = F.col("o_orderpriority").startswith("1")
+    return F.when(F.col("o_orderstatus") == "O", F.when(urgent, "drafted").otherwise("applied")).when(F.col("o_orderstatus") == "P", F.when(urgent, "interviewing").otherwise("ignored")).otherwise(F.when(urgent, "offer").otherwise("rejected"))
+
+
 def allowed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.allowed(states.edges(spark, "application")).select("state", F.array_join("next_states", ",").alias("next_states"))
+    """What each order, as an application, may become."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", _applied().alias("state"))
+    steps = states.allowed(states.edges(spark, "application"))
+    return orders.join(F.broadcast(steps), "state", "left").select("o_orderkey", "state", F.array_join("next_states", ",").alias("next_states"))  # six states
 
 
 ALLOWED_STEPS = """
-SELECT * FROM (VALUES ('drafted', 'applied,ignored'), ('applied', 'interviewing,offer,rejected'), ('interviewing', 'offer,rejected'), ('rejected', ''), ('offer', ''), ('ignored', '')) AS t(state, next_states)
+WITH o AS (
+  SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN CASE WHEN u THEN 'drafted' ELSE 'applied' END WHEN 'P' THEN CASE WHEN u THEN 'interviewing' ELSE 'ignored' END ELSE CASE WHEN u THEN 'offer' ELSE 'rejected' END END AS state
+  FROM (SELECT *, o_orderpriority LIKE '1%' AS u FROM orders)
+)
+SELECT o_orderkey, state, next_states FROM o JOIN (VALUES ('drafted', 'applied,ignored'), ('applied', 'interviewing,offer,rejected'), ('interviewing', 'offer,rejected'), ('rejected', ''), ('offer', ''), ('ignored', '')) AS t(state, next_states) USING (state)
+"""
+
+
+def story_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is chosen for each customer from orders as claims: the first problem, and actions and results once each."""
+    k = F.col("o_orderkey")
+    kind = F.when(F.col("o_orderstatus") == "F", "quantified").when(F.col("o_orderstatus") == "P", "qualitative_evidenced").otherwise("missing")
+    problem = F.when(k % 3 == 0, "Orders took the whole team many hours each week").when(k % 3 == 1, "Too slow")
+    claims = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.col("o_custkey").alias("entity"), F.when(k % 7 == 0, "rejected").otherwise("approved").alias("status"), F.concat(F.lit("Sent a "), F.floor(F.col("o_totalprice") / 60000).cast("string")).alias("action"), problem.alias("problem"),
+        F.when(problem.isNotNull(), "time").alias("cost_dimension"), F.lit(None).cast("string").alias("inefficiency"), F.when(kind != "missing", F.concat(F.lit("Done "), F.left("o_orderpriority", F.lit(1)))).alias("outcome"), kind.alias("result_kind"),
+        stories.leverage(kind, k % 2 == 0, F.lit(False), problem).alias("leverage"), F.when(k % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("flags"), (k % 4).alias("links"), F.col("o_orderdate").alias("at"),
+    )
+    found = stories.content(claims)
+    return found.select("entity", "problem", F.array_join("problem_refs", ",").alias("problem_refs"), F.array_join("actions", ";").alias("actions"), F.array_join("results", ";").alias("results"))
+
+
+STORY_CONTENT = """
+WITH c AS (
+  SELECT o_orderkey AS id, o_custkey AS entity, 'Sent a ' || floor(o_totalprice / 60000)::BIGINT AS action, CASE o_orderkey % 3 WHEN 0 THEN 'Orders took the whole team many hours each week' WHEN 1 THEN 'Too slow' END AS problem,
+    CASE o_orderstatus WHEN 'F' THEN 'quantified' WHEN 'P' THEN 'qualitative' ELSE 'missing' END AS kind, 'Done ' || left(o_orderpriority, 1) AS outcome, o_orderkey % 5 = 0 AS flagged, o_orderkey % 4 AS links, o_orderdate AS day FROM orders WHERE o_orderkey % 7 <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY CASE WHEN kind = 'quantified' AND id % 2 = 0 THEN 4 WHEN kind <> 'missing' THEN 3 WHEN problem IS NOT NULL THEN 2 ELSE 1 END DESC, flagged, links DESC, day DESC NULLS LAST, length(action), id) AS place FROM c
+), entities AS (SELECT DISTINCT o_custkey AS entity FROM orders),
+problems AS (SELECT entity, problem, array_to_string(list(id ORDER BY id), ',') AS refs FROM placed WHERE id % 3 = 0 GROUP BY 1, 2),
+actions AS (SELECT entity, array_to_string(list(action ORDER BY place)[1:5], ';') AS actions FROM (SELECT entity, action, min(place) AS place FROM placed GROUP BY 1, 2) GROUP BY 1),
+results AS (SELECT entity, array_to_string(list(outcome ORDER BY place), ';') AS results FROM (SELECT entity, outcome, min(place) AS place FROM placed WHERE kind <> 'missing' GROUP BY 1, 2) GROUP BY 1)
+SELECT entity, problem, refs AS problem_refs, coalesce(actions, '') AS actions, coalesce(results, '') AS results FROM entities LEFT JOIN problems USING (entity) LEFT JOIN actions USING (entity) LEFT JOIN results USING (entity)
 """
 
 
@@ -510,6 +551,6 @@ QUERIES = {
     "version_numbers": (version_numbers, VERSION_NUMBERS), "leverage_ranks": (leverage_ranks, LEVERAGE_RANKS), "merged_orders": (merged_orders, MERGED_ORDERS), "inserted_orders": (inserted_orders, INSERTED_ORDERS),
     "unreviewed_replaced": (unreviewed_replaced, UNREVIEWED_REPLACED), "changed_orders": (changed_orders, CHANGED_ORDERS), "supersession": (supersession, SUPERSESSION),
     "captured_versions": (captured_versions, CAPTURED_VERSIONS), "illegal_steps": (illegal_steps, ILLEGAL_STEPS), "daily_log": (daily_log, DAILY_LOG), "event_flags": (event_flags, EVENT_FLAGS),
-    "audit_scorecard": (audit_scorecard, AUDIT_SCORECARD), "gate_audits": (gate_audits, GATE_AUDITS), "tailored": (tailored, TAILORED), "allowed_steps": (allowed_steps, ALLOWED_STEPS),
+    "audit_scorecard": (audit_scorecard, AUDIT_SCORECARD), "gate_audits": (gate_audits, GATE_AUDITS), "tailored": (tailored, TAILORED), "allowed_steps": (allowed_steps, ALLOWED_STEPS), "story_content": (story_content, STORY_CONTENT),
     "demoted_lines": (demoted_lines, DEMOTED_LINES), "home_nations": (home_nations, HOME_NATIONS), "foreign_parts": (foreign_parts, FOREIGN_PARTS), "first_seen": (first_seen, FIRST_SEEN), "costs": (costs, COSTS),
 }

@@ -340,11 +340,50 @@ def reflowed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("normal_text").alias("chars"), F.sha2("normal_text", 256).alias("text_sha256"))
 
 
+#: Notes that orders have by number.
+NOTES = [
+    "Problem: Reports took the whole team many hours each week\nAction: Built a nightly loader in Python for all reports\nResult: Reduced report time by 45%",
+    "Action: Built a nightly loader in Python for all reports\nProblem: Reports took the whole team many hours each week",
+    "- Built a nightly loader in Python for all reports\n- Deployed it with Docker on every machine we have\n- Reduced report time by 45%",
+    "# Notes\nThe reports were slow.\nAction: Moved data to", "Result: Reduced report time by 45%\nNothing else here",
+    "Problem: Manual spreadsheets\nAction: Automated the weekly report in Python and SQL\nResult: Eliminated manual spreadsheets",
+]
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.element_at(F.array(*map(F.lit, NOTES)), (F.col("o_orderkey") % len(NOTES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("chunk"), note.alias("text"))
+
+
 def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims assembled from conversations and what is wrong with them."""
-    turns = table(spark, sf_dir, "conversations")
-    claims = statements.claim_violations(statements.extract_claims(turns, "conv_id", "turn", "text"))
-    return claims.select("conv_id", "turn", "position", "result_kind", F.array_join("violations", ",").alias("violations"))
+    """Claims assembled from notes on orders and what is wrong with them."""
+    claims = statements.claim_violations(statements.extract_claims(_notes(spark, sf_dir), "o_orderkey", "chunk", "text"))
+    return claims.select("o_orderkey", "position", F.left("action", F.lit(12)).alias("action"), "result_kind", "resolves", F.array_join("tools", ",").alias("tools"), F.array_join("violations", ",").alias("violations"))
+
+
+# what the rules give for each note: a problem holds for later work only, outcomes go to works in turn, and without a work they are left over
+CLAIM_FLAGS = f"""
+SELECT o_orderkey, position, action, result_kind, resolves, tools, violations FROM orders JOIN (VALUES
+  (0, 1, 'Built a nigh', 'quantified', 'time', 'Python', ''), (1, 0, 'Built a nigh', 'missing', NULL, 'Python', 'problem_missing'), (2, 0, 'Built a nigh', 'quantified', 'time', 'Python', 'problem_missing,result_problem_coupling'),
+  (2, 1, 'Deployed it ', 'missing', NULL, 'Docker', 'problem_missing'), (3, 1, 'Moved data t', 'missing', NULL, '', 'problem_not_specific,action_names_no_tools,action_fragment'),
+  (5, 1, 'Automated th', 'qualitative_evidenced', 'manual', 'Python,SQL', 'problem_not_specific')
+) AS c(note, position, action, result_kind, resolves, tools, violations) ON o_orderkey % {len(NOTES)} = note
+"""
+
+
+def note_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of notes on orders by what they are."""
+    rows = statements.with_roles(statements.split_statements(_notes(spark, sf_dir), "chunk", "text"))
+    return rows.select(F.col("chunk").alias("o_orderkey"), "position", "label", "role", "result_type", "cost_dimension", "inefficiency")
+
+
+NOTE_ROLES = f"""
+SELECT o_orderkey, position, label, role, result_type, cost_dimension, inefficiency FROM orders JOIN (VALUES
+  (0, 0, 'problem', 'problem', NULL, 'time', 'slow'), (0, 1, 'action', 'work', NULL, NULL, NULL), (0, 2, 'result', 'outcome', 'quantitative', 'time', NULL), (1, 0, 'action', 'work', NULL, NULL, NULL), (1, 1, 'problem', 'problem', NULL, 'time', 'slow'),
+  (2, 0, NULL, 'work', NULL, NULL, NULL), (2, 1, NULL, 'work', NULL, NULL, NULL), (2, 2, NULL, 'outcome', 'quantitative', 'time', NULL), (3, 0, NULL, 'problem', NULL, NULL, 'slow'), (3, 1, 'action', 'work', NULL, NULL, NULL),
+  (4, 0, 'result', 'outcome', 'quantitative', 'time', NULL), (4, 1, NULL, 'ignored', NULL, NULL, NULL), (5, 0, 'problem', 'problem', NULL, NULL, 'manual'), (5, 1, 'action', 'work', NULL, 'time', NULL), (5, 2, 'result', 'outcome', 'automation', NULL, 'manual')
+) AS c(note, position, label, role, result_type, cost_dimension, inefficiency) ON o_orderkey % {len(NOTES)} = note
+"""
 
 
 def evidence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,5 +491,5 @@ QUERIES = {
     "problem_context": (problem_context, PROBLEM_CONTEXT), "invitations": (invitations, INVITATIONS), "number_gate": (number_gate, NUMBER_GATE), "shared_lines": (shared_lines, SHARED_LINES),
     "assigned_items": (assigned_items, ASSIGNED_ITEMS), "item_mentions": (item_mentions, ITEM_MENTIONS), "name_mentions": (name_mentions, NAME_MENTIONS), "similar_items": (similar_items, SIMILAR_ITEMS), "item_groups": (item_groups, ITEM_GROUPS),
     "paragraph_spans": (paragraph_spans, PARAGRAPH_SPANS), "chunk_spans": (chunk_spans, CHUNK_SPANS), "chunk_coverage": (chunk_coverage, CHUNK_COVERAGE), "reflowed_texts": (reflowed_texts, None),
-    "claim_flags": (claim_flags, None), "evidence_flags": (evidence_flags, EVIDENCE_FLAGS), "batches": (batches, BATCHES), "page_elements": (page_elements, None), "element_coverage": (element_coverage, CHUNK_COVERAGE), "corpus_digest": (corpus_digest, CORPUS_DIGEST),
+    "claim_flags": (claim_flags, CLAIM_FLAGS), "note_roles": (note_roles, NOTE_ROLES), "evidence_flags": (evidence_flags, EVIDENCE_FLAGS), "batches": (batches, BATCHES), "page_elements": (page_elements, None), "element_coverage": (element_coverage, CHUNK_COVERAGE), "corpus_digest": (corpus_digest, CORPUS_DIGEST),
 }

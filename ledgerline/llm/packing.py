@@ -8,7 +8,8 @@ bins of one parent whole into the other, removes the bins that hold the same
 pieces, and puts the displaced pieces back by best fit. An island keeps its whole
 population from epoch to epoch, and after each epoch it sends its elites to the
 next island of its block; in the end the best packing of each block counts. An
-island that has reached the lower bound (all tokens over the capacity) rests. An
+island that has reached the lower bound (all tokens over the capacity) rests, and
+where the emptiest bins are packed again anyway, one within a bin of it does. An
 island is one row of arrays, so memory is bounded however many documents there
 are, and any lost task is redone alone.
 """
@@ -143,16 +144,16 @@ def crossover(into: np.ndarray, donor: np.ndarray, sizes: np.ndarray, capacity:
     return _rebuilt(kept, sizes, order, capacity)
 
 
-def generations(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION) -> list[np.ndarray]:
+def generations(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, crossovers: int = CROSSOVERS, size: int = POPULATION, spare: int = 0) -> list[np.ndarray]:
     """A population after ``crossovers`` children, best first; it is filled up to ``size`` with best-fit decreasing and blurred orders of it.
 
     A child takes the place of the last but one if it is better and no twin of another; the last stays, for the
     material that only it still has.
-    Nothing is done once the best has as few bins as the sum of sizes allows.
+    Nothing is done once the best has as few bins as the sum of sizes allows, and ``spare`` more.
     """
     rng = np.random.default_rng(seed)
     order = np.argsort(-sizes, kind="stable")
-    least = -(-int(sizes.sum()) // capacity)
+    least = -(-int(sizes.sum()) // capacity) + spare
     scored = [(fitness(p, sizes, capacity), k, p) for k, p in enumerate(population)]
     if not scored:
         first = _packed(sizes, order, capacity)
@@ -184,14 +185,14 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
 _STATE = "block long, island int, uids array<long>, sizes array<int>, population array<array<int>>, moved array<array<int>>, count int, spread double"
 
 
-def _evolve_rows(capacity: int, epoch: int):
+def _evolve_rows(capacity: int, epoch: int, spare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one island at a time is turned into lists
                 r = batch.slice(i, 1).to_pylist()[0]
                 sizes = np.array(r["sizes"], np.int64)
                 population = [np.array(p, np.int64) for p in (r["population"] or []) + (r["moved"] or [])]
-                kept = generations(sizes, population, capacity, (int(r["block"]) * ISLANDS + r["island"]) * 64 + epoch)
+                kept = generations(sizes, population, capacity, (int(r["block"]) * ISLANDS + r["island"]) * 64 + epoch, spare=spare)
                 (count, spread) = fitness(kept[0], sizes, capacity)
                 r |= {"population": [p.tolist() for p in kept], "moved": None, "count": -count, "spread": spread}
                 yield pa.RecordBatch.from_pylist([r], schema=batch.schema)
@@ -234,7 +235,7 @@ def _best_of_islands(items: DataFrame, capacity: int, blocks: int) -> DataFrame:
     rows, parts = blocks * ISLANDS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(rows, 4 * parts), rows // TASK_ROWS)
     for epoch in range(EPOCHS):
-        state = materialize(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch), _STATE))
+        state = materialize(state.repartition(tasks, "block", "island").mapInArrow(_evolve_rows(capacity, epoch, int(blocks > 1)), _STATE))
         if epoch + 1 < EPOCHS:
             elite = state.select(F.col("block").alias("from"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to"), F.slice("population", 1, ELITES).alias("sent"))
             state = state.join(elite, (F.col("block") == F.col("from")) & (F.col("island") == F.col("to"))).select(

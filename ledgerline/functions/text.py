@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import lexicon as L
 
+# fixed values: what counts as white space in texts of any script
+ANY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
 
 def squeezed(text: Column) -> Column:
     """Every run of white space one space, none at the ends."""
@@ -184,26 +190,44 @@ def unsupported_numbers(text: Column, source: Column) -> Column:
 # --- addresses -------------------------------------------------------------------
 
 
-def html_text(html: Column) -> Column:
-    """Tags as spaces, common entities undone, white space squeezed."""
-    text = F.regexp_replace(html, "<[^>]+>", " ")
-    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return squeezed(text)
+@F.arrow_udf(T.StringType())
+def _unescaped(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+
+
+def unescaped(text: Column) -> Column:
+    """Character references undone: numeric ones, and named ones by their longest match, with or without semicolon. Only texts with an ampersand leave the JVM."""
+    has = F.contains(text, F.lit("&"))
+    return F.when(has, _unescaped(F.when(has, text))).otherwise(text)
+
+
+def html_text(source: Column) -> Column:
+    """Tags as spaces, character references undone, white space of every kind squeezed."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(source, "<[^>]+>", " ")), ANY_SPACE, " "))
+
+
+def _form_decoded(text: Column) -> Column:
+    """A form's name or value as text: a plus is a space, and a percent sign that begins no byte stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _form_encoded(text: Column) -> Column:
+    """All but letters, digits and ``_.-~`` as percent-encoded bytes, a space as a plus."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, without fragment and tracking parameters; null unless http or https with a host."""
-    whole = F.regexp_replace(F.trim(url), "#.*$", "")
+    """Scheme and host in lower case, the query decoded and encoded again, without fragment and tracking parameters; null unless http or https with a host."""
+    whole = F.regexp_replace(F.translate(F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "\t\r\n", ""), "(?s)#.*$", "")
     scheme = F.lower(F.regexp_extract(whole, "^([A-Za-z]+)://", 1))
     host = F.lower(F.regexp_extract(whole, "^[A-Za-z]+://([^/?]*)", 1))
     path = F.regexp_extract(whole, "^[A-Za-z]+://[^/?]*([^?]*)", 1)
-    query = F.regexp_extract(whole, r"\?(.*)$", 1)
-    kept = F.filter(
-        F.split(query, "&"),
-        lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(L.TRACKING) & ~F.startswith(F.lower(p), F.lit(L.TRACKING_PREFIX)),
-    )
-    out = F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    pairs = F.filter(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&"), lambda p: p != "")
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.locate("=", p) + 1, F.length(p))).otherwise("")
+    named = F.transform(pairs, lambda p: F.struct(_form_decoded(F.substring_index(p, "=", 1)).alias("k"), _form_decoded(value(p)).alias("v")))
+    kept = F.filter(named, lambda p: ~F.lower(p["k"]).isin(L.TRACKING) & ~F.startswith(F.lower(p["k"]), F.lit(L.TRACKING_PREFIX)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
+    out = F.concat(scheme, F.lit("://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(scheme.isin("http", "https") & (host != ""), out)
 
 

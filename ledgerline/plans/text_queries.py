@@ -101,10 +101,13 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).alias("chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+# fixed values: references in pages; those without a semicolon are undone too, after those with one
+_REFERENCES = [("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "chr(1)"), ("&amp", "chr(1)")]
+_UNDONE = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _reference, _char in _REFERENCES:
+    _UNDONE = f"replace({_UNDONE}, '{_reference}', {_char})"
 HTML_TEXTS = f"""
-SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_sha256 FROM (
-  SELECT page_id, {S.squeezed("replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')")} AS t FROM pages
-)
+SELECT page_id, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_sha256 FROM (SELECT page_id, {S.squeezed(f"replace({_UNDONE}, chr(1), '&')")} AS t FROM pages)
 """
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import normal_key, token_set
+from ledgerline.functions.text import normal_key, token_set, tokens
+from ledgerline.tables import materialize
 
 MIN_SHARED_CHARS = 60
 
@@ -86,10 +87,10 @@ def similar_pairs(sets: DataFrame, id_col: str, set_col: str, least: float = 0.5
     Prefix filter: tokens are ordered from rare to common, and two sets this
     similar share a token among the first ``n - ceil(least * n) + 1`` of each.
     """
-    tokens = sets.where(F.size(set_col) > 0).select(F.col(id_col).alias("id"), F.explode(set_col).alias("token"), F.size(set_col).alias("n"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    each = sets.where(F.size(set_col) > 0).select(F.col(id_col).alias("id"), F.explode(set_col).alias("token"), F.size(set_col).alias("n"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     place = F.row_number().over(W.partitionBy("id").orderBy("held", "token"))
-    prefix = tokens.join(counts, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "token", "n")
+    prefix = each.join(counts, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "token", "n")
     other = prefix.select(F.col("id").alias("other"), "token", F.col("n").alias("m"))
     near = prefix.join(other, "token").where((F.col("id") < F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("id", "other").distinct()
     full = sets.select(F.col(id_col).alias("k"), F.col(set_col).alias("s"))
@@ -103,17 +104,48 @@ def profile_of(chunks: DataFrame, entity_col: str, text_col: str) -> DataFrame:
     return chunks.select(F.col(entity_col).alias("entity"), F.explode(token_set(F.col(text_col))).alias("token")).distinct()
 
 
-def metric_conflicts(quotes: DataFrame, id_col: str, text_col: str, signature: Column) -> DataFrame:
-    """(signature, quotes, wordings) where quotes carry the same numbers in different words of which some are related.
+def contained(texts: DataFrame, group: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(group columns, inner, outer): ids of texts of one group of which the outer one contains the other inner one, and they share a token.
 
-    Quotes of one signature are joined on shared tokens; two are related when
-    one wording contains the other or half of their tokens are the same.
+    A token between the first and the last of the inner text stands as a token in the outer one too, so candidates meet on the
+    one of these that fewest texts of the group have; texts without such a token meet on any of theirs. Texts are
+    joined to distinct candidates only.
+    """
+    rows = texts.select(*group, F.col(id_col).alias("inner"), tokens(F.col(text_col)).alias("tokens_"))
+    ends = materialize(rows.select(*group, "inner", F.explode(F.array_distinct("tokens_")).alias("token")))
+    held = ends.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = rows.select(*group, "inner", F.array_distinct(F.slice("tokens_", 2, F.greatest(F.size("tokens_") - 2, F.lit(0)))).alias("own"))
+    anchors = inside.select(*group, "inner", F.explode("own").alias("token")).join(held, [*group, "token"], "left")
+    rarest = anchors.groupBy(*group, "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(1).cast("long")).alias("n"), "token")).alias("a")).select(*group, "inner", F.col("a.token").alias("token"))
+    loose = inside.where(F.size("own") == 0).select(*group, "inner").join(ends, [*group, "inner"])
+    met = rarest.unionByName(loose.select(*rarest.columns)).join(held.drop("n"), [*group, "token"], "left_semi").join(ends.withColumnRenamed("inner", "outer"), [*group, "token"])
+    pairs = met.where("inner <> outer").select(*group, "inner", "outer").distinct()
+    whole = lambda name: texts.select(*group, F.col(id_col).alias(name), F.col(text_col).alias(f"{name}_text"))
+    both = pairs.join(whole("inner"), [*group, "inner"]).join(whole("outer"), [*group, "outer"])
+    return both.where(F.contains("outer_text", F.col("inner_text"))).select(*group, "inner", "outer")
+
+
+def _conflicting(quotes: DataFrame, text_col: str, signature: Column) -> DataFrame:
+    """(signature, wording, n): wordings (normal texts, of n quotes) that are related to another one of their signature.
+
+    Two are related when one contains the other and they share a token, or when half of their tokens are the same: found by
+    ``contained``, and by ``similar_pairs`` on tokens that carry the signature, so texts meet on rare tokens only.
     """
-    rows = quotes.select(F.col(id_col).alias("id"), normal_key(F.col(text_col)).alias("wording"), token_set(F.col(text_col)).alias("own"), signature.alias("signature")).where("signature <> ''")
-    wordings = rows.groupBy("signature", "wording").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n"))
-    ends = wordings.select("signature", "wording", "own", F.explode("own").alias("token"))
-    other = ends.select("signature", "token", F.col("wording").alias("w"), F.col("own").alias("o"))
-    shared = F.size(F.array_intersect("own", "o"))
-    near = ends.join(other, ["signature", "token"]).where(F.col("wording") != F.col("w"))
-    near = near.where(F.contains("wording", F.col("w")) | F.contains("w", F.col("wording")) | (2 * shared >= F.size("own") + F.size("o") - shared))
-    return near.select("signature", "wording").distinct().join(wordings.select("signature", "wording", "n"), ["signature", "wording"]).groupBy("signature").agg(F.sum("n").alias("quotes"), F.count(F.lit(1)).alias("wordings"))
+    rows = quotes.select(normal_key(F.col(text_col)).alias("wording"), token_set(F.col(text_col)).alias("own"), signature.alias("signature")).where("signature <> ''")
+    wordings = materialize(rows.groupBy("signature", "wording").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("n")).withColumn("w", F.md5(F.concat_ws("\n", "signature", "wording"))))
+    alike = similar_pairs(wordings.select("w", F.transform("own", lambda t: F.concat("signature", F.lit("\n"), t)).alias("own")), "w", "own")
+    within = contained(wordings, ["signature"], "w", "wording")
+    near = alike.select(F.col("a").alias("w")).union(alike.select("b")).union(within.select("inner")).union(within.select("outer")).distinct()
+    return wordings.join(near, "w", "left_semi").select("signature", "wording", "n")
+
+
+def metric_conflicts(quotes: DataFrame, id_col: str, text_col: str, signature: Column) -> DataFrame:
+    """(signature, quotes, wordings) where quotes carry the same numbers in different words of which some are related."""
+    return _conflicting(quotes, text_col, signature).groupBy("signature").agg(F.sum("n").alias("quotes"), F.count(F.lit(1)).alias("wordings"))
+
+
+def ordered_conflicts(quotes: DataFrame, id_col: str, text_col: str, date_col: str, signature: Column) -> DataFrame:
+    """(signature, place, id): the quotes of every conflict, latest first, those without a date last, then by id."""
+    rows = quotes.select(F.col(id_col).alias("id"), F.col(date_col).alias("at"), normal_key(F.col(text_col)).alias("wording"), signature.alias("signature"))
+    found = rows.join(_conflicting(quotes, text_col, signature), ["signature", "wording"], "left_semi")
+    return found.select("signature", F.row_number().over(W.partitionBy("signature").orderBy(F.desc_nulls_last("at"), "id")).alias("place"), "id")

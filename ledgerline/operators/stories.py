@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
+from ledgerline.operators.entities import contained
 from ledgerline.operators.graph import connected_components
+from ledgerline.tables import materialize
 
 MAX_ACTIONS = 5
 
@@ -81,15 +83,21 @@ def demoted(drafts: DataFrame, group: list[str], span: str, order: list[str]) ->
 def problem_groups(problems: DataFrame) -> DataFrame:
     """(entity, key, space): problems of one entity (entity, key: distinct normal texts) that are related, transitively, share a space.
 
-    Two are related if one contains the other, or if they share a tag and two tokens. Candidates meet on shared tokens.
+    Two are related if one contains the other and they share a token, or if they share a tag and two tokens. All texts with
+    a tag and the same two tokens are related to one another, so each is linked to the first of them only; a text
+    of n tokens has about n²/2 pairs. For containment see ``entities.contained``.
     """
-    rows = problems.select("entity", "key", X.pain_tags(F.col("key")).alias("tags"), X.token_set(F.col("key")).alias("own"), F.struct("entity", "key").alias("node"))
-    ends = rows.select("*", F.explode("own").alias("token"))
-    other = ends.select("entity", "token", F.col("key").alias("k"), F.col("tags").alias("t"), F.col("own").alias("o"), F.col("node").alias("b"))
-    near = ends.join(other, ["entity", "token"]).where("key < k")
-    near = near.where(F.contains("key", F.col("k")) | F.contains("k", F.col("key")) | (F.arrays_overlap("tags", "t") & (F.size(F.array_intersect("own", "o")) >= 2)))
-    parts = connected_components(near.select(F.col("node").alias("a"), "b")).select(F.col("node").alias("n"), F.col("component.key").alias("component"))
-    return rows.join(parts, F.col("node") == F.col("n"), "left").select("entity", "key", X.short_id("ps", F.coalesce("component", "key")).alias("space"))
+    rows = materialize(problems.select("entity", "key", F.md5("key").alias("n"), X.pain_tags(F.col("key")).alias("tags"), F.array_sort(X.token_set(F.col("key"))).alias("own")))
+    later = F.transform("own", lambda t, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda u: F.concat_ws(" ", t, u)))
+    pairs = rows.where(F.size("tags") > 0).select("entity", "n", "tags", F.explode(F.flatten(later)).alias("pair")).select("entity", "n", "pair", F.explode("tags").alias("tag"))
+    first = pairs.groupBy("entity", "tag", "pair").agg(F.min("n").alias("first"), F.max("n").alias("last")).where("first < last").drop("last")
+    alike = pairs.join(first, ["entity", "tag", "pair"]).where("n <> first").select("entity", F.col("n").alias("a"), F.col("first").alias("b")).distinct()
+    within = contained(rows, ["entity"], "n", "key").select("entity", F.col("inner").alias("a"), F.col("outer").alias("b"))
+    node = lambda c: F.struct("entity", F.col(c).alias("n"))
+    parts = connected_components(alike.unionByName(within).select(node("a").alias("a"), node("b").alias("b"))).select("node.entity", "node.n", F.col("component.n").alias("part"))
+    placed = rows.select("entity", "key", "n").join(parts, ["entity", "n"], "left").withColumn("part", F.coalesce("part", "n"))
+    names = placed.groupBy("entity", "part").agg(F.min("key").alias("name"))
+    return placed.join(names, ["entity", "part"]).select("entity", "key", X.short_id("ps", F.col("name")).alias("space"))
 
 
 def attach(claims: DataFrame, seeds: DataFrame) -> DataFrame:

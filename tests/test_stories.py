@@ -1,7 +1,10 @@
 """Element trees, stories, rosters and the inbox on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as X
 from ledgerline.functions.text import normal_key
 from ledgerline.operators import inbox, projects, segments, stories, structure
 
@@ -128,3 +131,60 @@ def test_inbox(spark):
     interviews = spark.createDataFrame([("acme inc",), ("none",)], "company string")
     assert rows(inbox.with_applications(interviews, applications), "company") == [("acme inc", 2), ("none", None)]
     assert spark.range(1).select(normal_key(F.lit(" A  b "))).first()[0] == "a b"
+
+
+def related(a, b, own, tags):
+    return (a in b or b in a) and own[a] & own[b] or tags[a] & tags[b] and len(own[a] & own[b]) >= 2
+
+
+def groups_by_pairs(texts, own, tags):
+    parent = {t: t for t in texts}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a in texts:
+        for b in texts:
+            if a < b and related(a, b, own, tags):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {t: find(t) for t in texts}
+
+
+def test_problem_spaces_equal_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["manual", "slow", "cost", "hours", "outage", *(f"word{k}" for k in range(25)), "the", "so"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(120)})
+    frame = spark.createDataFrame([(e, t) for e in (1, 2) for t in texts if e == 1 or len(t) % 2], "entity int, key string")
+    seen = {r["key"]: (set(r["own"]), set(r["tags"])) for r in frame.select("key", X.token_set(F.col("key")).alias("own"), X.pain_tags(F.col("key")).alias("tags")).collect()}
+    own, tags = {t: v[0] for t, v in seen.items()}, {t: v[1] for t, v in seen.items()}
+    got = {}
+    for r in stories.problem_groups(frame).collect():
+        got.setdefault(r["entity"], {})[r["key"]] = r["space"]
+    for e in (1, 2):
+        want = groups_by_pairs(list(got[e]), own, tags)
+        assert len(got[e]) == frame.where(F.col("entity") == e).count()
+        assert {frozenset(t for t in want if want[t] == w) for w in want.values()} == {frozenset(t for t in got[e] if got[e][t] == s) for s in got[e].values()}
+
+
+def test_many_related_texts_take_links_in_proportion(spark):
+    rows = spark.range(1500).select(F.lit(1).alias("entity"), F.concat(F.lit("manual reports took hours of case"), F.col("id").cast("string")).alias("key"))
+    assert stories.problem_groups(rows).select("space").distinct().count() == 1
+
+
+def test_conflicts_equal_all_pairs_and_come_latest_first(spark):
+    from ledgerline.operators import entities
+
+    rng = random.Random(9)
+    words = [f"word{k}" for k in range(8)] + ["the", "x"]
+    quotes = [(i, rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))), rng.choice([None, 1, 2, 3])) for i in range(90)]
+    frame = spark.createDataFrame(quotes, "id int, sig string, text string, at int")
+    own = {r["text"]: set(r["own"]) for r in frame.select("text", X.token_set(F.col("text")).alias("own")).collect()}
+    near = lambda a, b: a != b and ((a in b or b in a) and own[a] & own[b] or own[a] | own[b] and 2 * len(own[a] & own[b]) >= len(own[a] | own[b]))
+    held = [q for q in quotes if any(near(q[2], o[2]) for o in quotes if o[1] == q[1])]
+    want = {s: (sum(q[1] == s for q in held), len({q[2] for q in held if q[1] == s})) for s in {q[1] for q in held}}
+    assert {r["signature"]: (r["quotes"], r["wordings"]) for r in entities.metric_conflicts(frame, "id", "text", F.col("sig")).collect()} == want
+    got = entities.ordered_conflicts(frame, "id", "text", "at", F.col("sig")).orderBy("signature", "place").collect()
+    assert [(r["signature"], r["id"]) for r in got] == [(q[1], q[0]) for q in sorted(held, key=lambda q: (q[1], q[3] is None, -(q[3] or 0), q[0]))]

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -69,3 +70,26 @@ def test_awkward_rows(spark, tricky, nothing):
     assert quality.score_quality(nothing, model).count() == 0
     assert quality.train(nothing, labels).score(np.zeros((1, len(quality.FEATURES))))[0] == 0.5
     assert quality.keep_good(tricky, labels).columns == tricky.columns
+
+
+def plain_features(text):
+    """The features of one text, word by word and byte by byte."""
+    data = (text or "").encode()
+    words, size = data.split(), len(data)
+    mark = lambda b: chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    odd = lambda b: mark(b) and chr(b) not in ".,;:'\"-?()"
+    upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    of_size = lambda n: n / size if size else 0.0
+    of_words = lambda n: n / len(words) if words else 0.0
+    return [
+        math.log1p(len(words)), math.log1p(data.count(b"\n")), of_words(sum(map(len, words))), upper / (upper + lower) if upper + lower else 0.0, of_size(sum(map(mark, data))), of_size(sum(map(odd, data))),
+        of_size(sum(48 <= b <= 57 for b in data)), of_size(sum(b >= 128 for b in data)), of_size(size - sum(map(len, words))), of_words(sum(65 <= w[0] <= 90 for w in words)), of_words(sum(len(w) == 1 and mark(w[0]) for w in words)),
+        of_words(sum(odd(w[-1]) for w in words)), of_words(sum(a == b for a, b in zip(words, words[1:], strict=False))), of_words(len(set(words))), of_words(sum(len(w) <= 3 for w in words)), math.log1p(max(map(len, words), default=0)),
+    ]
+
+
+def test_features_equal_a_plain_count(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts += [None, "", " \n\t", "A", "!! ?? a! b*", "Über Über 😀 x\x0by", "UPPER lower 123 a1\n\n- - *", "a" * 5000 + " b"]
+    got = quality.features(pa.array(texts, pa.string()))
+    assert np.allclose(got, np.array([plain_features(t) for t in texts]), rtol=1e-12, atol=1e-12)

@@ -129,3 +129,23 @@ def provenance_walk(stories: DataFrame, components: DataFrame, claims: DataFrame
     bare = need.join(have, ["story", "kind"], "left_anti").select("story")
     failed = lost.unionByName(broken).unionByName(unseen).unionByName(bare).distinct().withColumn("lost", F.lit(True))
     return check("provenance_walk", stories.join(failed, "story", "left"), F.col("lost").isNotNull(), F.col("story"))
+
+
+def golden_examples(claims: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, status, note, action, problem, result, evidence) of decided claims (approved or rejected), each with its evidence in order of its links.
+
+    links: claim, place, evidence, field, quote. evidence: id, source_type, source_ref, text. Links to unknown evidence keep their
+    field and quote; a claim without links has an empty list.
+    """
+    shown = links.join(evidence.select(F.col("id").alias("evidence"), "source_type", "source_ref", "text"), "evidence", "left")
+    listed = shown.groupBy(F.col("claim").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "evidence", "field", "source_type", "source_ref", "text", "quote"))).alias("listed"))
+    rows = claims.where("status in ('approved', 'rejected')").join(listed, "id", "left")
+    bare = F.transform(F.coalesce("listed", F.array().cast(listed.schema["listed"].dataType)), lambda e: F.struct(*(e[c].alias(c) for c in ("field", "source_type", "source_ref", "text", "quote"))))
+    return rows.select("id", "status", "note", "action", "problem", "result", bare.alias("evidence"))
+
+
+def union_of_pairs(first: DataFrame, second: DataFrame, count: str, other: str) -> DataFrame:
+    """(a, b, ``count``, ``other``): pairs that either signal has, a < b, whichever way round they are given, with 0 for the signal that lacks one."""
+    turned = lambda rows, name: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(name)).groupBy("a", "b").agg(F.sum(name).alias(name))
+    both = turned(first, count).join(turned(second, other), ["a", "b"], "full_outer")
+    return both.select("a", "b", F.coalesce(count, F.lit(0)).alias(count), F.coalesce(other, F.lit(0)).alias(other))

@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from ledgerline.plans import change_queries, gate_queries, nested_queries, table_queries, text_queries
+from ledgerline.plans import change_queries, gate_queries, nested_queries, read_queries, table_queries, text_queries
 
-ALL = text_queries.QUERIES | table_queries.QUERIES | change_queries.QUERIES | gate_queries.QUERIES | nested_queries.QUERIES
+ALL = text_queries.QUERIES | table_queries.QUERIES | change_queries.QUERIES | gate_queries.QUERIES | nested_queries.QUERIES | read_queries.QUERIES
 
 
 def queries():

@@ -10,7 +10,7 @@ from ledgerline.functions import text as X
 from ledgerline.operators import audits, lifecycle, ranking, states, stories
 from ledgerline.plans import sqltext as S
 from ledgerline.sources import scan
-from ledgerline.tables import table
+from ledgerline.tables import dealt, table
 
 #: Rows of an earlier and a later generation are told apart by these.
 SPLIT_DAY, STALE_DAY = "1998-01-01", "2024-01-29"
@@ -63,7 +63,7 @@ LEFT JOIN (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_par
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to suppliers over lines and parts, each pair once with its first line."""
     lines, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    walk = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    walk = table(spark, sf_dir, "orders").join(dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return walk.groupBy("o_orderkey", "s_suppkey").agg(F.min("l_linenumber").alias("first_line"))
 
 
@@ -494,7 +494,7 @@ DEMOTED_LINES = "SELECT l_orderkey, count(*) AS lines, count(*) - count(DISTINCT
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, suppliers, orders = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
-    cited = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cited = dealt(lines, "l_orderkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return cited.select(F.col("l_orderkey").alias("story"), F.col("c_nationkey").alias("own"), F.col("s_nationkey").alias("space"), F.col("l_partkey").alias("id"))
 
 

@@ -11,6 +11,10 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: So many rows of a large table are joined and grouped in one task.
+ROWS = 500_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. A temporary one only where none is named and the session is local; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,5 +58,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by keys over so many partitions that each gets about ``ROWS`` rows; what is joined or grouped by these keys then stays so.
+
+    Spark would join small partitions until there is one for each core, so that what a task sorts and hashes grows with the input. The
+    rows are counted first, which a table's footers answer.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    return rows.repartition(n, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -57,7 +58,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Whether any of the words stands in the text: one pattern, as code of a test for each word outgrows what the JVM compiles."""
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def verbatim_in(needle: Column, haystack: Column) -> Column:
@@ -66,7 +68,7 @@ def verbatim_in(needle: Column, haystack: Column) -> Column:
 
 
 def looks_like_artifact(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in L.ARTIFACTS])
+    return text.rlike("|".join(f"(?:{p})" for p in L.ARTIFACTS))
 
 
 def problem_reasons(text: Column) -> Column:
@@ -95,7 +97,7 @@ def has_metric(text: Column) -> Column:
 
 def result_type(text: Column) -> Column:
     low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(pattern), name) for name, pattern in L.RESULT_TYPES])
+    return F.when(any_of(low, L.RESULT_PIECES), F.coalesce(*[F.when(low.rlike(pattern), name) for name, pattern in L.RESULT_TYPES]))
 
 
 def is_outcome(text: Column) -> Column:
@@ -142,8 +144,9 @@ def resolves(outcome: Column, declared: Column) -> Column:
 
 def tools(text: Column) -> Column:
     """Known tools that stand alone in the text, in the order of the list."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(rf"(?:^|[^\w-]){t.lower()}(?:$|[^\w-])"), t) for t in L.TOOLS]))
+    known = F.create_map(*(F.lit(x) for t in L.TOOLS for x in (t.lower(), t)))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?:^|[^\w-])({'|'.join(t.lower() for t in L.TOOLS)})(?=$|[^\w-])"), F.lit(1))
+    return F.transform(F.array_intersect(F.lit([t.lower() for t in L.TOOLS]), F.coalesce(found, F.array().cast("array<string>"))), lambda t: F.element_at(known, t))
 
 
 def role(text: Column, label: Column) -> Column:

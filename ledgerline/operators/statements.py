@@ -52,15 +52,21 @@ def extract_claims(chunks: DataFrame, group_col: str, chunk_col: str, text_col:
     """
     rows = with_roles(split_statements(chunks.select(group_col, chunk_col, text_col), chunk_col, text_col))
     rows = forward_fill(rows, [group_col, chunk_col], ["position"], F.when(F.col("role") == "problem", F.col("statement")), "problem")
-    in_chunk, in_group = W.partitionBy(group_col, chunk_col).orderBy("position"), W.partitionBy(group_col).orderBy(chunk_col, "position")
-    claims = rows.where("role = 'work'").select(group_col, chunk_col, "position", F.col("statement").alias("action"), "problem").withColumn("k", F.row_number().over(in_chunk))
-    outcomes = rows.where("role = 'outcome'").select(group_col, chunk_col, "position", F.col("statement").alias("outcome")).withColumn("k", F.row_number().over(in_chunk))
-    near = claims.join(outcomes.select(group_col, chunk_col, "k", "outcome"), [group_col, chunk_col, "k"], "left")
-    paired = near.where("outcome is not null").select(group_col, chunk_col, "k")
-    waiting = near.where("outcome is null").withColumn("w", F.row_number().over(in_group))
-    orphans = outcomes.join(paired, [group_col, chunk_col, "k"], "left_anti").withColumn("w", F.row_number().over(in_group)).select(group_col, "w", F.col("outcome").alias("late"))
-    late = waiting.join(orphans, [group_col, "w"], "left").select(group_col, chunk_col, "position", "action", "problem", F.col("late").alias("outcome"))
-    claims = near.where("outcome is not null").select(*late.columns).unionByName(late)
+    # works and outcomes are paired by grouping, each read once; a null key pairs nothing
+    nth = F.row_number().over(W.partitionBy(group_col, chunk_col, "role").orderBy("position"))
+    told = rows.where("role in ('work', 'outcome')").select(group_col, chunk_col, "position", "role", "statement", "problem").withColumn("k", nth)
+    told = told.withColumn("alone", F.when(F.col(group_col).isNull() | F.col(chunk_col).isNull(), F.col("role")))
+    work = F.col("role") == "work"
+    near = told.groupBy(group_col, chunk_col, "k", "alone").agg(
+        F.coalesce(F.max(F.when(work, F.col("position"))), F.max("position")).alias("position"), F.max(F.when(work, F.col("statement"))).alias("action"), F.max(F.when(work, F.col("problem"))).alias("problem"), F.max(F.when(~work, F.col("statement"))).alias("outcome")
+    )
+    waits = F.col("outcome").isNull()
+    single = near.withColumns({"pair": F.col("action").isNotNull() & ~waits, "waits": waits})
+    w = F.row_number().over(W.partitionBy(group_col, "pair", "waits").orderBy(chunk_col, "position"))
+    of = lambda c: F.max(F.when(F.col("action").isNotNull(), F.col(c))).alias(c)
+    apart = F.when(F.col("pair") | F.col(group_col).isNull(), F.struct("pair", "waits"))
+    claims = single.withColumns({"w": w, "apart": apart}).groupBy(group_col, "w", "apart").agg(of(chunk_col), of("position"), of("action"), of("problem"), F.max("outcome").alias("outcome")).where("action is not null")
+    claims = claims.select(group_col, chunk_col, "position", "action", "problem", "outcome")
     a, p, o = F.col("action"), F.col("problem"), F.col("outcome")
     declared = F.array_compact(F.array(X.cost_dimension(p), X.inefficiency(p)))
     return claims.withColumns(

@@ -70,8 +70,8 @@ def mentions(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, term
         pieces.append(F.transform(of("start"), lambda m: named("start", F.left("word", m))))
     if "inside" in lengths:
         at = lambda m: F.sequence(F.lit(1), F.length("word") - m + 1)
-        inner = F.transform(of("inside"), lambda m: F.transform(at(m), lambda i: named("inside", F.substring("word", i, m))))
-        pieces.append(F.array_distinct(F.flatten(inner)))
+        inner = F.transform(of("inside"), lambda m: F.transform(at(m), lambda i: F.substring("word", i, m)))
+        pieces.append(F.transform(F.array_distinct(F.flatten(inner)), lambda p: named("inside", p)))  # strings are told apart by hashing, structs in pairs
     own = docs.select(F.col(id_col).alias("document"), F.explode(F.array_distinct(F.split(F.col(text_col), "[ \n]"))).alias("word"))
     hits = own.select("word").distinct().select("word", F.inline(F.concat(*pieces))).join(anchors, ["kind", "piece"]).select("word", F.struct("term", "term_text").alias("found"))
 

@@ -7,6 +7,7 @@ STOPWORDS = (
 ).split()
 TOKEN = r"[a-z0-9][a-z0-9+#.\-]{1,}"
 BETWEEN_TOKENS = r"[^a-z0-9+#.\-]+[+#.\-]*"
+TOKEN_CHARS = r"a-z0-9+#.\-"
 MIN_TOKEN = 3
 
 # fixed values: verbs that start statements of outcomes and of work

@@ -47,6 +47,12 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= L.MIN_TOKEN) & ~t.isin(L.STOPWORDS))
 
 
+def has_token(text: Column) -> Column:
+    """Whether a text has any of ``tokens``; looks no further than the first."""
+    mark, known = L.TOKEN_CHARS, "|".join(L.STOPWORDS)
+    return F.lower(text).rlike(rf"(?:^|[^{mark}])[+#.\-]*+(?!(?:{known})(?![{mark}]))[a-z0-9][{mark}]{{{L.MIN_TOKEN - 1}}}")
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 

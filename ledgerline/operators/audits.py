@@ -40,10 +40,18 @@ def golden_summary(decided: DataFrame, approved: Column, rejected: Column, reaso
 
 
 def check(name: str, rows: DataFrame, failed: Column, subject: Column, most: int = 20) -> DataFrame:
-    """One row of an audit: (check_name, checked, failed, passes, examples), with the smallest ``most`` subjects that failed."""
-    failures = rows.where(failed).select(subject.cast("string").alias("s")).orderBy("s").limit(most)
-    examples = failures.agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias("examples"))
-    counted = rows.agg(F.count(F.lit(1)).alias("checked"), F.count_if(failed).alias("failed"))
+    """One row of an audit: (check_name, checked, failed, passes, examples), with the smallest ``most`` subjects that failed.
+
+    The rows are read once: counts and examples both come from one grouping by failed subjects.
+    """
+    told = rows.select(F.coalesce(failed, F.lit(False)).alias("f"), subject.cast("string").alias("s"))
+    # grouped by the subject alone, and with both counts looked at on both sides, so that they share one shuffle
+    found = told.groupBy(F.when(F.col("f"), F.col("s")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("n_failed"))
+    failures = found.where("n > 0 and n_failed > 0").orderBy(F.asc_nulls_last("s")).limit(most)
+    repeated = F.array_repeat("s", F.least("n_failed", F.lit(most)).cast("int"))
+    listed = F.array_sort(F.flatten(F.collect_list(F.when(F.col("s").isNotNull(), repeated))))
+    examples = failures.agg(F.array_join(F.slice(listed, 1, most), ",").alias("examples"))
+    counted = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.coalesce(F.sum("n_failed"), F.lit(0)).alias("failed"))
     named = counted.select(F.lit(name).alias("check_name"), "checked", "failed", (F.col("failed") == 0).alias("passes"))
     return named.join(F.broadcast(examples.withColumn("check_name", F.lit(name))), "check_name")  # one row each
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as X
 from ledgerline.operators import audits, entities, graph, lifecycle, ranking, states
 from ledgerline.sources import scan, sinks
 from ledgerline.streaming import feeds
@@ -98,6 +99,26 @@ def test_empty_tables_have_defined_values(spark):
     assert (found["checked"], found["failed"], found["passes"], found["examples"]) == (0, 0, True, "")
 
 
+def test_checks_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def fails(k):
+        seen.add(1)
+        return None if k == 9 else k % 2 == 0
+
+    subject = F.when(F.col("id") != 0, F.concat(F.lit("s"), F.col("id") % 10))
+    found = audits.check("c", spark.range(100), fails("id"), subject, 7).first()
+    assert (found["checked"], found["failed"], found["passes"], found["examples"]) == (100, 50, False, ",".join(["s0"] * 7))
+    assert seen.value == 100
+
+
+def test_some_token_is_any_of_the_tokens(spark):
+    texts = ["", " ", "ab", "the", "The AND", "them", "thee", "the-", "the.", "--the", "--cat", "x+the", "a b c", "of c#1", "+a+", "+ab", "über", "é the cat", "the\nand", "C++", "c.", "..", "for...", "\tfor\tyears1", "the,cat", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r for r in rows.select("text", X.has_token(F.col("text")).alias("a"), (F.size(X.tokens(F.col("text"))) > 0).alias("b")).collect() if r["a"] != r["b"]] == []
+
+
 def test_metric_conflicts(spark):
     said = ["cutting export failures in half", "Cutting export failures in half across all regions", "cutting export  failures in half", "half of the day", "five cats", "five cats"]
     quotes = spark.createDataFrame(list(enumerate(said)), "id int, text string")

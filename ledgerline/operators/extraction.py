@@ -178,18 +178,19 @@ def gate(drafts: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFram
     """
     rows = claim_violations(drafts).join(outside_citations(citations, chunks), ["group", "place"], "left")
     codes = F.concat(F.filter("violations", lambda v: v.isin(STRUCTURAL)), F.coalesce("outside", F.array().cast("array<string>")))
-    rows = rows.withColumn("dropped", F.when(F.size(codes) > 0, codes)).drop("violations", "outside")
+    # a claim is judged once: a filter on what comes of it would have it judged again for each use
+    rows = materialize(rows.withColumn("dropped", F.when(F.size(codes) > 0, codes)).drop("outside"))
     quoted = F.filter("result_links", lambda x: F.trim(F.coalesce(x["outcome_quote"], F.lit(""))) != "")
     spans = F.transform(quoted, lambda x: F.concat(x["source_ref"], F.lit("\x1f"), X.squeezed(x["outcome_quote"])))
     chosen, _ = first_independent(rows.where("dropped is null").withColumn("spans_", spans), ["group"], "place", "spans_")
-    lost = ~F.col("kept")
-    stripped = {"outcome": F.when(~lost, F.col("outcome")), "result_kind": F.when(lost, "missing").otherwise(F.col("result_kind")), "result_links": F.when(lost, F.slice("result_links", 1, 0)).otherwise(F.col("result_links"))}
-    stripped |= {"metric_text": F.when(~lost, F.col("metric_text")), "resolves": F.when(~lost, F.col("resolves"))}
-    left = claim_violations(chosen.withColumns(stripped)).withColumn("demoted", lost)
+    none = {c: F.lit(None).cast(chosen.schema[c].dataType) for c in ("outcome", "metric_text", "resolves")}
+    stripped = none | {"result_kind": F.lit("missing"), "result_links": F.slice("result_links", 1, 0)}
+    lost = claim_violations(chosen.where(~F.col("kept")).drop("violations").withColumns(stripped))
     flags = F.filter("violations", lambda v: ~v.isin(ABSENCE))
-    left = left.withColumn("flags", F.when(F.col("demoted"), F.array_append(flags, F.lit(DUPLICATE_OUTCOME))).otherwise(flags)).drop("violations", "kept", "spans_")
+    left = chosen.where("kept").withColumn("flags", flags).unionByName(lost.withColumn("flags", F.array_append(flags, F.lit(DUPLICATE_OUTCOME))))
+    left = left.withColumn("demoted", ~F.col("kept")).drop("violations", "kept", "spans_")
     status = F.when((F.size("flags") == 0) & (F.col("result_kind") != "missing"), "verified").otherwise("unverified")
-    gone = rows.where("dropped is not null").withColumns({"demoted": F.lit(False), "flags": F.array().cast("array<string>")})
+    gone = rows.where("dropped is not null").drop("violations").withColumns({"demoted": F.lit(False), "flags": F.array().cast("array<string>")})
     return left.withColumn("result_status", status).unionByName(gone.withColumn("result_status", F.lit(None).cast("string")))
 
 

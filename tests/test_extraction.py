@@ -82,3 +82,19 @@ def test_ranked_ids(spark):
     texts = [json.dumps({"ranking": [e("b", 3, " why "), e("x", 1), e("b", 1), e("a", 0.123456), e("c", -1)]}), json.dumps({"ranking": [e("a", "1")]}), json.dumps({"ranking": [e("a", True)]}), "```[]```"]
     got = extraction.ranked_ids(answers(spark, *texts), shortlist, 2).orderBy("group", "rank").collect()
     assert [tuple(r) for r in got] == [(0, "b", 1, 1.0, "why"), (0, "a", 2, 0.1235, "")]
+
+
+def test_the_gate_judges_a_claim_once(spark, sf_dir):
+    from ledgerline.plans import gate_queries
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    drafts, citations, chunks = gate_queries._gated(spark, sf_dir)
+    n = drafts.count()
+    gated = extraction.gate(drafts.withColumn("action", told("action")), citations, chunks).collect()
+    assert len(gated) == n and seen.value == n and {r["demoted"] for r in gated} == {True, False}

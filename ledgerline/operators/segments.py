@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from itertools import accumulate, groupby
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,10 +30,24 @@ _TITLE = re.compile(r"^\s*\S.{0,58}?, [A-Z]{2,8}\s*$")
 _BROKEN_WORD = re.compile(r"(\w)-[ \t]*\n[ \t]*(?=[a-z])")
 _ENDS = (".", "!", "?", ":", ";")
 BLANKS = " \t\n\x0b\f\r"
+#: So many bytes of texts, and rows, are turned into Python objects at a time.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 1000
 #: Where long texts may be cut, and what is left out after a cut.
 LINE_BREAK, SPACE, _NEXT = re.compile("\n"), re.compile(" "), re.compile("[\n ]*")
 
 
+def in_slices(run: Callable[..., list], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``run`` over rows of the columns (lists of values, the texts first) in slices of about ``SLICE_CHARS`` bytes of text, as one array: Python holds the objects of one slice, however many rows a batch has."""
+    ends = list(accumulate(n or 0 for n in pc.binary_length(columns[0]).to_pylist()))
+    out, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, bisect_right(ends, (ends[at - 1] if at else 0) + SLICE_CHARS))
+        to = min(to, at + SLICE_ROWS)
+        out.append(pa.array(run(*(c.slice(at, to - at).to_pylist() for c in columns)), kind))
+        at = to
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def stands_alone(line: str) -> bool:
     """Whether a line begins structure: a bullet, header, label, heading in capitals, entry title or date."""
     if any(p.match(line) for p in (_BULLET, _HEADER, _LABEL, _TITLE, _DATES)):
@@ -95,7 +111,7 @@ def reflowed(docs: DataFrame, text_col: str = "text", name: str = "normal_text")
 
     @F.arrow_udf(T.StringType())
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else reflow(t) for t in text.to_pylist()], pa.string())
+        return in_slices(lambda texts: [None if t is None else reflow(t) for t in texts], pa.string(), text)
 
     return docs.withColumn(name, run(F.col(text_col)))
 
@@ -138,7 +154,7 @@ def cut_with(limit: int, *marks: re.Pattern[str]):
 
     @F.arrow_udf(SPANS)
     def cut(text: pa.Array) -> pa.Array:
-        return pa.array([[{"a": a, "b": b, "body": t[a:b]} for a, b in spans_within(t, limit, *marks)] for t in text.to_pylist()], ARROW_SPANS)
+        return in_slices(lambda texts: [[{"a": a, "b": b, "body": t[a:b]} for a, b in spans_within(t, limit, *marks)] for t in texts], ARROW_SPANS, text)
 
     return cut
 
@@ -163,10 +179,9 @@ def coverage_violations(docs: DataFrame, spans: DataFrame, id_col: str, text_col
     """
     found = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("reason", T.StringType())]))
 
-    @F.arrow_udf(found)
-    def faults(text: pa.Array, held: pa.Array) -> pa.Array:
+    def of_slice(texts: list[str | None], held: list[list[dict] | None]) -> list[list[dict]]:
         rows = []
-        for whole, listed in zip(text.to_pylist(), held.to_pylist(), strict=True):
+        for whole, listed in zip(texts, held, strict=True):
             whole, reached, out = whole or "", 0, []
             for s in listed or []:
                 a, b = s["start"], s["end"]
@@ -179,7 +194,11 @@ def coverage_violations(docs: DataFrame, spans: DataFrame, id_col: str, text_col
             if whole[reached:].strip(BLANKS):
                 out.append({"start": reached, "reason": "gap"})
             rows.append(out)
-        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("reason", pa.string())])))
+        return rows
+
+    @F.arrow_udf(found)
+    def faults(text: pa.Array, held: pa.Array) -> pa.Array:
+        return in_slices(of_slice, pa.list_(pa.struct([("start", pa.int32()), ("reason", pa.string())])), text, held)
 
     lists = spans.groupBy(F.col(id_col).alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "body"))).alias("held"))
     rows = docs.select(id_col, F.col(text_col).alias("whole")).join(lists, F.col(id_col) == F.col("k"), "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.graph import subtrees, trails
-from ledgerline.operators.segments import _DATES, _ENDS, _TITLE, LINE_BREAK, MAX_CHARS, SPACE, cut_with, stands_alone
+from ledgerline.operators.segments import _DATES, _ENDS, _TITLE, LINE_BREAK, MAX_CHARS, SPACE, cut_with, in_slices, stands_alone
 
 VERSION = 1
 # fixed values: how lines of each kind begin
@@ -142,7 +142,7 @@ def elements(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf(T.ArrayType(ELEMENT))
     def scan(text: pa.Array) -> pa.Array:
-        return pa.array([elements_of(t or "") for t in text.to_pylist()], _ARROW)
+        return in_slices(lambda texts: [elements_of(t or "") for t in texts], _ARROW, text)
 
     return docs.select(id_col, F.explode(scan(F.col(text_col))).alias("e")).select(id_col, "e.*")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.tables import materialize
+from ledgerline.tables import materialize, parts
 
 CHANGES = "target string, op string, key string, columns map<string, string>, yields boolean, place long"
 OUTCOMES = ("applied", "no_key", "decided", "exists", "absent", "no_parent")
@@ -76,8 +76,8 @@ def _folded(changes: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def outcomes(target: Target, changes: DataFrame) -> DataFrame:
-    """``changes`` of one table with ``outcome``.
+def outcomes(target: Target, changes: DataFrame, n: int | None = None) -> DataFrame:
+    """``changes`` of one table with ``outcome``. They meet the table in ``n`` parts, by default as many as the rows ask for.
 
     A row exists for a change if the table has it and no earlier change of the plan deleted it, or if an
     earlier one made it. A change that yields is ``decided`` where the table's row carries a decision.
@@ -85,7 +85,8 @@ def outcomes(target: Target, changes: DataFrame) -> DataFrame:
     """
     decided = F.coalesce(target.decided, F.lit(False)) if target.decided is not None else F.lit(False)
     here = target.rows.select(key_text(*(F.col(f"`{c}`") for c in target.key)).alias("key"), F.lit(True).alias("in_table"), decided.alias("is_decided"))
-    rows = changes.join(here, "key", "left").withColumns({"in_table": F.coalesce("in_table", F.lit(False)), "is_decided": F.coalesce("is_decided", F.lit(False)) & F.col("yields")})
+    n = n or parts(changes, target.rows)
+    rows = changes.repartition(n, "key").join(here.repartition(n, "key"), "key", "left").withColumns({"in_table": F.coalesce("in_table", F.lit(False)), "is_decided": F.coalesce("is_decided", F.lit(False)) & F.col("yields")})
     has_parent = F.lit(True)
     if target.parent is not None:
         parents = target.parent.select(*(F.col(f"`{c}`") for c in target.key)).distinct().select(key_text(*(F.col(f"`{c}`") for c in target.key)).alias("key"), F.lit(True).alias("has_parent"))
@@ -110,18 +111,21 @@ def apply_changes(targets: dict[str, Target], changes: DataFrame) -> tuple[dict[
     """The next generation of every table, and the log: ``changes`` (of CHANGES, in places that differ for each row) with ``outcome``.
 
     Changes for tables that ``targets`` does not name stay out of both. Rows that no applied change names stay as
-    they are; each table is read once more than its join needs only to see which of its rows exist.
+    they are; each table is read once more than its join needs only to see which of its rows exist, and counted, as changes and
+    rows meet in parts whose size does not grow with them.
     """
     changes = materialize(changes)
     logs, tables = None, {}
     for name, target in targets.items():
-        log = materialize(outcomes(target, changes.where(F.col("target") == name)))
+        mine = changes.where(F.col("target") == name)
+        n = parts(mine, target.rows)
+        log = materialize(outcomes(target, mine, n))
         logs = log if logs is None else logs.unionByName(log)
         kinds = {f.name: f.dataType for f in target.rows.schema}
         rest = [c for c in kinds if c not in target.key]
-        folded = _folded(log.where("outcome = 'applied'"), list(kinds))
+        folded = _folded(log.where("outcome = 'applied'").repartition(n, "key"), list(kinds))
         own = target.rows.withColumn("key_", key_text(*(F.col(f"`{c}`") for c in target.key))).withColumn("in_table", F.lit(True))
-        both = own.join(folded.withColumnRenamed("key", "key_"), "key_", "full_outer")
+        both = own.repartition(n, "key_").join(folded.withColumnRenamed("key", "key_"), "key_", "full_outer")
         stays = F.col("in_table") & ~F.coalesce("deletes", F.lit(False))
         both = both.where(stays | F.coalesce("makes", F.lit(False)))
 

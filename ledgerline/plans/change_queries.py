@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import changes, choice, edits
-from ledgerline.tables import table
+from ledgerline.tables import dealt, table
 
 SPLIT_DAY = "1998-01-01"
 
@@ -23,7 +23,7 @@ def _claims_and_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
         F.lit(None).cast("string").alias("metric"), F.array(F.lit("no_tools")).alias("flags"),
     )
     n = F.col("n").cast("string")
-    counted = lines.groupBy("l_orderkey").agg(
+    counted = dealt(lines, "l_orderkey").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n"), F.max("l_returnflag").alias("flag"), F.max("l_discount").alias("discount"), F.max("l_tax").alias("most"), F.min("l_tax").alias("least")
     )
     asked = counted.select(

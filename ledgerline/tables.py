@@ -58,14 +58,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(*frames: DataFrame) -> int:
+    """So many partitions that each gets about ``ROWS`` rows of the largest of ``frames``, one a core at least."""
+    return max(frames[0].sparkSession.sparkContext.defaultParallelism, *(-(-f.count() // ROWS) for f in frames))
+
+
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` by keys over so many partitions that each gets about ``ROWS`` rows; what is joined or grouped by these keys then stays so.
 
     Spark would join small partitions until there is one for each core, so that what a task sorts and hashes grows with the input. The
     rows are counted first, which a table's footers answer.
     """
-    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
-    return rows.repartition(n, *keys)
+    return rows.repartition(parts(rows), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

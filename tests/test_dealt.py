@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import plans, tables
-from ledgerline.plans import table_queries
+from ledgerline.operators import changes, edits
+from ledgerline.plans import change_queries, table_queries
 
 
 def most_rows(df):
@@ -24,6 +25,17 @@ def test_lines_of_orders_meet_in_small_parts(spark, sf_dir, monkeypatch):
     assert most_rows(table_queries._cited(spark, sf_dir)) < 400
 
 
+def test_changes_meet_their_table_in_small_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 100)
+    claims, asked = change_queries._claims_and_edits(spark, sf_dir)
+    assert most_rows(asked) < 400
+    plan = edits.edit_changes(edits.checked_edits(claims, asked)).where("target = 'claims'")
+    target = changes.Target(claims, ["id"], F.col("status") != "pending_review")
+    after, _ = changes.apply_changes({"claims": target}, plan)
+    assert most_rows(changes.outcomes(target, plan)) < 300 and most_rows(after["claims"]) < 300
+    assert after["claims"].count() == claims.count()
+
+
 @pytest.mark.parametrize("name", ["provenance"])
 def test_tasks_of_queries_hold_few_rows(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(tables, "ROWS", 100)

@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.tables import materialize
+from ledgerline.tables import materialize, parts
 
 # fixed value: the flag of a draft that has lost its result to an earlier one with the same span
 DUPLICATE_OUTCOME = "duplicate_outcome_span"
 
+#: Groups of at most so many spans are walked as one row; larger ones take rounds.
+WALKED = 1000
+
 
 def first_independent(drafts: DataFrame, group: list[str], place: str, spans: str, max_rounds: int = 1000) -> tuple[DataFrame, int]:
     """``drafts`` with ``kept``, and the number of rounds that took.
@@ -46,6 +49,37 @@ def first_independent(drafts: DataFrame, group: list[str], place: str, spans: st
     return drafts.join(known, node, "left").withColumn("kept", F.coalesce("kept", F.lit(True))).select(*drafts.columns, "kept"), rounds
 
 
+def kept_in_order(drafts: DataFrame, group: list[str], place: str, spans: str, walked: int = WALKED) -> DataFrame:
+    """``drafts`` with ``kept``, as ``first_independent`` decides; for drafts that mostly meet others, as they are moved once instead of several times a round.
+
+    A group of at most ``walked`` spans (repeats included) becomes one row, whose drafts are walked in order of ``place``. Larger
+    groups go by rounds, so no task holds one. Drafts without spans, group or place neither wait nor hold: they stay where they are.
+    """
+    drafts = materialize(drafts)
+    waits = F.coalesce(F.exists(spans, lambda s: s.isNotNull()), F.lit(False))
+    for c in (*group, place):
+        waits &= F.col(c).isNotNull()
+    asked = drafts.where(waits)
+    large = materialize(asked.groupBy(*group).agg(F.sum(F.size(spans)).alias("n")).where(F.col("n") > walked).select(*group))
+    some = not large.isEmpty()
+    small = asked.join(large, group, "left_anti") if some else asked
+    in_order = lambda a, b: F.when(a[place] < b[place], -1).when(a[place] > b[place], 1).otherwise(0)
+    rows = small.repartition(parts(drafts), *group).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*(c for c in drafts.columns if c not in group))), in_order).alias("draft_"))
+
+    def step(done, draft):
+        own = F.array_compact(draft[spans])
+        free = ~F.arrays_overlap(done["held"], own)
+        return F.struct(F.when(free, F.concat(done["held"], own)).otherwise(done["held"]).alias("held"), F.array_append(done["kept"], free).alias("kept"))
+
+    none = F.struct(F.array().cast(drafts.schema[spans].dataType).alias("held"), F.array().cast("array<boolean>").alias("kept"))
+    rows = rows.select(*group, F.explode(F.arrays_zip("draft_", F.aggregate("draft_", none, step, lambda done: done["kept"]).alias("kept"))).alias("x_"))
+    done = rows.select(*(F.col(c) if c in group else F.col("x_.draft_")[c].alias(c) for c in drafts.columns), F.col("x_.kept").alias("kept"))
+    done = done.unionByName(drafts.where(~waits).withColumn("kept", F.lit(True)))
+    if some:
+        done = done.unionByName(first_independent(asked.join(large, group, "left_semi"), group, place, spans)[0])
+    return done
+
+
 def demoted_results(drafts: DataFrame, group: list[str], place: str) -> DataFrame:
     """Drafts (result_text, result_kind, result_spans, flags) of which each outcome span backs one result at most.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import changes, choice, edits
-from ledgerline.tables import dealt, table
+from ledgerline.tables import dealt, parts, table
 
 SPLIT_DAY = "1998-01-01"
 
@@ -170,10 +170,12 @@ UNION ALL SELECT 'packets', 'upsert', CASE WHEN interview IN (SELECT interview F
 
 def independent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer, in order, of which each brand backs one at most; an order that is not kept holds no brand."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    brands = lines.groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("brands"))
-    orders = table(spark, sf_dir, "orders").join(brands, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "brands")
-    drafts, _ = choice.first_independent(orders, ["o_custkey"], "o_orderkey", "brands")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = parts(lines, orders)
+    branded = lines.repartition(n, "l_partkey").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+    brands = branded.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("brands"))
+    orders = orders.repartition(n, "o_orderkey").join(brands, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", "o_orderkey", "brands")
+    drafts = choice.kept_in_order(orders, ["o_custkey"], "o_orderkey", "brands")
     return drafts.select("o_custkey", "o_orderkey", "kept")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from ledgerline import plans
 from ledgerline.operators import choice
 
 
@@ -70,3 +71,24 @@ def test_new_content_equals_entities_in_turn(spark, seed):
     ).collect()
     assert {r["place"]: r["duplicate"] is None for r in got if r["duplicate"] != "no_turn"} == want
     assert {r["entity"] for r in got if r["duplicate"] == "no_turn"} == {d[0] for d in drafts} - set(turns)
+
+
+@pytest.mark.parametrize("walked", [0, 30, 1000])
+def test_groups_of_any_size_equal_the_walk_in_order(spark, walked):
+    rng = random.Random(walked)
+    drafts = [(g, p, rng.choice([None, [], [None]]) if rng.random() < 0.2 else [rng.choice([None, *map(str, range(n))]) for _ in range(rng.randint(1, 4))], {"k": p}) for g, n in [("a", 5), ("b", 60), ("c", 8)] for p in range(8 if g == "c" else 60)]
+    rng.shuffle(drafts)
+    loose = [(None, 1, ["1"], None), (None, 2, ["1"], None), ("a", None, ["1"], None), ("a", None, ["2"], None)]
+    got = choice.kept_in_order(spark.createDataFrame(drafts + loose, "g string, p int, s array<string>, m map<string,int>"), ["g"], "p", "s", walked)
+    assert got.columns == ["g", "p", "s", "m", "kept"]
+    rows = got.collect()
+    want = in_order([d[:3] for d in drafts])
+    assert {(r["g"], r["p"]): (r["s"], r["m"]["k"], r["kept"]) for r in rows if r["m"]} == {(g, p): (s, p, want[g, p]) for g, p, s, _ in drafts}
+    assert [r["kept"] for r in rows if r["m"] is None] == [True] * 4 and len(rows) == len(drafts) + 4
+
+
+def test_orders_of_customers_take_no_rounds(spark, sf_dir, monkeypatch):
+    tables, write = [], choice.materialize
+    monkeypatch.setattr(choice, "materialize", lambda df: tables.append(df) or write(df))
+    got = plans.queries()["independent_orders"](spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and len(tables) == 2

@@ -196,23 +196,17 @@ def unsupported_numbers(text: Column, source: Column) -> Column:
     return F.array_sort(F.filter(F.array_except(number_tokens(text), allowed), lambda t: number_value(t).isNull() | ~F.coalesce(F.array_contains(known, number_value(t)), F.lit(False))))
 
 
-def stated_numbers(text: Column) -> Column:
-    """Number tokens of ``text`` with the keys of their quantities, as ``without_support`` looks for them."""
-    return F.transform(number_tokens(text), lambda t: F.struct(t.alias("token"), F.concat(F.lit("="), number_value(t).cast("string")).alias("quantity")))
-
-
-def number_keys(source: Column) -> Column:
-    """What a text supports: its number tokens and, after an equals sign, their quantities, with K, M and B multiplied out and without. Keys of texts joined by line breaks are those of each."""
-    tokens = number_tokens(source)
+def number_keys(tokens: Column) -> Column:
+    """What a text with these ``number_tokens`` supports: the tokens and, after an equals sign, their quantities, with K, M and B multiplied out and without. Keys of texts joined by line breaks are those of each."""
     bare = lambda t: F.regexp_replace(F.lower(t), r"^\$|[kmb]?%?$", "").try_cast("decimal(28,6)").cast("decimal(38,6)")
     quantities = F.flatten(F.transform(tokens, lambda t: F.array(number_value(t), bare(t))))
     return F.array_distinct(F.concat(tokens, F.transform(F.array_compact(quantities), lambda q: F.concat(F.lit("="), q.cast("string")))))
 
 
-def without_support(numbers: Column, keys: Column) -> Column:
-    """Tokens of ``stated_numbers`` that ``number_keys`` have neither as they are nor as the same quantity, sorted; as ``unsupported_numbers``, for many sources that are read once."""
-    loose = F.filter(numbers, lambda x: ~F.array_contains(keys, x["token"]) & ~F.coalesce(F.array_contains(keys, x["quantity"]), F.lit(False)))
-    return F.array_sort(F.transform(loose, lambda x: x["token"]))
+def without_support(tokens: Column, keys: Column) -> Column:
+    """Of ``number_tokens`` those that ``number_keys`` have neither as they are nor as the same quantity, sorted; as ``unsupported_numbers``, for sources that are read once for many texts."""
+    same = lambda t: F.array_contains(keys, F.concat(F.lit("="), number_value(t).cast("string")))
+    return F.array_sort(F.filter(tokens, lambda t: ~F.array_contains(keys, t) & ~F.coalesce(same(t), F.lit(False))))
 
 
 # --- addresses -------------------------------------------------------------------

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.tables import dropped_after, materialize, shared_folder, table  # noqa: F401
+from ledgerline.tables import dropped_after, materialize, shared_folder, shuffled, table  # noqa: F401
 
 WORD_SPACE = np.zeros(256, dtype=bool)
 WORD_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -142,8 +142,8 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, h
     both = F.xxhash64(*keys)
     hot = [r[0] for r in table.where(F.col(count) > total / hot_share(total)).select(both).collect()]
     if not hot:
-        return rows.join(table, keys, how)
-    cold = rows.where(~both.isin(hot)).join(table.where(~both.isin(hot)), keys, how)
+        return rows.join(shuffled(table), keys, how)
+    cold = rows.where(~both.isin(hot)).join(shuffled(table.where(~both.isin(hot))), keys, how)
     return cold.unionByName(rows.where(both.isin(hot)).join(F.broadcast(table.where(both.isin(hot))), keys, how))
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import fresh, materialize, split_join
+from ledgerline.llm.common import fresh, materialize, shuffled, split_join
 
 MAX_EDITS = 1
 #: Lines of over WHOLE characters have a part for every PART characters, MOST_PARTS at most; shorter ones have two.
@@ -106,11 +106,12 @@ def _near_drops(rows: DataFrame, firsts: DataFrame) -> DataFrame:
         F.min("n").alias("first"), F.max("n").alias("last"),
         F.min(F.when(~F.col("longer"), F.col("n"))).alias("short"), F.min(F.when(F.col("longer"), F.col("n"))).alias("long"),
     ).where("first <> last")
-    pairs = variant.join(groups, "v").select(
+    # a row for each character of half a line, and the lines themselves
+    pairs = variant.join(shuffled(groups), "v").select(
         "n", F.when(F.col("longer"), F.col("short")).when(F.col("long").isNotNull(), F.col("long")).otherwise(F.col("first")).alias("earlier")
     )
     pairs = pairs.where("earlier < n").distinct()
-    pairs = pairs.join(found.select("n", "at", "line"), "n").join(found.select(F.col("n").alias("earlier"), F.col("line").alias("earlier_line")), "earlier")
+    pairs = pairs.join(shuffled(found.select("n", "at", "line")), "n").join(shuffled(found.select(F.col("n").alias("earlier"), F.col("line").alias("earlier_line"))), "earlier")
     return pairs.where(_within_one(F.col("line"), F.col("earlier_line"))).select("at.doc", "at.text_key", "at.line_no").distinct()
 
 

@@ -72,5 +72,14 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(parts(rows), *keys)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: both sides are sorted by the keys.
+
+    For what grows with the input but looks small to Spark, which takes a table for as large as its compressed files and an explode for
+    one row a row, and so would gather on the driver what doesn't fit there.
+    """
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -215,6 +215,27 @@ def test_long_lines_are_cut_into_parts(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 0, 9: 1, 10: 0}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_lines_are_not_gathered_on_the_driver(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc"), F.concat(F.lit("a line that is written "), F.col("id") % 50, F.lit(" times in all")).alias("body")).withColumn("text_key", F.xxhash64("body"))
+    place = F.struct("doc", "text_key", "line_no")
+    lines = linededup._lines(docs)
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.first("half_keys").alias("half_keys"))
+    drops = linededup._near_drops(docs, firsts)
+    # every variant of a line is a row of an explode, which Spark takes for one row a line
+    assert drops.count() == 49 and "Generate" in plan_of(drops) and "Broadcast" not in plan_of(drops)
+
+
+def test_only_hot_keys_are_broadcast(spark):
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("k"))
+    table = common.materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    joined = common.split_join(rows, table, ["k"], "n")
+    assert joined.count() == 3000 and "Broadcast" not in plan_of(joined)
+
+
 def test_lines_awkward_rows(spark, tricky, nothing):
     out = linededup.line_dedup(tricky)
     assert out.columns == [*tricky.columns, "lines_total_", "lines_dropped"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import extraction, gates
 from ledgerline.plans.text_queries import EVIDENCE_CLAIMS, EVIDENCE_CODES, evidence_claims
-from ledgerline.tables import table
+from ledgerline.tables import shuffled, table
 
 #: Both engines make the same answers from these pieces; @q, @m and @w stand for words of the text.
 CLAIM_ANSWERS = [
@@ -158,7 +158,8 @@ def _stories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     k = F.col("o_orderkey")
     story = F.concat_ws("/", F.col("o_custkey").cast("string"), F.left("o_orderpriority", F.lit(1)))
     kind = F.when(k % 3 == 0, "action").otherwise("result")
-    size = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.min("p_size").alias("size"))
+    # of customers and parts few columns are read, so Spark takes them for much smaller than they are
+    size = lines.join(shuffled(part), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.min("p_size").alias("size"))
     rows = orders.join(size, k == F.col("l_orderkey"), "left")
     text = F.concat(F.lit("Sold "), F.when(k % 10 == 0, F.lit(77)).otherwise(F.coalesce("size", F.lit(77))).cast("string"), F.lit(" units"))
     cites = F.when(k % 29 == 0, F.array().cast("array<bigint>")).when(k % 13 == 0, F.array(k, k + 1)).when(k % 31 == 0, F.array(k, -k)).otherwise(F.array(k))
@@ -170,7 +171,7 @@ def _stories(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     claims = orders.select(k.alias("id"), F.col("o_custkey").alias("entity"), F.when(F.col("o_orderstatus") == "O", "missing").otherwise("quantified").alias("result_kind"))
     links = lines.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("evidence"))
     evidence = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("text"))
-    who = heads.join(customer, F.col("entity") == F.col("c_custkey"))
+    who = heads.join(shuffled(customer), F.col("entity") == F.col("c_custkey"))
     attested = who.where("c_acctbal < 3000").select("story", F.lit("problem").alias("kind"), F.lit("They waited").alias("text"))
     attested = attested.unionByName(who.where("c_mktsegment = 'BUILDING'").select("story", F.lit("result").alias("kind"), F.concat(F.lit("Customer "), F.col("c_mktsegment"), F.lit(" is content "), F.col("story")).alias("text")))
     return {"stories": heads.select("story", "entity"), "components": components.unionByName(problems), "claims": claims, "links": links, "evidence": evidence, "attestations": attested}

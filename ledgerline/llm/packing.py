@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import chunks, materialize, utf8
+from ledgerline.llm.common import chunks, materialize, shuffled, utf8
 from ledgerline.llm.tokens import byte_bpe, ragged
 
 CAPACITY = 2048
@@ -278,7 +278,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id
     pieces = materialize(token_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     packed = pack_sizes(pieces.where(F.col("length") < capacity).select("uid", "length"), capacity, block)
     full = F.col("length") == capacity
-    out = pieces.join(packed, F.col("uid") == F.col("uid_p"), "left")
+    out = pieces.join(shuffled(packed), F.col("uid") == F.col("uid_p"), "left")
     return out.select(
         F.col("doc").alias(id_col), "piece", "start", "length", "ids_crc32",
         F.when(full, -1 - F.col("uid")).otherwise(F.col("sequence_id")).alias("sequence_id"), F.when(full, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"),

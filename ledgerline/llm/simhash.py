@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, split_join, utf8, words_of
+from ledgerline.llm.common import WORD_POWERS, chunks, fresh, materialize, shuffled, split_join, utf8, words_of
 from ledgerline.operators.graph import connected_components
 
 BITS = 64
@@ -397,10 +397,10 @@ def _alike(pairs: DataFrame, where: DataFrame, docs: DataFrame, id_col: str, tex
             out.append(both * 5 >= (len(x) + len(y) - both) * 4)  # SIMILARITY in whole numbers
         return pa.array(out, pa.bool_())
 
-    wanted = where.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "at.doc", "at.text_key")
+    wanted = where.join(shuffled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi").select("node", "at.doc", "at.text_key")
     body = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("body"))
     texts = materialize(body.join(wanted, ["doc", "text_key"]).groupBy("node").agg(F.min("body").alias("body")))
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    met = pairs.join(shuffled(texts.select(F.col("node").alias("a"), F.col("body").alias("x"))), "a").join(shuffled(texts.select(F.col("node").alias("b"), F.col("body").alias("y"))), "b")
     return materialize(met.where(alike("x", "y")).select("a", "b"))
 
 
@@ -425,7 +425,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     member = F.struct("node", "fp", "size")
     every = sets.select("node", "fp", "size", F.explode("keys").alias("key"))
     groups = every.groupBy("key").agg(F.min(member).alias("least"), F.max("node").alias("last")).where("least.node <> last").select("key", "least")
-    keyed = materialize(every.join(groups, "key"))
+    keyed = materialize(every.join(shuffled(groups), "key"))
     fits = (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= WIDE_RADIUS) & (F.least("size", "least.size") >= SIMILARITY * F.greatest("size", "least.size"))
     tried = materialize(keyed.where((F.col("node") != F.col("least.node")) & fits).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
     found = _alike(tried, sets, docs, id_col, text_col)
@@ -433,14 +433,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = materialize(found.unionByName(rows.join(ids, "doc").select("a", F.col("node").alias("b")).where("a <> b").distinct()))
 
     parts = materialize(connected_components(found))
-    labelled = keyed.select("key", "node", "fp", "size").join(parts, "node", "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("label"))
+    labelled = keyed.select("key", "node", "fp", "size").join(shuffled(parts), "node", "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("label"))
     labelled = materialize(labelled)
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = labelled.join(open_keys, "key", "left_semi").join(sets.select("node", "odd"), "node")
+    left = labelled.join(shuffled(open_keys), "key", "left_semi").join(shuffled(sets.select("node", "odd")), "node")
     left = left.repartition(n, "key").sortWithinPartitions("key").select("key", "node", "fp", "size", "label", "odd")
     pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    more = materialize(left.mapInArrow(_apart, pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = materialize(left.mapInArrow(_apart, pair).distinct().join(shuffled(tried), ["a", "b"], "left_anti"))
     parts = connected_components(found.unionByName(_alike(more, sets, docs, id_col, text_col)))
-    classes = sets.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("at.doc").alias("doc"))
+    classes = sets.join(shuffled(parts), "node", "left").groupBy(F.coalesce("component", "node").alias("part")).agg(F.min("at.doc").alias("doc"))
     return _one_row_each(docs, id_col, classes.select("doc"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.tables import materialize
+from ledgerline.tables import materialize, shuffled
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -23,14 +23,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (itself included)."""
     both = _both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = down.join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 

@@ -17,6 +17,10 @@ def rows_of(docs):
     return sorted(((r["doc_id"], r["text"], r["k"]) for r in got), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 # --- SimHash -------------------------------------------------------------------
 
 
@@ -134,6 +138,16 @@ def test_parity_sketches_never_exceed_the_difference():
         assert a != b or d == 0
 
 
+def test_keys_of_sets_are_not_gathered_on_the_driver(spark, sf_dir, monkeypatch):
+    plans, materialize = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: plans.append(plan_of(df)) or materialize(df))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert 0 < simhash.near_dedup(docs).count() < docs.count()
+    # a row for each of a set's 40 keys, which Spark takes for one row a set
+    keyed = [p for p in plans if "explode(keys" in p]
+    assert keyed and not [p for p in keyed if "Broadcast" in p]
+
+
 def test_near_copies_awkward_rows(spark, tricky, nothing):
     kept = simhash.near_dedup(tricky)
     assert kept.columns == tricky.columns
@@ -215,10 +229,6 @@ def test_long_lines_are_cut_into_parts(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1, 7: 1, 8: 0, 9: 1, 10: 0}
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_near_lines_are_not_gathered_on_the_driver(spark):
     docs = spark.range(200).select(F.col("id").alias("doc"), F.concat(F.lit("a line that is written "), F.col("id") % 50, F.lit(" times in all")).alias("body")).withColumn("text_key", F.xxhash64("body"))
     place = F.struct("doc", "text_key", "line_no")
